@@ -64,7 +64,7 @@ def main(names: list[str]) -> int:
             sql = oracle_sql().get(name)
             wrong = difference(df, connection, sql) if sql else f"(no SQL, {df.count()} rows)"
         except Exception as error:  # report and go on to the next query
-            wrong = f"{type(error).__name__}: {str(error)[:1500]}"
+            wrong = f"{type(error).__name__}: {str(error).splitlines()[0][:600]}"
         bad += wrong is not None and not wrong.startswith("(no SQL")
         print(f"{name:24s} {time.time() - start:6.1f}s  {wrong or 'ok'}", flush=True)
     return bad

@@ -79,7 +79,9 @@ def eval_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs: one predicts the source itself, one the target less its last token."""
     predictions = F.array(
         F.struct(F.lit("copy_source").alias("model_key"), F.col(SOURCE).alias("prediction")),
-        F.struct(F.lit("clipped"), F.regexp_replace(TARGET, r" [^ ]*$", "")),
+        F.struct(
+            F.lit("clipped").alias("model_key"), F.regexp_replace(TARGET, r" [^ ]*$", "").alias("prediction")
+        ),
     )
     return unique_docs(spark, sf_dir).select(
         F.inline(predictions),
