@@ -8,9 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters and patterns that decide results.
-CONTROL_CHARS = r"[\u0000-\u001F\u007F-\u009F]"
+CONTROL_CHARS = r"\p{Cc}"  # U+0000 to U+001F and U+007F to U+009F
 ASCII_SPACE = r"\s+"
-UNICODE_SPACE = r"[\s\u001C-\u001F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+BLANK = " "
+UNICODE_SPACE = r"(?U)[\s\x1C-\x1F]+"
 BENGALI = r"[\u0980-\u09FF]"
 
 
@@ -32,9 +33,13 @@ def normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(visible, " {2,}", " "))
 
 
-def token_count(c: Column) -> Column:
-    """Number of whitespace-separated tokens; 1 for empty text, null for null."""
-    return F.size(F.split(F.trim(c), ASCII_SPACE))
+def token_count(c: Column, separator: str = ASCII_SPACE) -> Column:
+    """Number of whitespace-separated tokens; 1 for empty text, null for null.
+
+    Normalised text holds single blanks only; splitting it at ``BLANK`` gives the
+    same count without a regular expression.
+    """
+    return F.size(F.split(F.trim(c), separator))
 
 
 def token_set(c: Column) -> Column:

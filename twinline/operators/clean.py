@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinline.columns import SOURCE, TARGET
-from twinline.functions.text import has_script, normalize, token_count
+from twinline.functions.text import ASCII_SPACE, BLANK, has_script, normalize, token_count
 
 
 def normalize_text(df: DataFrame, columns=(SOURCE, TARGET)) -> DataFrame:
@@ -30,21 +30,29 @@ def drop_trivial(df: DataFrame, source: str = SOURCE, target: str = TARGET) -> D
     return df.filter(F.col(source) != F.col(target))
 
 
-def _count_within(c: Column, low: int, high: int) -> Column:
+def _count_within(c: Column, low: int, high: int, separator: str) -> Column:
     # low <= n <= high with n mentioned, and so computed, only once.
-    return F.abs(token_count(c) * 2 - (low + high)) <= high - low
+    return F.abs(token_count(c, separator) * 2 - (low + high)) <= high - low
 
 
 def length_band(
-    df: DataFrame, low: int = 3, high: int = 256, source: str = SOURCE, target: str = TARGET
+    df: DataFrame,
+    low: int = 3,
+    high: int = 256,
+    source: str = SOURCE,
+    target: str = TARGET,
+    separator: str = ASCII_SPACE,
 ) -> DataFrame:
     """Keep pairs whose token counts both lie in [low, high]."""
-    return df.filter(_count_within(F.col(source), low, high) & _count_within(F.col(target), low, high))
+    return df.filter(
+        _count_within(F.col(source), low, high, separator) & _count_within(F.col(target), low, high, separator)
+    )
 
 
 def clean_pairs(df: DataFrame, min_tokens: int = 3, max_tokens: int = 256) -> DataFrame:
     """Normalise, then keep non-empty, non-trivial pairs of bearable length."""
-    return length_band(drop_trivial(drop_null_or_empty(normalize_text(df))), min_tokens, max_tokens)
+    kept = drop_trivial(drop_null_or_empty(normalize_text(df)))
+    return length_band(kept, min_tokens, max_tokens, separator=BLANK)
 
 
 def script_match(df: DataFrame, script: str, column: str = SOURCE) -> DataFrame:

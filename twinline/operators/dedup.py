@@ -144,23 +144,19 @@ def minhash_keys(
 # --- from block keys to decisions ----------------------------------------------
 
 
-def _shared_keys(keys: DataFrame) -> DataFrame:
-    """Keys that at least two sets file, with block size and lowest member.
+def _blocks(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """Sets that share a key: ``(key, members, lowest, rep, tokens)``.
 
-    Most keys of a real corpus are filed once. They are thrown out here, while
-    rows are a key and an id, so token arrays are moved for few sets only.
+    Most keys of a real corpus are filed by one set. They are thrown out while
+    rows are a key and an id; tokens are then joined to what is left, and that is
+    written out, as it is read several times.
     """
-    blocks = (
+    counts = (
         keys.groupBy("key")
         .agg(F.count("*").alias("members"), F.min("rep").alias("lowest"))
         .filter("members > 1")
     )
-    return checkpointed(keys.join(blocks, "key"))
-
-
-def _with_tokens(df: DataFrame, sets: DataFrame, rep: str, tokens: str) -> DataFrame:
-    named = sets.select(F.col("rep").alias(rep), F.col("tokens").alias(tokens))
-    return df.join(named, rep)
+    return checkpointed(keys.join(counts, "key").join(sets, "rep"))
 
 
 def _spread(probe: DataFrame, build: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,36 +172,45 @@ def _spread(probe: DataFrame, build: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _similar(a: Column, b: Column, min_similarity: float) -> Column:
+    """Whether two token sets are similar; their sizes alone may rule it out."""
+    sizes = F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * min_similarity - 1e-6
+    return sizes & (_jaccard(a, b) >= min_similarity)
+
+
+def _meets_lower(min_similarity: float) -> Column:
+    """Join condition: b is in p's block, has a lower id, and is similar."""
+    return (
+        (F.col("p.key") == F.col("b.key"))
+        & (F.col("p.salt") == F.col("b.salt"))
+        & (F.col("b.rep") < F.col("p.rep"))
+        & _similar(F.col("p.tokens"), F.col("b.tokens"), min_similarity)
+    )
+
+
 def _similar_to_lower(sets: DataFrame, keys: DataFrame, min_similarity: float) -> DataFrame:
     """Lowest ids of sets that resemble a set with a lower lowest id."""
-    shared = _shared_keys(keys)
+    blocks = _blocks(sets, keys)
+    lowest = blocks.filter("rep = lowest").select("key", F.col("tokens").alias("lowest_tokens"))
+    others = blocks.filter("rep > lowest")
 
     # Each set against the lowest member of its blocks. That decides blocks of
     # two, and takes the bulk out of a large group of near-copies.
-    to_lowest = shared.filter("rep > lowest").select("rep", "lowest").distinct()
-    to_lowest = _with_tokens(to_lowest, sets, "rep", "tokens")
-    to_lowest = _with_tokens(to_lowest, sets, "lowest", "lowest_tokens")
-    like_lowest = checkpointed(
-        to_lowest.filter(_jaccard(F.col("tokens"), F.col("lowest_tokens")) >= min_similarity)
+    like_lowest = (
+        others.join(lowest, "key")
+        .filter(_similar(F.col("tokens"), F.col("lowest_tokens"), min_similarity))
         .select("rep")
         .distinct()
     )
 
     # The others against the rest of their block. A semi join stops at the first
-    # similar set and emits a set at most once per key, never pairs.
-    rest = shared.filter("members > 2 and rep > lowest").select("rep", "key", "members")
-    build = _with_tokens(rest, sets, "rep", "tokens")
-    probe = _with_tokens(rest.join(like_lowest, "rep", "left_anti"), sets, "rep", "tokens")
+    # similar set and emits a set at most once per key and salt, never pairs.
+    build = others.filter("members > 2").select("key", "members", "rep", "tokens")
+    probe = build.join(like_lowest, "rep", "left_anti")
     probe, build = _spread(probe, build)
-    p, b = probe.alias("p"), build.alias("b")
-    like_other = p.join(
-        b,
-        (F.col("p.key") == F.col("b.key"))
-        & (F.col("p.salt") == F.col("b.salt"))
-        & (F.col("b.rep") < F.col("p.rep"))
-        & (_jaccard(F.col("p.tokens"), F.col("b.tokens")) >= min_similarity),
-        "left_semi",
-    ).select("rep")
+    like_other = (
+        probe.alias("p").join(build.alias("b"), _meets_lower(min_similarity), "left_semi").select("rep")
+    )
     return like_lowest.union(like_other).distinct()
 
 
@@ -263,19 +268,13 @@ def similarity_self_join(
     nothing is lost, and n copies give n - 1 links in place of n(n-1)/2.
     """
     sets = token_sets(df, text, id_column)
-    shared = _shared_keys(segment_keys(sets, min_similarity)).select("rep", "key", "members")
-    probe, build = _spread(*[_with_tokens(shared, sets, "rep", "tokens")] * 2)
-    b, a = probe.alias("b"), build.alias("a")
-    distance = 1 - _jaccard(F.col("a.tokens"), F.col("b.tokens"))
+    blocks = _blocks(sets, segment_keys(sets, min_similarity)).select("key", "members", "rep", "tokens")
+    probe, build = _spread(blocks, blocks)
+    distance = 1 - _jaccard(F.col("p.tokens"), F.col("b.tokens"))
     links = (
-        b.join(
-            a,
-            (F.col("a.key") == F.col("b.key"))
-            & (F.col("a.salt") == F.col("b.salt"))
-            & (F.col("a.rep") < F.col("b.rep"))
-            & (_jaccard(F.col("a.tokens"), F.col("b.tokens")) >= min_similarity),
-        )
-        .select(F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b"), distance.alias("jaccard_dist"))
+        probe.alias("p")
+        .join(build.alias("b"), _meets_lower(min_similarity))
+        .select(F.col("b.rep").alias("id_a"), F.col("p.rep").alias("id_b"), distance.alias("jaccard_dist"))
         .distinct()
     )
     copies = copies_of_sets(df, sets, text, id_column).select(

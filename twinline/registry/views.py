@@ -9,6 +9,7 @@ from twinline.columns import ID, SL, SOURCE, TARGET
 from twinline.operators.clean import clean_pairs
 from twinline.operators.dedup import exact_dedup
 from twinline.operators.features import add_features
+from twinline.sources.pairs import spread
 
 # The given texts are in Latin script: letters with diacritics stand in for it.
 SCRIPT = r"[À-ɏ]"
@@ -32,7 +33,7 @@ SYNONYMS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pairs_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

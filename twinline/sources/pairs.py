@@ -64,6 +64,16 @@ def write_pairs_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def spread(df: DataFrame, few: int = 8) -> DataFrame:
+    """Deal a small table over the cores if it was read in fewer than ``few`` tasks.
+
+    A parquet row group is one task however many cores there are. A large table
+    has more splits than ``few`` and is left where it is.
+    """
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, 64)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(few, cores) else df
+
+
 def dev_subset(df: DataFrame, n: int | None) -> DataFrame:
     """The first ``n`` rows by ``sl`` and ``id``, or all if ``n`` is None."""
     return df if n is None else df.orderBy(SL, ID).limit(n)
