@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinline.columns import SL, SOURCE
-from twinline.functions.text import let, uniform, words
-from twinline.operators.features import add_features
+from twinline.columns import FEATURES, SL, SOURCE, TARGET
+from twinline.functions.text import BENGALI, let, uniform, words
+from twinline.operators.features import feature_columns
 
 # Synonym tables up to this many tokens are looked up in a literal map.
 LITERAL_SYNONYMS = 200
@@ -135,7 +135,7 @@ def _replace_by_join(df, synonyms, probability, seed, key, tokens):
     )
 
 
-def augment_text(
+def _with_augmented(
     df: DataFrame,
     synonyms: DataFrame | None = None,
     synonym_prob: float = 0.10,
@@ -146,11 +146,7 @@ def augment_text(
     text: str = SOURCE,
     key: str = SL,
 ) -> DataFrame:
-    """Synonyms, then one swap, then one deletion, each by its probability.
-
-    Null or empty text and text of fewer than ``min_tokens`` tokens stay as they
-    are. Other text comes back joined by single blanks.
-    """
+    """Add the column ``_augmented``."""
     columns = df.columns
     df = df.withColumn("_tokens", words(F.col(text))).withColumn("_count", F.size("_tokens"))
     if synonyms is not None and synonym_prob > 0:
@@ -159,19 +155,41 @@ def augment_text(
     edited = random_delete(edited, F.col(key), deletion_prob, min_tokens, seed)
     # An empty text has no tokens, which must not count as enough of them.
     long_enough = (F.col("_count") >= min_tokens) & (F.length(text) > 0)
-    return df.withColumn(text, F.when(long_enough, F.array_join(edited, " ")).otherwise(F.col(text))).select(
-        *columns
-    )
+    augmented = F.when(long_enough, F.array_join(edited, " ")).otherwise(F.col(text))
+    return df.select(*columns, augmented.alias("_augmented"))
+
+
+def augment_text(df: DataFrame, synonyms: DataFrame | None = None, text: str = SOURCE, **options) -> DataFrame:
+    """Synonyms, then one swap, then one deletion, each by its probability.
 
+    Null or empty text and text of fewer than ``min_tokens`` tokens stay as they
+    are. Other text comes back joined by single blanks. Options are
+    ``synonym_prob``, ``swap_prob``, ``deletion_prob``, ``min_tokens``, ``seed``
+    and ``key``, the column that names a row for the draws.
+    """
+    augmented = _with_augmented(df, synonyms, text=text, **options)
+    return augmented.withColumn(text, F.col("_augmented")).drop("_augmented")
 
-def augment_train(df: DataFrame, synonyms: DataFrame | None = None, features: bool = True, **options) -> DataFrame:
+
+def augment_train(
+    df: DataFrame,
+    synonyms: DataFrame | None = None,
+    text: str = SOURCE,
+    target: str = TARGET,
+    script: str = BENGALI,
+    **options,
+) -> DataFrame:
     """The rows and an augmented copy of each, told apart by ``is_augmented``.
 
-    Features of the copies are computed from their new text.
+    Features that the table has are computed anew for the copies. Each row is
+    read once and emitted twice.
     """
-    copies = augment_text(df, synonyms, **options)
-    if features:
-        copies = add_features(copies).select(*df.columns)
-    return df.withColumn("is_augmented", F.lit(False)).unionByName(
-        copies.withColumn("is_augmented", F.lit(True))
-    )
+    featured = all(c in df.columns for c in FEATURES)
+    rows = _with_augmented(df, synonyms, text=text, **options)
+    changed = {text: F.col("_augmented")}
+    if featured:
+        rows = rows.withColumns({f"_{c}": f for c, f in feature_columns("_augmented", target, script).items()})
+        changed |= {c: F.col(f"_{c}") for c in FEATURES}
+    original = F.struct(*[F.col(c) for c in df.columns], F.lit(False).alias("is_augmented"))
+    copy = F.struct(*[changed.get(c, F.col(c)).alias(c) for c in df.columns], F.lit(True).alias("is_augmented"))
+    return rows.select(F.inline(F.array(original, copy)))

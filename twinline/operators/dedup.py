@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinline.columns import ID, SL, SOURCE, TARGET
-from twinline.session import checkpointed
+from twinline.session import written
 
 # Members of a block that one task compares with each other before it is split.
 BLOCK_ROWS = 4096
@@ -156,7 +156,7 @@ def _blocks(sets: DataFrame, keys: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("members"), F.min("rep").alias("lowest"))
         .filter("members > 1")
     )
-    return checkpointed(keys.join(counts, "key").join(sets, "rep"))
+    return written(keys.join(counts, "key").join(sets, "rep"), "blocks")
 
 
 def _spread(probe: DataFrame, build: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -173,9 +173,15 @@ def _spread(probe: DataFrame, build: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _similar(a: Column, b: Column, min_similarity: float) -> Column:
-    """Whether two token sets are similar; their sizes alone may rule it out."""
-    sizes = F.least(F.size(a), F.size(b)) >= F.greatest(F.size(a), F.size(b)) * min_similarity - 1e-6
-    return sizes & (_jaccard(a, b) >= min_similarity)
+    """Whether two token sets are similar; their sizes alone may rule it out.
+
+    With s shared tokens, s / (n + m - s) >= t is s >= (n + m) t / (1 + t). This
+    form intersects the sets once.
+    """
+    t = min_similarity
+    n, m = F.size(a), F.size(b)
+    sizes = F.least(n, m) >= F.greatest(n, m) * t - 1e-9
+    return sizes & (F.size(F.array_intersect(a, b)) >= (n + m) * (t / (1 + t)) - 1e-9)
 
 
 def _meets_lower(min_similarity: float) -> Column:
@@ -289,10 +295,10 @@ def deduplicate(
     """Exact deduplication, then near-duplicates by ``near_dup`` if given.
 
     The near step reads its input several times, so the exact result is written
-    to the checkpoint folder first.
+    to the shared folder first.
     """
     unique = exact_dedup(df)
     if near_dup is None:
         return unique
-    unique = checkpointed(unique)
+    unique = written(unique, "unique")
     return anti_join(unique, near_duplicate_ids(unique, min_similarity, near_dup, **minhash))

@@ -9,7 +9,6 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from twinline.columns import ID, SL, SOURCE, TARGET
 from twinline.config import ModelSpec
-from twinline.functions.text import words
 from twinline.operators.eda import token_frequency, top_tokens
 from twinline.operators.features import PREFIX_TOKEN, model_prefix
 
@@ -29,22 +28,28 @@ def build_vocab(df: DataFrame, size: int = 32_000, columns=(SOURCE, TARGET)) ->
 
 
 def _lookup(vocab: DataFrame, max_size: int):
-    """An expression that turns a token array into ids, by a broadcast table.
+    """A function of text and length that gives the ids of the first tokens.
 
-    Word ids per row need neither an explode nor a shuffle this way. The table is
+    Ids per row need neither an explode nor a shuffle this way. The table is
     broadcast only within ``max_size`` entries, and a larger one is refused.
     """
     rows = vocab.select("token", "token_id").limit(max_size + 1).collect()
     if len(rows) > max_size:
-        raise ValueError(f"vocabulary exceeds {max_size} tokens; pass a larger max_vocab or a smaller vocabulary")
+        raise ValueError(f"vocabulary exceeds {max_size} tokens; build a smaller one or raise max_vocab")
     table = vocab.sparkSession.sparkContext.broadcast(
         {PREFIX_TOKEN: PREFIX} | {r["token"]: r["token_id"] for r in rows}
     )
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ids(tokens: pd.Series) -> pd.Series:
-        known = table.value
-        return tokens.map(lambda ts: None if ts is None else [known.get(t, UNKNOWN) for t in ts])
+    def ids(text: Column, length: int) -> Column:
+        @F.pandas_udf(ArrayType(IntegerType()))
+        def encode(texts: pd.Series) -> pd.Series:
+            known = table.value
+            # Like words(): split at any Unicode whitespace, no empty tokens.
+            return texts.map(
+                lambda t: None if t is None else [known.get(w, UNKNOWN) for w in t.split(None, length)[:length]]
+            )
+
+        return encode(text)
 
     return ids
 
@@ -71,8 +76,8 @@ def encode_pairs(
     source = F.concat(F.lit(prefix) if isinstance(prefix, str) else prefix, F.col(SOURCE))
     encoded = df.select(
         *keys,
-        lookup(F.slice(words(source), 1, max_input_length)).alias("_input"),
-        lookup(F.slice(words(F.col(TARGET)), 1, max_target_length)).alias("_target"),
+        lookup(source, max_input_length).alias("_input"),
+        lookup(F.col(TARGET), max_target_length).alias("_target"),
     )
     unused = F.lit(max_input_length) - F.size("_input")
     return encoded.select(

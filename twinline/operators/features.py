@@ -53,22 +53,24 @@ edit_distance_ratio = char_overlap
 non_script_ratio = bn_char_ratio
 
 
+def feature_columns(source: str = SOURCE, target: str = TARGET, script: str = BENGALI) -> dict[str, Column]:
+    return {
+        "src_len": src_len(source),
+        "tgt_len": tgt_len(target),
+        "src_char_len": src_char_len(source),
+        "tgt_char_len": tgt_char_len(target),
+        "len_ratio": len_ratio(source, target),
+        "word_overlap": word_overlap(source, target),
+        "char_overlap": char_overlap(source, target),
+        "bn_char_ratio": bn_char_ratio(source, script),
+    }
+
+
 def add_features(
     df: DataFrame, source: str = SOURCE, target: str = TARGET, script: str = BENGALI
 ) -> DataFrame:
     """All eight features in one projection."""
-    return df.withColumns(
-        {
-            "src_len": src_len(source),
-            "tgt_len": tgt_len(target),
-            "src_char_len": src_char_len(source),
-            "tgt_char_len": tgt_char_len(target),
-            "len_ratio": len_ratio(source, target),
-            "word_overlap": word_overlap(source, target),
-            "char_overlap": char_overlap(source, target),
-            "bn_char_ratio": bn_char_ratio(source, script),
-        }
-    )
+    return df.withColumns(feature_columns(source, target, script))
 
 
 PREFIX_TOKEN = "paraphrase:"

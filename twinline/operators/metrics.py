@@ -39,51 +39,49 @@ SEPARATE_13A = (
 )
 
 
-def tokens_13a(text: Column) -> Column:
-    """Tokens as mteval-v13a cuts them."""
+def spaced_13a(text: Column) -> Column:
+    """The text with blanks between the tokens that mteval-v13a cuts."""
     for literal, replacement in UNESCAPE_13A:
         text = F.replace(text, F.lit(literal), F.lit(replacement))
     text = F.concat(F.lit(" "), text, F.lit(" "))
     for pattern, replacement in SEPARATE_13A:
         text = F.regexp_replace(text, pattern, replacement)
-    return words(text)
+    return text
 
 
 def _ngram_counts(tokens, n: int) -> Counter:
     return Counter(zip(*(tokens[i:] for i in range(n))))
 
 
-@F.pandas_udf(StructType([StructField(f"match_{n}", IntegerType()) for n in ORDERS]))
-def clipped_matches(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
-    """Matches per order, each n-gram counted no more often than the reference has it.
+BLEU_COLUMNS = ("sys_len", "ref_len") + tuple(f"{kind}_{n}" for n in ORDERS for kind in ("match", "total"))
+
+
+@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in BLEU_COLUMNS]))
+def ngram_statistics(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    """Lengths, and per order the n-grams and those matched, each counted no more
+    often than the reference has it.
 
     Counting takes time in proportion to the text. Array expressions have no
-    multiset intersection, and emulating it took ten times as long.
+    multiset intersection, and emulating it took several times as long.
     """
     rows = []
     for p, r in zip(prediction, reference):
-        if p is None or r is None:
-            rows.append([0] * len(ORDERS))
-            continue
-        p, r = list(p), list(r)
-        rows.append([(_ngram_counts(p, n) & _ngram_counts(r, n)).total() for n in ORDERS])
-    return pd.DataFrame(rows, columns=[f"match_{n}" for n in ORDERS])
+        p, r = (p or "").split(), (r or "").split()
+        row = [len(p), len(r)]
+        for n in ORDERS:
+            row += [(_ngram_counts(p, n) & _ngram_counts(r, n)).total(), max(len(p) - n + 1, 0)]
+        rows.append(row)
+    return pd.DataFrame(rows, columns=BLEU_COLUMNS)
 
 
 def bleu_columns(df: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """Add each row's lengths and n-gram matches and totals for orders 1 to 4."""
-    df = df.withColumns({"_p": tokens_13a(F.col(prediction)), "_r": tokens_13a(F.col(reference))})
-    df = df.withColumn("_matches", clipped_matches("_p", "_r"))
-    columns = {"sys_len": F.size("_p"), "ref_len": F.size("_r")}
-    for n in ORDERS:
-        columns[f"match_{n}"] = F.col(f"_matches.match_{n}")
-        columns[f"total_{n}"] = F.greatest(F.size("_p") - (n - 1), F.lit(0))
-    return df.withColumns(columns).drop("_p", "_r", "_matches")
+    statistics = ngram_statistics(spaced_13a(F.col(prediction)), spaced_13a(F.col(reference)))
+    return df.withColumn("_bleu", statistics).select(*df.columns, "_bleu.*")
 
 
 def _bleu_sums() -> list[Column]:
-    names = ["sys_len", "ref_len"] + [f"{kind}_{n}" for n in ORDERS for kind in ("match", "total")]
-    return [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]
+    return [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in BLEU_COLUMNS]
 
 
 def _bleu_score() -> Column:
@@ -114,13 +112,13 @@ def bleu(
     return sums.withColumn("BLEU", _bleu_score())
 
 
-def rouge_tokens(text: Column, tokenizer: str = "unicode") -> Column:
-    """Lower-cased tokens: runs of ASCII letters and digits, or of any script's
-    letters, marks and digits."""
-    kept = {"ascii": r"[^a-z0-9]+", "unicode": r"[^\p{L}\p{M}\p{N}]+"}
-    if tokenizer not in kept:
+def rouge_text(text: Column, tokenizer: str = "unicode") -> Column:
+    """Lower-cased tokens with blanks between: runs of ASCII letters and digits,
+    or of any script's letters, marks and digits."""
+    dropped = {"ascii": r"[^a-z0-9]+", "unicode": r"[^\p{L}\p{M}\p{N}]+"}
+    if tokenizer not in dropped:
         raise ValueError(f"unknown tokenizer: {tokenizer}")
-    return F.filter(F.split(F.lower(text), kept[tokenizer]), lambda t: t != "")
+    return F.regexp_replace(F.lower(text), dropped[tokenizer], " ")
 
 
 def _lcs_length(a, b) -> int:
@@ -136,27 +134,22 @@ def _lcs_length(a, b) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(IntegerType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if x is None or y is None else _lcs_length(x, y) for x, y in zip(a, b)], dtype="Int32"
-    )
+@F.pandas_udf(DoubleType())
+def lcs_f1(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+    """F1 of the common subsequence: 2PR / (P + R) with P = lcs / |p|, R = lcs / |r|."""
+    scores = []
+    for p, r in zip(prediction, reference):
+        p, r = (p or "").split(), (r or "").split()
+        scores.append(2 * _lcs_length(p, r) / (len(p) + len(r)) if p and r else 0.0)
+    return pd.Series(scores, dtype="float64")
 
 
 def rouge_l_columns(
     df: DataFrame, prediction: str = "prediction", reference: str = "reference", tokenizer: str = "unicode"
 ) -> DataFrame:
     """Add each row's ``rouge_l``: F1 of the longest common token subsequence."""
-    df = df.withColumns(
-        {
-            "_p": rouge_tokens(F.col(prediction), tokenizer),
-            "_r": rouge_tokens(F.col(reference), tokenizer),
-        }
-    )
-    # 2PR/(P+R) with P = lcs/|p| and R = lcs/|r|.
-    both = F.size("_p") + F.size("_r")
-    f1 = F.when(both > 0, 2 * F.col("_lcs") / both).otherwise(0.0)
-    return df.withColumn("_lcs", lcs_length("_p", "_r")).withColumn("rouge_l", f1).drop("_p", "_r", "_lcs")
+    sides = (rouge_text(F.col(c), tokenizer) for c in (prediction, reference))
+    return df.withColumn("rouge_l", lcs_f1(*sides))
 
 
 def rouge_l(df: DataFrame, by: tuple[str, ...] = (), tokenizer: str = "unicode", **columns) -> DataFrame:

@@ -106,6 +106,7 @@ def run_augment(
     base: str,
     synonyms: DataFrame | None = None,
     config: CorpusConfig = CorpusConfig(),
+    script: str = BENGALI,
     force: bool = False,
 ) -> DataFrame:
     """The train split and its augmented copies."""
@@ -114,6 +115,7 @@ def run_augment(
         rows = augment_train(
             split_source(spark, base, "train"),
             synonyms,
+            script=script,
             synonym_prob=config.synonym_prob,
             swap_prob=config.swap_prob,
             deletion_prob=config.deletion_prob,

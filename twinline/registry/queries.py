@@ -14,7 +14,7 @@ from twinline.operators import augment, clean, dedup, eda, encode, features, met
 from twinline.plans import corpus
 from twinline.registry import views
 from twinline.registry.views import SCRIPT
-from twinline.session import run_dir
+from twinline.session import run_dir, written
 from twinline.sources import files, pairs, records, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,8 +145,9 @@ def _anti_join(spark, sf):
     return dedup.anti_join(conv, profile.duplicate_ids(conv))
 
 
-def _near_dup_lsh(spark, sf):
-    return dedup.near_dup_lsh(views.unique_docs(spark, sf), 0.95)
+def _near_dup(operator: Callable, min_similarity: float) -> Query:
+    # These operators read their input several times.
+    return lambda spark, sf: operator(written(views.unique_docs(spark, sf), "unique"), min_similarity)
 
 
 # --- 2.5 profiles ------------------------------------------------------------------
@@ -182,8 +183,8 @@ def _augment_text(spark, sf):
 
 
 def _augment_train(spark, sf):
-    train = split.split_rows(views.featured_docs(spark, sf)).filter("split = 'train'").drop("split")
-    both = augment.augment_train(train, views.synonyms(spark), features=False, **AUGMENT)
+    train = split.split_rows(views.unique_docs(spark, sf)).filter("split = 'train'").drop("split")
+    both = augment.augment_train(train, views.synonyms(spark), **AUGMENT)
     return both.select(SL, SOURCE, TARGET, "is_augmented")
 
 
@@ -289,7 +290,7 @@ def _run_eda(spark, sf):
 
 
 def _run_augment(spark, sf):
-    rows = corpus.run_augment(spark, _preprocessed(spark, sf), views.synonyms(spark), CONFIG)
+    rows = corpus.run_augment(spark, _preprocessed(spark, sf), views.synonyms(spark), CONFIG, SCRIPT)
     return rows.select(SL, SOURCE, TARGET, "src_len", "word_overlap", "is_augmented")
 
 
@@ -339,10 +340,10 @@ QUERIES: dict[str, Query] = {
     "length_band": lambda spark, sf: clean.length_band(views.pairs_docs(spark, sf), 5, 40),
     "script_match": _script_match,
     "exact_dedup": views.unique_docs,
-    "near_dup_lsh": _near_dup_lsh,
-    "near_dup_exact": lambda spark, sf: dedup.near_dup_exact(views.unique_docs(spark, sf), 0.95),
-    "near_dup_exact_t80": lambda spark, sf: dedup.near_dup_exact(views.unique_docs(spark, sf), 0.8),
-    "similarity_self_join": lambda spark, sf: dedup.similarity_self_join(views.unique_docs(spark, sf), 0.8),
+    "near_dup_lsh": _near_dup(dedup.near_dup_lsh, 0.95),
+    "near_dup_exact": _near_dup(dedup.near_dup_exact, 0.95),
+    "near_dup_exact_t80": _near_dup(dedup.near_dup_exact, 0.8),
+    "similarity_self_join": _near_dup(dedup.similarity_self_join, 0.8),
     "anti_join": _anti_join,
     "deduplicate": lambda spark, sf: dedup.deduplicate(views.clean_docs(spark, sf), "exact", 0.95),
     "profile": lambda spark, sf: profile.profile(views.pairs_conv(spark, sf), SCRIPT),

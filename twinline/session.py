@@ -57,9 +57,12 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df):
-    """Write ``df`` to the reliable checkpoint folder and go on from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def written(df, name: str = "step"):
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    This cuts the lineage like a checkpoint, survives lost executors, and leaves
+    a columnar table whose size the optimizer knows.
+    """
+    path = f"{run_dir(df.sparkSession, name)}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
