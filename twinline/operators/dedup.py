@@ -54,7 +54,8 @@ def _tokens(text: str) -> Column:
 
 
 def _set_hash(tokens: Column) -> Column:
-    return F.md5(F.array_join(tokens, " "))
+    # Never null, or the join would test the whole expression for null first.
+    return F.coalesce(F.md5(F.array_join(tokens, " ")), F.lit(""))
 
 
 def token_sets(df: DataFrame, text: str = SOURCE, id_column: str = ID) -> DataFrame:
@@ -145,7 +146,7 @@ def minhash_keys(
 
 
 def _blocks(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """Sets that share a key: ``(key, members, lowest, rep, tokens)``.
+    """Sets that share a key: ``(key, members, lowest, rep, tokens, bits)``.
 
     Most keys of a real corpus are filed by one set. They are thrown out while
     rows are a key and an id; tokens are then joined to what is left, and that is
@@ -156,7 +157,8 @@ def _blocks(sets: DataFrame, keys: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("members"), F.min("rep").alias("lowest"))
         .filter("members > 1")
     )
-    return written(keys.join(counts, "key").join(sets, "rep"), "blocks")
+    blocks = keys.join(counts, "key").join(sets, "rep")
+    return written(blocks.withColumn("bits", _bitmap(F.col("tokens"))), "blocks")
 
 
 def _spread(probe: DataFrame, build: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,16 +174,28 @@ def _spread(probe: DataFrame, build: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _similar(a: Column, b: Column, min_similarity: float) -> Column:
-    """Whether two token sets are similar; their sizes alone may rule it out.
+def _bitmap(tokens: Column) -> Column:
+    """One bit per token, by hash, in a 64-bit number."""
+    one = F.lit(1).cast("bigint")
+    bits = F.transform(
+        tokens, lambda x: F.call_function("shiftleft", one, F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    )
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda all_bits, b: all_bits.bitwiseOR(b))
+
+
+def _similar(a: Column, a_bits: Column, b: Column, b_bits: Column, min_similarity: float) -> Column:
+    """Whether two token sets are similar.
 
-    With s shared tokens, s / (n + m - s) >= t is s >= (n + m) t / (1 + t). This
-    form intersects the sets once.
+    With s shared tokens, s / (n + m - s) >= t is s >= (n + m) t / (1 + t), and
+    n + m - 2s <= (n + m) (1 - t) / (1 + t) tokens are in one set only. Each bit
+    that differs stands for at least one of those, so sizes and bits turn most
+    pairs away before the sets are intersected, which is then done once.
     """
     t = min_similarity
     n, m = F.size(a), F.size(b)
     sizes = F.least(n, m) >= F.greatest(n, m) * t - 1e-9
-    return sizes & (F.size(F.array_intersect(a, b)) >= (n + m) * (t / (1 + t)) - 1e-9)
+    bits = F.bit_count(a_bits.bitwiseXOR(b_bits)) <= (n + m) * ((1 - t) / (1 + t)) + 1e-9
+    return sizes & bits & (F.size(F.array_intersect(a, b)) >= (n + m) * (t / (1 + t)) - 1e-9)
 
 
 def _meets_lower(min_similarity: float) -> Column:
@@ -190,28 +204,34 @@ def _meets_lower(min_similarity: float) -> Column:
         (F.col("p.key") == F.col("b.key"))
         & (F.col("p.salt") == F.col("b.salt"))
         & (F.col("b.rep") < F.col("p.rep"))
-        & _similar(F.col("p.tokens"), F.col("b.tokens"), min_similarity)
+        & _similar(F.col("p.tokens"), F.col("p.bits"), F.col("b.tokens"), F.col("b.bits"), min_similarity)
     )
 
 
 def _similar_to_lower(sets: DataFrame, keys: DataFrame, min_similarity: float) -> DataFrame:
     """Lowest ids of sets that resemble a set with a lower lowest id."""
     blocks = _blocks(sets, keys)
-    lowest = blocks.filter("rep = lowest").select("key", F.col("tokens").alias("lowest_tokens"))
+    lowest = blocks.filter("rep = lowest").select(
+        "key", F.col("tokens").alias("lowest_tokens"), F.col("bits").alias("lowest_bits")
+    )
     others = blocks.filter("rep > lowest")
 
     # Each set against the lowest member of its blocks. That decides blocks of
     # two, and takes the bulk out of a large group of near-copies.
     like_lowest = (
         others.join(lowest, "key")
-        .filter(_similar(F.col("tokens"), F.col("lowest_tokens"), min_similarity))
+        .filter(
+            _similar(
+                F.col("tokens"), F.col("bits"), F.col("lowest_tokens"), F.col("lowest_bits"), min_similarity
+            )
+        )
         .select("rep")
         .distinct()
     )
 
     # The others against the rest of their block. A semi join stops at the first
     # similar set and emits a set at most once per key and salt, never pairs.
-    build = others.filter("members > 2").select("key", "members", "rep", "tokens")
+    build = others.filter("members > 2").select("key", "members", "rep", "tokens", "bits")
     probe = build.join(like_lowest, "rep", "left_anti")
     probe, build = _spread(probe, build)
     like_other = (
@@ -274,7 +294,7 @@ def similarity_self_join(
     nothing is lost, and n copies give n - 1 links in place of n(n-1)/2.
     """
     sets = token_sets(df, text, id_column)
-    blocks = _blocks(sets, segment_keys(sets, min_similarity)).select("key", "members", "rep", "tokens")
+    blocks = _blocks(sets, segment_keys(sets, min_similarity)).select("key", "members", "rep", "tokens", "bits")
     probe, build = _spread(blocks, blocks)
     distance = 1 - _jaccard(F.col("p.tokens"), F.col("b.tokens"))
     links = (

@@ -25,7 +25,7 @@ from twinline.operators.features import add_features
 from twinline.operators.metrics import evaluate_all, evaluate_run
 from twinline.operators.profile import require_valid, validation_record
 from twinline.operators.split import SPLITS, split_rows
-from twinline.sources.files import output_ready
+from twinline.sources.files import delete, output_ready
 from twinline.sources.pairs import dev_subset, read_pairs, split_source, write_parquet
 from twinline.sources.records import json_summary_sink, read_run_metrics, write_run_metrics, write_run_summary
 from twinline.sources.stages import is_done, mark_done, stage_status
@@ -78,7 +78,12 @@ def run_preprocess(
         featured = write_parquet(add_features(pairs, script=script), f"{base}/interim/featured.parquet")
         record = validation_record(featured, "clean", script)
         json_summary_sink(record, f"{base}/reports/validation_summary.json")
-        require_valid(spark.read.json(f"{base}/reports/validation_summary.json"))
+        try:
+            require_valid(spark.read.json(f"{base}/reports/validation_summary.json"))
+        except ValueError:
+            # Later stages must not find rows that failed.
+            delete(spark, f"{base}/interim/featured.parquet")
+            raise
 
         split = split_rows(featured, config.train_split, config.validation_split, config.seed)
         write_parquet(split, f"{base}/processed", ("split",))
