@@ -99,10 +99,6 @@ def _with(body: str, *more: str) -> str:
     return VIEWS + "".join(f", {m}\n" for m in more) + body
 
 
-def _pick(sl: str = "sl") -> str:
-    return f"SELECT {sl}, "
-
-
 # --- near-duplicates: every pair of rows, by brute force -------------------------
 
 SETS = rf"""sets AS MATERIALIZED (
@@ -187,7 +183,6 @@ HISTOGRAM = _with(
 
 def _replaced(tokens: str, p: float) -> str:
     choice = _u("sl", "choice", "i - 1")
-    found = "(SELECT alternatives FROM synonyms s WHERE s.token = t)"
     return f"""SELECT sl, list(CASE WHEN {_u("sl", "synonym", "i - 1")} < {p}
           THEN coalesce(alts[floor({choice} * len(alts))::INTEGER + 1], t) ELSE t END ORDER BY i) AS tokens
         FROM (SELECT x.sl, x.i, x.t, y.alternatives AS alts
