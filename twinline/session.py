@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -66,3 +69,25 @@ def written(df, name: str = "step"):
     path = f"{run_dir(df.sparkSession, name)}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package: its modules go to the shared folder as a zip.
+
+    Functions that run in Python workers are found there by name, wherever the job was
+    started. Once a session is enough.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_twinline_shipped", False):
+        return
+    root = Path(__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for module in sorted(root.rglob("*.py")):
+            archive.write(module, f"twinline/{module.relative_to(root)}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{run_dir(spark, 'modules')}/twinline_modules.zip")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(path.toString())
+    context._twinline_shipped = True
