@@ -13,7 +13,7 @@ Tokenizers are read, never trained; the file's content is broadcast (a few MB).
 from __future__ import annotations
 
 import json
-import os
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,6 +46,9 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary in the tokenizers library's file format."""
 
@@ -59,20 +62,24 @@ class Vocabulary:
             self.token_bytes[i] = bytes(byte_of[c] for c in letters)
             self.ids[self.token_bytes[i]] = i
         self.ranks: dict[tuple[int, int], int] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.made: dict[int, int] = {}  # the rank at which a token is made of its halves
         for rank, pair in enumerate(model["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[model["vocab"][left], model["vocab"][right]] = rank
+            left, right = (model["vocab"][half] for half in (pair.split(" ") if isinstance(pair, str) else pair))
+            self.ranks[left, right] = rank
+            whole = self.ids.get(self.token_bytes[left] + self.token_bytes[right])
+            if whole is not None and whole not in self.halves:
+                self.halves[whole], self.made[whole] = (left, right), rank
         # Tokens that stand for themselves in a text, before it is cut into words.
         self.added = {a["content"]: a["id"] for a in data["added_tokens"]}
         for content_, i in self.added.items():
             self.token_bytes[i] = content_.encode()
-        # Every ending of a token: the token's id if it is one itself, else -1.
-        self.endings: dict[bytes, int] = {}
-        for token in self.ids:
-            for start in range(1, len(token)):
-                self.endings.setdefault(token[start:], -1)
-        self.endings |= self.ids
-        self.longest = max(map(len, self.ids), default=0)
+        # For each beginning of a token, the tokens that end where it ends, longest first.
+        beginnings = {token[:n] for token in self.ids for n in range(1, len(token) + 1)}
+        self.endings = {
+            text: tuple((self.ids[text[i:]], len(text) - i) for i in range(len(text)) if text[i:] in self.ids)
+            for text in beginnings
+        }
         self.follows: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
 
@@ -87,40 +94,64 @@ class Vocabulary:
         return parts
 
     def can_follow(self, left: int, right: int) -> bool:
-        """Whether the two tokens next to each other are their own encoding."""
-        known = self.follows.get((left, right))
-        if known is None:
-            if len(self.follows) >= CACHE_PAIRS:
-                self.follows.clear()
-            known = self.merged(self.token_bytes[left] + self.token_bytes[right]) == [left, right]
-            self.follows[left, right] = known
-        return known
+        """Whether the two tokens next to each other are their own encoding.
+
+        They are not if, while either is being made, the piece at the left token's end
+        and the piece at the right one's start have a merge that comes first.
+        """
+        ends, starts = [left], [right]
+        while ends[-1] in self.halves:
+            ends.append(self.halves[ends[-1]][1])
+        while starts[-1] in self.halves:
+            starts.append(self.halves[starts[-1]][0])
+        never = 1 << 60
+        i, j = len(ends) - 1, len(starts) - 1
+        while True:
+            across = self.ranks.get((ends[i], starts[j]), never)
+            grow_left = self.made[ends[i - 1]] if i else never
+            grow_right = self.made[starts[j - 1]] if j else never
+            if across < grow_left and across <= grow_right:
+                return False
+            if i == j == 0:
+                return True
+            if grow_left <= grow_right:
+                i -= 1
+            else:
+                j -= 1
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Each word with its ids (little-endian, 32 bits), walking the trie of the words."""
-        endings, token_bytes, longest = self.endings, self.token_bytes, self.longest
-        path, last = b"", []  # last[i]: last token of the encoding of path[:i + 1]
-        for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
-            shared = len(os.path.commonprefix((path, raw)))
-            del last[shared:]
-            path = raw
+        endings, token_bytes, follows = self.endings, self.token_bytes, self.follows
+        # By length of the path so far: the last token of its encoding, and the length of
+        # the longest beginning of a token at its end.
+        path, last, longest = b"", [], [0]
+        for raw, word in sorted((w.encode(), w) for w in words):
+            shared, most = 0, min(len(path), len(raw))
+            while shared < most and path[shared] == raw[shared]:
+                shared += 1
+            del last[shared:], longest[shared + 1 :]
+            path, reach = raw, longest[shared]
             for end in range(shared + 1, len(raw) + 1):
-                fitting = []
-                for start in range(end - 1, max(end - longest, 0) - 1, -1):
-                    token = endings.get(raw[start:end])
-                    if token is None:
+                reach += 1
+                while (fitting := endings.get(raw[end - reach : end])) is None:
+                    reach -= 1
+                longest.append(reach)
+                for token, length in fitting:
+                    if length == end:
                         break
-                    if token >= 0:
-                        fitting.append((start, token))
-                for start, token in reversed(fitting):
-                    if start == 0 or self.can_follow(last[start - 1], token):
-                        last.append(token)
+                    pair = (last[end - 1 - length], token)
+                    if (good := follows.get(pair)) is None:
+                        if len(follows) >= CACHE_PAIRS:
+                            follows.clear()
+                        good = follows[pair] = self.can_follow(*pair)
+                    if good:
                         break
+                last.append(token)
             ids, end = [], len(raw)
             while end:
                 ids.append(last[end - 1])
                 end -= len(token_bytes[ids[-1]])
-            yield word, np.array(ids[::-1], "<u4").tobytes()
+            yield word, _PACK[len(ids)](*reversed(ids)) if len(ids) < len(_PACK) else np.array(ids[::-1], "<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         """The text cut at added tokens; these are at the odd places."""
