@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import bpe, shard, url_filter
+from twinline.llm import bpe, recompress, shard, suffix_dedup, url_filter
 
 # The host and path of each rule, and what it says.
 URL_RULES = (
@@ -54,10 +54,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 100))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digests(recompress.remove_repeated_words(table(spark, sf_dir, "documents"), 50))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 _URL_PARTS = """
