@@ -145,7 +145,7 @@ def repeated_windows(docs: DataFrame, window: int, rounds: int = PAIR_ROUNDS) ->
             first = np.flatnonzero(new)
             least = np.repeat(docs_[order][first], np.diff([*first, len(order)]))
             later = order[docs_[order] > least]
-            go = order[first]
+            go = order[docs_[order] == least]
             bucket = (mix(key[go]) % np.uint64(count)).astype(np.int32)
             # In order of document and start, which packs well.
             by = np.lexsort((starts[go], docs_[go]))
