@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import bpe, recompress, shard, suffix_dedup, url_filter
+from twinline.llm import bpe, ngram_join, recompress, shard, suffix_dedup, url_filter
 
 # The host and path of each rule, and what it says.
 URL_RULES = (
@@ -62,12 +62,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digests(recompress.remove_repeated_words(table(spark, sf_dir, "documents"), 50))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), 4, 85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 _URL_PARTS = """
