@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import bpe, ngram_join, recompress, shard, suffix_dedup, url_filter
+from twinline.llm import bpe, multi_index, ngram_join, recompress, shard, suffix_dedup, url_filter
 
 # The host and path of each rule, and what it says.
 URL_RULES = (
@@ -62,6 +62,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digests(recompress.remove_repeated_words(table(spark, sf_dir, "documents"), 50))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest_neighbours(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), 4, 85)
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
