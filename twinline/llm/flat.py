@@ -104,6 +104,11 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def run_lengths(first: np.ndarray, total: int) -> np.ndarray:
+    """How long the runs are that begin at ``first``, of ``total`` values."""
+    return np.diff(first, append=total)
+
+
 def dealt(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """A row for each bucket with its part of the columns, packed."""
     order = np.argsort(bucket, kind="stable")

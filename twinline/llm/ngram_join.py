@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinline.llm.components import components
-from twinline.llm.flat import buckets, chunks, dealt, mix, runs, unpacked, words
+from twinline.llm.flat import buckets, chunks, dealt, mix, run_lengths, runs, unpacked, words
 from twinline.session import ship, written
 
 # Sets in the index of one search, and entries that are merged by a heap (more by sorting).
@@ -100,7 +100,7 @@ def _chained(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, percent: int
     first = np.flatnonzero(new)
     if not len(first):
         return docs, docs
-    least = np.repeat(np.minimum.reduceat(docs, first), np.diff([*first, len(docs)]))
+    least = np.repeat(np.minimum.reduceat(docs, first), run_lengths(first, len(docs)))
     return docs[docs != least], least[docs != least]
 
 
@@ -122,7 +122,7 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (size[1:] != size[:-1])
             first = np.flatnonzero(new)
-            least = np.repeat(docs[first], np.diff([*first, len(keys)])) if len(first) else docs
+            least = np.repeat(docs[first], run_lengths(first, len(keys))) if len(first) else docs
             bucket = (mix(keys[first]) % np.uint64(count)).astype(np.int32)
             yield _rows(dealt(bucket, {"keys": keys[first], "docs": docs[first], "sizes": size[first]}))
             links = np.unique(np.column_stack((docs[~new], least[~new])), axis=0)
@@ -194,7 +194,7 @@ class Index:
             lists = [self.owners[a : a + n].tolist() for a, n in zip(begins.tolist(), lengths.tolist()) if n]
             merged = np.fromiter(heapq.merge(*lists), np.int64)
             first = runs(merged) if len(merged) else np.zeros(0, np.int64)
-            return merged[first], np.diff([*first, len(merged)])
+            return merged[first], run_lengths(first, len(merged))
         counts = np.zeros(len(self.sizes), np.int64)
         for a, n in zip(begins.tolist(), lengths.tolist()):
             counts[self.owners[a : a + n]] += 1  # a set is in a list once

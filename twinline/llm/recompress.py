@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinline.llm import repeats
-from twinline.llm.flat import buckets, chunks, dealt, flat, mix, powers, unpacked, words
+from twinline.llm.flat import buckets, chunks, dealt, flat, mix, powers, run_lengths, unpacked, words
 from twinline.session import ship
 
 PAIR_ROUNDS = 4
@@ -56,7 +57,7 @@ def symbols(names: np.ndarray, rows: np.ndarray, rounds: int = PAIR_ROUNDS) -> t
             alike = np.zeros(n + 1, bool)
             alike[1:-1] = same[1:-1] & (names[1:] == names[:-1])
             run = np.flatnonzero(~alike[:-1])
-            size = np.diff([*run, n])
+            size = run_lengths(run, n)
             within = np.arange(n) - np.repeat(run, size)
             joins = (within % 2 == 0) & (within + 1 < np.repeat(size, size))
             # What decides is the run up to here, and that it ends or goes on.
@@ -111,6 +112,7 @@ def repeated_windows(docs: DataFrame, window: int, rounds: int = PAIR_ROUNDS) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             found = []
             for row, data, offsets in chunks(batch.column("text")):
@@ -143,7 +145,7 @@ def repeated_windows(docs: DataFrame, window: int, rounds: int = PAIR_ROUNDS) ->
             new = np.ones(len(order), bool)
             new[1:] = (digest[order][1:] != digest[order][:-1]) | (check[order][1:] != check[order][:-1])
             first = np.flatnonzero(new)
-            least = np.repeat(docs_[order][first], np.diff([*first, len(order)]))
+            least = np.repeat(docs_[order][first], run_lengths(first, len(order)))
             later = order[docs_[order] > least]
             go = order[docs_[order] == least]
             bucket = (mix(key[go]) % np.uint64(count)).astype(np.int32)
@@ -166,13 +168,13 @@ def repeated_windows(docs: DataFrame, window: int, rounds: int = PAIR_ROUNDS) ->
             new = np.ones(len(order), bool)
             new[1:] = (digest[order][1:] != digest[order][:-1]) | (check[order][1:] != check[order][:-1])
             first = np.flatnonzero(new)
-            least = np.repeat(docs_[order][first], np.diff([*first, len(order)]))
+            least = np.repeat(docs_[order][first], run_lengths(first, len(order)))
             later = order[docs_[order] > least]
             found.append(_as_runs(docs_[later], starts[later]))
         doc, start, stop = (np.concatenate(x) for x in zip(*found))
         return pa.table({"doc_id": doc, "start": start, "stop": stop})
 
-    marked = repeats.with_repeated_keys(docs, repeats.repeated_keys(docs, keys_of, across=True), left=True)
+    marked = repeats.with_repeated_keys(docs, repeats.repeated_keys(docs, keys_of, across=True))
     return marked.mapInArrow(cut, WINDOW_ROWS).groupBy("bucket").applyInArrow(match, "doc_id long, start long, stop long")
 
 

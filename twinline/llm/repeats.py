@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinline.llm.flat import buckets, chunks, dealt, mix, runs, unpacked
+from twinline.llm.flat import buckets, chunks, dealt, mix, run_lengths, runs, unpacked
 
 KEY_ROWS = "bucket int, keys binary, docs binary, states binary"
 
@@ -38,7 +38,7 @@ def _once_per_row(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
     new = np.ones(len(keys), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
     first = np.flatnonzero(new)
-    return rows[first], keys[first], np.diff([*first, len(keys)]) > 1
+    return rows[first], keys[first], run_lengths(first, len(keys)) > 1
 
 
 def repeated_keys(docs: DataFrame, keys_of: Callable, across: bool) -> DataFrame:
@@ -56,7 +56,7 @@ def repeated_keys(docs: DataFrame, keys_of: Callable, across: bool) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            found = []
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))]
             for row, data, offsets in chunks(batch.column("text")):
                 rows, keys, again = _once_per_row(*keys_of(data, offsets))
                 found.append((rows + row, keys, again))
@@ -67,7 +67,7 @@ def repeated_keys(docs: DataFrame, keys_of: Callable, across: bool) -> DataFrame
             order = np.lexsort((owner, keys))
             owner, keys, again = owner[order], keys[order], again[order]
             first = runs(keys)
-            size = np.diff([*first, len(keys)])
+            size = run_lengths(first, len(keys))
             if across:
                 several = owner[first] != owner[first + size - 1]
             else:
@@ -88,7 +88,7 @@ def repeated_keys(docs: DataFrame, keys_of: Callable, across: bool) -> DataFrame
         found = [np.flatnonzero(states == LATER_OF_SEVERAL)]
         if len(order):
             first = runs(keys[order])
-            size = np.diff([*first, len(order)])
+            size = run_lengths(first, len(order))
             several = docs[order[first]] != docs[order[first + size - 1]] if across else size > 1
             several |= np.logical_or.reduceat(states[order] == FIRST_OF_SEVERAL, first)
             found.append(order[np.repeat(several, size)])
@@ -100,10 +100,13 @@ def repeated_keys(docs: DataFrame, keys_of: Callable, across: bool) -> DataFrame
     return pairs.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
-def with_repeated_keys(docs: DataFrame, keys: DataFrame, left: bool = False) -> DataFrame:
-    """Documents with their repeated keys. ``left``: those without any too."""
-    rows = docs.filter("doc_id is not null and text is not null")
-    return rows.join(keys, "doc_id", "left" if left else "inner")
+def with_repeated_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every row with its repeated keys, or null.
+
+    A left join of all rows, as in :func:`with_runs`, so that Spark shuffles the
+    documents once for both.
+    """
+    return docs.join(keys, "doc_id", "left")
 
 
 def marked(batch: pa.RecordBatch, row: int, stop: int) -> np.ndarray:

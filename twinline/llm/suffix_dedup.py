@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from twinline.llm import repeats
-from twinline.llm.flat import BYTE_DRAW, buckets, chunks, dealt, flat, mix, runs, unpacked
+from twinline.llm.flat import BYTE_DRAW, buckets, chunks, dealt, flat, mix, run_lengths, runs, unpacked
 from twinline.session import ship
 
 # Bytes of a gram, and bytes of text that are sorted at once (a single minimizer's may be more).
@@ -106,7 +107,7 @@ def suffix_array(codes: np.ndarray, to_stop: np.ndarray, depth: int) -> np.ndarr
     first = np.flatnonzero(new)
     rank = np.empty(n + depth + 8, np.int64)
     rank[n:] = 0
-    size = np.diff([*first, n])
+    size = run_lengths(first, n)
     rank[order] = np.repeat(first, size)  # a group's rank is where it begins
     tied = order[np.repeat(size > 1, size)]
     while width < depth and len(tied):
@@ -114,7 +115,7 @@ def suffix_array(codes: np.ndarray, to_stop: np.ndarray, depth: int) -> np.ndarr
         tied = tied[(by := np.argsort(key, kind="stable"))]
         key = key[by]
         group, part = runs(key >> np.uint64(32)), runs(key)
-        sizes = np.diff([*part, len(tied)])
+        sizes = lengths(part, len(tied))
         ahead = part - group[np.searchsorted(group, part, "right") - 1]
         rank[tied] = np.repeat(rank[tied[part]] + ahead, sizes)
         tied = tied[np.repeat(sizes > 1, sizes)]
@@ -207,6 +208,7 @@ def repeated_runs(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("keys")))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             seen: dict[bytes, int] = {}
             texts, keys, docs_, starts, again = [], [], [], [], []
