@@ -115,7 +115,7 @@ def suffix_array(codes: np.ndarray, to_stop: np.ndarray, depth: int) -> np.ndarr
         tied = tied[(by := np.argsort(key, kind="stable"))]
         key = key[by]
         group, part = runs(key >> np.uint64(32)), runs(key)
-        sizes = lengths(part, len(tied))
+        sizes = run_lengths(part, len(tied))
         ahead = part - group[np.searchsorted(group, part, "right") - 1]
         rank[tied] = np.repeat(rank[tied[part]] + ahead, sizes)
         tied = tied[np.repeat(sizes > 1, sizes)]
