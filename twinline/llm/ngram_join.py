@@ -6,8 +6,11 @@ DivideSkip answers it: the longest lists are set aside, the short ones are merge
 documents that occur often enough there are looked up in the long lists by binary search.
 
 Spark brings together what can be similar. Equal sets are folded to their smallest
-document. A document files the least of its gram hashes, as many as a similar set can
-lack and one more, so similar sets file a common one. Sets that share a filed hash and
+document. A document files the first of its grams, as many as a similar set can lack and
+one more, so similar sets file a common one, whatever the order of grams is. It is by
+length, the longest first, as frequent words are short and long grams mostly unique, but
+for the grams filed most often (``COMMON_GRAMS`` at most), which all come last. So a
+passage that many documents share doesn't bring them together. Sets that share a filed hash and
 whose sizes allow it are linked; the components of those links are the indexes in which
 the search runs, many small ones to a task, and large ones in blocks of the index.
 """
@@ -25,10 +28,15 @@ from pyspark.sql import functions as F
 
 from twinline.llm.components import components
 from twinline.llm.flat import buckets, chunks, dealt, mix, run_lengths, runs, unpacked, words
+from twinline.llm.repeats import is_in
 from twinline.session import ship, written
 
 # Sets in the index of one search, and entries that are merged by a heap (more by sorting).
 INDEX_SETS = 20_000
+# Grams that come last in the order, at most (8 bytes each, sent to all tasks), and how often
+# they are filed at least. Both only steer the cost: any order gives the same links.
+COMMON_GRAMS = 500_000
+COMMON_COUNT = 8
 HEAP_ENTRIES = 400
 
 PREFIX_ROWS = "bucket int, keys binary, docs binary, sizes binary, a binary, b binary"
@@ -37,14 +45,18 @@ PREFIX_ROWS = "bucket int, keys binary, docs binary, sizes binary, a binary, b b
 def gram_sets(column: pa.Array, grams: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct hashes of the n-grams of lower-cased words) for each text.
 
+    The first bits of a hash count down from the gram's length, so long grams come first.
     A text of fewer words has one gram, all of them; one without words has none.
     """
     for row, data, offsets in chunks(column):
-        names, rows, _, _ = words(data, offsets, lower=True)
+        names, rows, begins, ends = words(data, offsets, lower=True)
+        size = np.concatenate(([0], np.cumsum(ends - begins)))
         first = np.searchsorted(rows, np.arange(len(offsets)))
         hashes = np.zeros(len(names), np.uint64)
         for k in range(grams):
             hashes[: len(names) - k] = mix(hashes[: len(names) - k] + names[k:])
+        short = 255 - np.minimum(size[grams:] - size[: len(size) - grams], 255)
+        hashes = (hashes[: len(short)] >> np.uint64(8)) | (short.astype(np.uint64) << np.uint64(56))
         for i in range(len(offsets) - 1):
             a, b = int(first[i]), int(first[i + 1])
             if b - a >= grams:
@@ -67,8 +79,46 @@ def _least_overlap(n: int, percent: int) -> int:
     return max(1, -(-n * percent // 100))
 
 
-def fingerprints(docs: DataFrame, grams: int, percent: int) -> DataFrame:
+def _prefix(found: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The first grams of a set in the global order, one more than a similar set can lack."""
+    size = len(found) - _least_overlap(len(found), percent) + 1
+    if not len(common):
+        return found[:size]
+    head = found[: 2 * size]
+    late = is_in(head, common)
+    if np.count_nonzero(~late) < size:
+        head, late = found, is_in(found, common)
+    return np.concatenate((head[~late], head[late]))[:size]
+
+
+def common_grams(docs: DataFrame, grams: int, percent: int, most: int) -> np.ndarray:
+    """The grams that most documents would file, sorted; counted over all documents."""
+    count = buckets(docs)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filed = [_prefix(found, percent, np.zeros(0, np.uint64)) for _, found in gram_sets(batch.column("text"), grams) if len(found)]
+            if filed:
+                keys, counts = np.unique(np.concatenate(filed), return_counts=True)
+                yield dealt((mix(keys) % np.uint64(count)).astype(np.int32), {"keys": keys, "counts": counts.astype(np.int32)})
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, counts = unpacked(table, "keys", "u8"), unpacked(table, "counts", "i4")
+        order = np.argsort(keys)
+        first = runs(keys[order])
+        total = np.add.reduceat(counts[order], first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+        often = total >= COMMON_COUNT
+        return pa.table({"key": keys[order][first][often].view(np.int64), "n": total[often]})
+
+    rows = docs.filter("text is not null").select("text").mapInArrow(scan, "bucket int, keys binary, counts binary")
+    counted = rows.groupBy("bucket").applyInArrow(add, "key long, n long")
+    top = counted.orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
+    return np.sort(top.column("key").to_numpy().view(np.uint64))
+
+
+def fingerprints(docs: DataFrame, grams: int, percent: int, common: np.ndarray) -> DataFrame:
     """``(doc_id, n_shingles, fingerprint, prefix)`` for each row."""
+    late = docs.sparkSession.sparkContext.broadcast(common)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +128,7 @@ def fingerprints(docs: DataFrame, grams: int, percent: int) -> DataFrame:
                 both = np.array([mix(found).sum(dtype=np.uint64), mix(found ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)])
                 sizes.append(n)
                 prints.append(both.tobytes() if n else None)
-                prefixes.append(found[: n - _least_overlap(n, percent) + 1].tobytes() if n else None)
+                prefixes.append(_prefix(found, percent, late.value).tobytes() if n else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(prefixes, pa.binary())],
                 names=["doc_id", "n_shingles", "fingerprint", "prefix"],
@@ -274,7 +324,7 @@ def similar_documents(
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = written(fingerprints(docs, grams, percent), "sets")
+    prints = written(fingerprints(docs, grams, percent, common_grams(docs, grams, percent, COMMON_GRAMS)), "sets")
     known = prints.filter("doc_id is not null and fingerprint is not null")
     classes = known.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     # One row for each distinct set; of rows that share an id, every set counts.
