@@ -29,6 +29,7 @@ SAMPLE = 8192  # vectors that the centroids are fitted on, at most
 CANDIDATES = 6000
 SHARE = 0.35
 PIECE_ROWS = 4096  # distinct vectors of a cell that are ranked together
+UNIT_ROWS = 1024  # distinct vectors that a unit of cells and pieces holds on average
 ROUNDS = 12
 
 
@@ -163,7 +164,7 @@ def nearest_neighbours(
     if not distinct:
         return spark.createDataFrame([], out)
     cells = spark.sparkContext.broadcast(fit(classes, distinct))
-    units = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    units = -(-distinct // UNIT_ROWS)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
