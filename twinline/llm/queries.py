@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import bpe, decontaminate, html_text, multi_index, ngram_join, recompress, shard, suffix_dedup, url_filter
+from twinline.llm import bpe, decontaminate, html_text, multi_index, ngram_join, recompress, shard, suffix_dedup, toxicity, url_filter
 
 # The host and path of each rule, and what it says.
 URL_RULES = (
@@ -54,6 +54,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_html_extraction": op6_html_extraction,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
