@@ -1,8 +1,97 @@
-"""The corpus pipeline; filled in once its operators stand."""
+"""The corpus pipeline: five stages, each on all that the one before it kept.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir), docs with the columns of ``documents``, and returns
+a DataFrame of the same columns; the last returns what training reads. Each is written
+as Parquet and read again before the next. A stage runs its operator over the documents
+it is given and acts on what the operator says; a document without an id takes part in
+no pair and is kept by the stages that compare documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinline.llm import bpe, decontaminate, ngram_join, suffix_dedup, toxicity
+from twinline.llm.queries import tokenizer_path
+from twinline.session import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+GRAM_WORDS, SIMILAR_PERCENT = 5, 80
+REPEATED_BYTES = 100
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under a half stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    field = toxicity.train(docs.select("doc_id", "text"), labels)
+    return toxicity.score(docs, field).filter("score < 0.5").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of five-word n-grams connect, the smallest doc_id stays.
+
+    Repeated rows of a document that stays count as copies of it: one stays.
+    """
+    classes = ngram_join.similar_documents(docs, GRAM_WORDS, SIMILAR_PERCENT)
+    gone = classes.filter("component_id < doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null")).select(*COLUMNS)
+
+
+def repeated_bytes_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that are found earlier go; a document that loses all of them goes too.
+
+    A character of which a byte is cut goes as a whole. n_chars is counted anew.
+    """
+    cut = suffix_dedup.remove_repeats(docs, REPEATED_BYTES)
+    left = suffix_dedup.whole_characters("kept")
+    changed = F.col("n_removed") > 0
+    return (
+        cut.withColumn("text", F.when(changed, left).otherwise(F.col("text")))
+        .filter(~changed | (F.length("text") > 0))
+        .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        .select(*COLUMNS)
+    )
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaked = decontaminate.leaks(docs, items).select("doc_id").distinct()
+    return docs.join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with the digests that tell whether decoding gives it back."""
+    coded = bpe.encode_decode(docs.select("doc_id", "text"), tokenizer_path())
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "ids",
+    )
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("suffix_array_dedup", repeated_bytes_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("bpe", encoding_stage),
+]
+
+# SQL can express neither the trained scores nor the tokenizer; tests/llm compares the
+# stages with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -68,7 +68,8 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 100))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(docs, 100))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

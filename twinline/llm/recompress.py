@@ -210,7 +210,7 @@ def remove_repeated_words(
     and don't remove each other; other columns are ignored; an empty table gives an empty one.
     """
     ship(df.sparkSession)
-    docs = repeats.documents(df, doc_id, text)
+    docs = repeats.documents(df.select(doc_id, text), doc_id, text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,8 +27,11 @@ KEY_ROWS = "bucket int, keys binary, docs binary, states binary"
 ONCE, FIRST_OF_SEVERAL, LATER_OF_SEVERAL = 0, 1, 2
 
 
-def documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def documents(df: DataFrame, doc_id: str, text: str, made: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` and ``text`` under these names, and the other columns but for those ``made`` anew."""
+    clash = {doc_id, text, "doc_id", "text", "keys", "runs", *made}
+    others = [c for c in df.columns if c not in clash]
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *others)
 
 
 def _once_per_row(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +98,7 @@ def repeated_keys(docs: DataFrame, keys_of: Callable, across: bool) -> DataFrame
         found = np.concatenate(found)
         return pa.table({"doc_id": docs[found], "key": keys[found].view(np.int64)})
 
-    rows = docs.filter("doc_id is not null and text is not null").mapInArrow(scan, KEY_ROWS)
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(scan, KEY_ROWS)
     pairs = rows.groupBy("bucket").applyInArrow(match, "doc_id long, key long")
     return pairs.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -308,15 +308,23 @@ def _known_batch(packed: pa.RecordBatch) -> pa.RecordBatch:
 def remove_repeats(
     df: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM
 ) -> DataFrame:
-    """``doc_id`` with n_bytes, spans removed (start and stop bytes, flat), n_removed and kept bytes.
+    """``df`` with n_bytes, n_removed, spans removed (start and stop bytes, flat) and kept bytes.
 
-    One row for each row of ``df``. Strings are judged on the input, not on what is left,
+    Id and text are named doc_id and text; columns that clash with any of these are replaced. One row for each row of ``df``. Strings are judged on the input, not on what is left,
     and never cross documents. A null text is empty; shorter texts stay whole. A null
     doc_id takes no part and stays whole. Repeated rows are one document and don't remove
-    each other; columns beyond id and text are ignored; an empty table gives an empty one.
+    each other; an empty table gives an empty one.
     """
     ship(df.sparkSession)
-    docs = repeats.documents(df, doc_id, text)
+    made = [
+        StructField("n_bytes", LongType()),
+        StructField("n_removed", LongType()),
+        StructField("spans", ArrayType(LongType())),
+        StructField("kept", BinaryType()),
+    ]
+    # All columns go along from the first join on, so that both joins share a shuffle.
+    docs = repeats.documents(df, doc_id, text, tuple(f.name for f in made))
+    schema = StructType([*docs.schema, *made])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,26 +340,11 @@ def remove_repeats(
                 removed.append(int(gone.sum()))
                 spans.append(np.column_stack((a, b)).ravel())
                 kept.append(body[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(removed, pa.int64()),
-                    pa.array(spans, pa.list_(pa.int64())),
-                    pa.array(kept, pa.binary()),
-                ],
-                names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
-            )
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            new = [pa.array(x, kind) for x, kind in zip((sizes, removed, spans, kept), kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in docs_columns), *new], names=schema.names)
 
-    schema = StructType(
-        [
-            StructField("doc_id", LongType()),
-            StructField("n_bytes", LongType()),
-            StructField("n_removed", LongType()),
-            StructField("spans", ArrayType(LongType())),
-            StructField("kept", BinaryType()),
-        ]
-    )
+    docs_columns = docs.columns
     return repeats.with_runs(docs, repeated_runs(docs, length, gram)).mapInArrow(apply, schema)
 
 
@@ -363,3 +356,10 @@ def digests(removed: DataFrame) -> DataFrame:
         (F.size("spans") / 2).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def whole_characters(kept: str) -> Column:
+    """Kept bytes as text, without the characters of which a byte is gone."""
+    # Bytes that are no character any more become the replacement character;
+    # texts that hold one of their own lose it where something is cut.
+    return F.replace(F.make_valid_utf8(F.col(kept).cast("string")), F.lit("\ufffd"), F.lit(""))
