@@ -70,6 +70,10 @@ HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true)
 SPACES = re.compile(r"\s+")
 
 
+# Parts into which a host's pages are dealt.
+HOST_PARTS = 64
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "dropped")
 
@@ -293,6 +297,10 @@ def extract(
     # A subtree is on a share of the pages at least, so a host's list holds no more than
     # the subtrees of a few pages, however many pages it has.
     lists = found.groupBy("host").agg(F.collect_set("digest").alias("_template")).withColumnRenamed("host", "_host")
+    # Copies of the lists let the pages of a large host be dealt over as many tasks.
+    salt = F.pmod(F.xxhash64("_html"), F.lit(HOST_PARTS)).cast("int")
+    rows = rows.withColumn("_part", salt)
+    lists = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
     schema = rows.select(*kept).schema.add("main_text", "string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,4 +309,4 @@ def extract(
             texts = [main_text(parse(h or ""), set(t or ())) for h, t in zip(sources, template)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.join(lists, "_host", "left").select(*kept, "_html", "_template").mapInArrow(cut, schema)
+    return rows.join(lists, ["_host", "_part"], "left").select(*kept, "_html", "_template").mapInArrow(cut, schema)
