@@ -262,6 +262,8 @@ def similar_links(
     exactly those that similar pairs connect.
     """
     places = np.flatnonzero(indexed)
+    if not len(places):
+        return
     index = Index([sets[i] for i in places])
     root = np.arange(len(sets))
     # Everything that looks like the first unlinked one is linked to it, until the rest is
