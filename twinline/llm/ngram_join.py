@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinline.llm.components import components
@@ -37,6 +37,8 @@ INDEX_SETS = 20_000
 # they are filed at least. Both only steer the cost: any order gives the same links.
 COMMON_GRAMS = 500_000
 COMMON_COUNT = 8
+# Bits of the filter that keeps documents without a candidate from being shuffled.
+FILTER_BITS, CHUNK_BITS = 1 << 25, 1 << 15
 HEAP_ENTRIES = 400
 
 PREFIX_ROWS = "bucket int, keys binary, docs binary, sizes binary, a binary, b binary"
@@ -281,6 +283,41 @@ def similar_links(
                 root[root == root[other]] = root[i]
 
 
+def _bit(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).cast("int")
+
+
+def with_members(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` joined with ``members``, most others being left out before the shuffle.
+
+    By a filter of fixed size (4 MB): a bit for each hash of a member's id. The more
+    members, the more others pass; the join decides.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = table.column("bit").to_numpy()
+        chunk = np.zeros(CHUNK_BITS, bool)
+        chunk[bits % CHUNK_BITS] = True
+        return pa.table({"chunk": pa.array([int(bits[0]) // CHUNK_BITS], pa.int32()), "bits": [np.packbits(chunk).tobytes()]})
+
+    bits = members.select(_bit("doc_id").alias("bit")).distinct()
+    packed = bits.groupBy(F.shiftright("bit", CHUNK_BITS.bit_length() - 1)).applyInArrow(pack, "chunk int, bits binary")
+    every = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in packed.collect():
+        every[row["chunk"] * CHUNK_BITS // 8 :][: CHUNK_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(every)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            known = shared.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1
+            batch = batch.filter(pa.array(known.astype(bool)))
+            if batch.num_rows:
+                yield batch.select(["doc_id", "text"])
+
+    return docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(keep, "doc_id long, text string").join(members, "doc_id")
+
+
 def search(members: DataFrame, docs: DataFrame, grams: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` of similar sets; ``members`` has doc_id, component, piece, pieces."""
 
@@ -303,7 +340,7 @@ def search(members: DataFrame, docs: DataFrame, grams: int, percent: int) -> Dat
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     count = buckets(docs)
-    sets = docs.join(members, "doc_id").mapInArrow(cut, "doc_id long, component long, piece int, pieces int, grams binary")
+    sets = with_members(docs, members).mapInArrow(cut, "doc_id long, component long, piece int, pieces int, grams binary")
     # Each set is searched in all blocks of its component, and is part of one.
     rows = sets.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn(
         "bucket", F.pmod(F.xxhash64("component", "block"), F.lit(count))
