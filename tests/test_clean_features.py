@@ -10,17 +10,17 @@ def kept(df):
 def test_clean_pairs_keeps_only_usable_pairs(pairs):
     df = pairs(
         (1, "one two three", "three two one"),
-        (2, "same text here", " same  text here "),
+        (2, "green tea pot", " green  tea pot "),
         (3, None, "three two one"),
         (4, "one two three", None),
         (5, "\t", "three two one"),
         (6, "one two", "three two one"),
         (7, "one two three", "a b c d e"),
-        (8, "Same text here", "same text here"),
-        (9, "hello\x00world foo bar", "hello world variant text"),
+        (8, "Green tea pot", "green tea pot"),
+        (9, "sun\x00flower in bloom", "a flower turns sunward"),
     )
     assert kept(clean.clean_pairs(df, 3, 4)) == [1, 8, 9]
-    assert clean.clean_pairs(df, 3, 4).filter(f"{SL} = 9").first()[SOURCE] == "helloworld foo bar"
+    assert clean.clean_pairs(df, 3, 4).filter(f"{SL} = 9").first()[SOURCE] == "sunflower in bloom"
 
 
 def test_single_filters(pairs):
@@ -32,7 +32,7 @@ def test_single_filters(pairs):
 
 
 def test_script_match(pairs):
-    df = pairs((1, "ডেঙ্গু রোগ", "x"), (2, "plain", "x"), (3, None, "x"))
+    df = pairs((1, "নদীর জল", "x"), (2, "river", "x"), (3, None, "x"))
     assert kept(clean.script_match(df, r"[ঀ-৿]")) == [1]
 
 

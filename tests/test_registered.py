@@ -11,8 +11,7 @@ from twinline.registry.queries import QUERIES
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
-# Written files and queries over them differ by more than their plans.
-NO_SQL = {"near_dup_lsh", "stage_status"}
+NO_SQL = {"near_dup_lsh"}
 
 
 @pytest.fixture(scope="module")

@@ -58,17 +58,17 @@ def test_output_ready(spark, pairs, tmp_path):
 
 def test_stages(spark, pairs, tmp_path):
     folder, out = str(tmp_path / "stages"), str(tmp_path / "o.parquet")
-    assert not stages.is_done(spark, folder, "a/b")
-    stages.mark_done(spark, folder, "a/b", "one", {"rows": 3})
-    assert stages.is_done(spark, folder, "a/b", "one")
-    assert not stages.is_done(spark, folder, "a/b", "two")  # another config
-    assert not stages.is_done(spark, folder, "a/b", "one", (out,))  # output missing
+    assert not stages.is_done(spark, folder, "write_pairs")
+    stages.mark_done(spark, folder, "write_pairs", "one", {"rows": 3})
+    assert stages.is_done(spark, folder, "write_pairs", "one")
+    assert not stages.is_done(spark, folder, "write_pairs", "two")  # another config
+    assert not stages.is_done(spark, folder, "write_pairs", "one", (out,))  # output missing
     pair_files.write_parquet(pairs((1, "a", "b")), out)
-    assert stages.is_done(spark, folder, "a/b", "one", (out,))
-    record = spark.read.json(stages.stage_path(folder, "a/b")).first()
-    assert record["stage"] == "a/b" and json.loads(record["metadata"]) == {"rows": 3}
-    stages.clear_stage(spark, folder, "a/b")
-    assert not stages.is_done(spark, folder, "a/b", "one")
+    assert stages.is_done(spark, folder, "write_pairs", "one", (out,))
+    record = spark.read.json(stages.stage_path(folder, "write_pairs")).first()
+    assert record["stage"] == "write_pairs" and json.loads(record["metadata"]) == {"rows": 3}
+    stages.clear_stage(spark, folder, "write_pairs")
+    assert not stages.is_done(spark, folder, "write_pairs", "one")
 
 
 def test_run_metrics_files(spark, tmp_path):
@@ -101,17 +101,20 @@ def test_config():
 
 
 def test_whole_run(spark, tmp_path):
-    rows = [f"{i},{i},ডেঙ্গু রোগ {i} হলো একটি স্বাস্থ্য সমস্যা।,ডেঙ্গু {i} একটি স্বাস্থ্য সমস্যা।" for i in range(100)]
-    rows += ["100,100,same text here,same text here", "101,101,ডেঙ্গু রোগ 5 হলো একটি স্বাস্থ্য সমস্যা।,ডেঙ্গু 5 একটি স্বাস্থ্য সমস্যা।"]
+    def row(i, n):
+        return f"{i},{i},নদী {n} বর্ষায় দুই তীর ভাসিয়ে দেয়,বর্ষায় নদী {n} তীর ভাসায়"
+
+    rows = [row(i, i) for i in range(90)]
+    rows += ["90,90,একই কথা দুইবার বলা,একই কথা দুইবার বলা", row(91, 4)]  # trivial, and a copy
     csv, base = lines(tmp_path / "in.csv", *rows), str(tmp_path / "base")
     config = CorpusConfig(max_input_length=16, max_target_length=8, models=(ModelSpec("m", "google/mt5-small"),))
 
     done = corpus.run_preprocess(spark, csv, base, config)
-    assert done.count() == 100
+    assert done.count() == 90
     raw = spark.read.json(f"{base}/reports/raw_validation_summary.json").first()
-    assert (raw["total_rows"], raw["stage"], raw["valid"]) == (102, "raw", True)
+    assert (raw["total_rows"], raw["stage"], raw["valid"]) == (92, "raw", True)
     clean = spark.read.json(f"{base}/reports/validation_summary.json").first()
-    assert (clean["total_rows"], clean["script_coverage"]) == (100, 1.0)
+    assert (clean["total_rows"], clean["script_coverage"]) == (90, 1.0)
     before = spark.read.json(f"{base}/stages/preprocess.ok").first()["completed_at"]
     corpus.run_preprocess(spark, csv, base, config)
     assert spark.read.json(f"{base}/stages/preprocess.ok").first()["completed_at"] == before
@@ -119,25 +122,61 @@ def test_whole_run(spark, tmp_path):
     assert spark.read.json(f"{base}/stages/preprocess.ok").first()["completed_at"] != before
 
     stats = corpus.run_eda(spark, base, config).first()
-    assert stats["total_rows"] == 100 and stats["src_len_mean"] == 7.0 and stats["tgt_len_mean"] == 5.0
-    assert stats["top_tokens"][0]["count"] == 100 and stats["vocab_size"] == 106
+    assert stats["total_rows"] == 90 and stats["src_len_mean"] == 7.0 and stats["tgt_len_mean"] == 5.0
+    assert stats["top_tokens"][0]["count"] == 90 and stats["vocab_size"] == 96
 
     train = done.filter("split = 'train'").count()
     assert corpus.run_augment(spark, base, None, config).count() == 2 * train
     assert pair_files.split_source(spark, base, "train", True).count() == 2 * train
     assert pair_files.split_source(spark, base, "train").count() == train
     encoded = corpus.run_encode(spark, base, config)
-    assert encoded.count() == 100 and len(encoded.first()["input_ids"]) == 16
+    assert encoded.count() == 90 and len(encoded.first()["input_ids"]) == 16
 
     triples = done.selectExpr(
         "'m' as model_key", "id", f"{SOURCE} as source", f"{SOURCE} as prediction", f"{TARGET} as reference"
     )
-    scores = corpus.run_evaluate(spark, triples, base, config).collect()
+    scores = corpus.run_evaluate(spark, triples, base, config, inputs_id="one").collect()
     assert len(scores) == 1 and 0 < scores[0]["BLEU"] < 100
-    status = {r["stage"]: r["status"] for r in corpus.run_status(spark, base).collect()}
-    assert set(status.values()) == {"DONE"}
-    only = corpus.run_evaluate(spark, triples, base, config, model_key="m").collect()
-    assert only[0]["BLEU"] == pytest.approx(scores[0]["BLEU"])
+    status = corpus.pipeline_status(spark, base, config).collect()
+    assert {(r["status"], r["state"]) for r in status} == {("DONE", "OK")} and len(status) == 8
+    counts = [(r["rows_in"], r["rows_clean"], r["rows_out"]) for r in status if r["stage"] == "preprocess"]
+    assert counts == [(92, 91, 90)] * 2
+
+    # The same settings with other inputs give another answer.
+    exact = triples.withColumn("prediction", triples["reference"])
+    again = corpus.run_evaluate(spark, exact, base, config, inputs_id="two").first()
+    assert again["BLEU"] == pytest.approx(100)
+    assert corpus.run_evaluate(spark, triples, base, config, inputs_id="two").first()["BLEU"] == pytest.approx(100)
+    assert corpus.run_evaluate(spark, triples, base, config).first()["BLEU"] < 100  # unnamed inputs always run
+    lines(tmp_path / "in.csv", *rows[:50])
+    assert corpus.run_preprocess(spark, csv, base, config).count() == 50
+    status = {r["stage"]: r["status"] for r in corpus.pipeline_status(spark, base, config).collect()}
+    assert status["preprocess"] == "DONE" and status["eda_report"] == status["encode"] == "pending"
+    words = spark.createDataFrame([("নদী", ["স্রোত"])], "token string, alternatives array<string>")
+    sure = CorpusConfig(synonym_prob=1.0, swap_prob=0.0, deletion_prob=0.0)
+    changed = corpus.run_augment(spark, base, words, sure, inputs_id="river").filter("is_augmented")
+    assert changed.filter(f"{SOURCE} like 'স্রোত%'").count() == changed.count() > 0
+    other = spark.createDataFrame([("নদী", ["ধারা"])], "token string, alternatives array<string>")
+    changed = corpus.run_augment(spark, base, other, sure, inputs_id="stream").filter("is_augmented")
+    assert changed.filter(f"{SOURCE} like 'ধারা%'").count() == changed.count() > 0
+
+
+def test_single_runs_share_a_summary(spark, tmp_path):
+    base = str(tmp_path)
+    triples = spark.createDataFrame(
+        [(m, 1, "x", p, "rain fell on the old bridge") for m, p in (("a", "rain fell on the old bridge"), ("b", "snow"))],
+        "model_key string, id int, source string, prediction string, reference string",
+    )
+    for model in ("a", "b", "a"):
+        assert [r["model_key"] for r in corpus.run_evaluate(spark, triples, base, model_key=model).collect()] == [model]
+    summary = spark.read.option("header", True).csv(f"{base}/metrics/summary.csv").collect()
+    assert sorted((r["model_key"], float(r["BLEU"])) for r in summary) == [("a", pytest.approx(100)), ("b", 0.0)]
+
+
+def test_stage_names_are_file_names():
+    for name in ("a/b", "a b", "", "..", "ü"):
+        with pytest.raises(ValueError):
+            stages.stage_path("x", name)
 
 
 def test_gates_stop_the_run(spark, tmp_path):

@@ -64,20 +64,23 @@ def test_random_delete(many):
     assert abs(changed - 750) < 120
 
 
-def test_synonym_ways_agree(spark, many, monkeypatch):
-    rows = [("the", ["a", "this"])] + [(f"a{i}", [f"A{i}"]) for i in range(100)] + [("b1", [])]
+def test_synonyms_of_a_large_table(spark, many):
+    rows = [("the", ["a", "this"]), (None, ["x"]), ("b1", []), ("b2", None)] + [(f"a{i}", [f"A{i}"]) for i in range(1000)]
     synonyms = spark.createDataFrame(rows, "token string, alternatives array<string>")
     tokens = many.select(SL, words(F.col(SOURCE)).alias("tokens"))
-    by_map = augment.synonym_replace(tokens, synonyms, 0.4)
-    monkeypatch.setattr(augment, "LITERAL_SYNONYMS", 0)
-    by_join = augment.synonym_replace(tokens, synonyms, 0.4)
-    assert by_join.columns == by_map.columns
-    assert by_map.exceptAll(by_join).count() == 0 and by_join.exceptAll(by_map).count() == 0
-    replaced = [r["tokens"][0] for r in by_map.collect()]
+    replaced = [r["tokens"][0] for r in augment.synonym_replace(tokens, synonyms, 0.4).collect()]
     assert set(replaced) == {"the", "a", "this"}
     assert abs(sum(t != "the" for t in replaced) - 1200) < 150
 
 
+def test_synonyms_tell_null_keys_and_tokens_apart(spark):
+    rows = [(5, ["a", "b"]), (None, ["5", "a", "b"]), (6, ["a", None]), (7, None), (8, [])]
+    df = spark.createDataFrame(rows, f"{SL} int, tokens array<string>")
+    synonyms = spark.createDataFrame([("a", ["A"]), (None, ["N"])], "token string, alternatives array<string>")
+    got = {r[SL]: r["tokens"] for r in augment.synonym_replace(df, synonyms, 1.0).collect()}
+    assert got == {5: ["A", "b"], None: ["5", "A", "b"], 6: ["A", None], 7: None, 8: []}
+
+
 def test_augment_text_edges(pairs):
     df = pairs((1, "a  b", "x"), (2, None, "x"), (3, "", "x"), (4, " a  b  c ", "x"), (5, "one two three four", "x"))
     result = {r[SL]: r[SOURCE] for r in augment.augment_text(df, None, swap_prob=1.0, deletion_prob=1.0).collect()}

@@ -52,12 +52,14 @@ class CorpusConfig:
             raise ValueError("need 0 < min_tokens <= max_tokens")
         if self.near_dup_method not in (None, "exact", "lsh"):
             raise ValueError(f"unknown near_dup_method: {self.near_dup_method}")
+        if not 1 / 3 < self.near_dup_min_similarity <= 1:
+            raise ValueError("near_dup_min_similarity must lie above 1/3, at most at 1")
 
     def model(self, key: str) -> ModelSpec:
         for spec in self.models:
             if spec.key == key:
                 return spec
-        raise ValueError(f"Unknown model key: {key}")
+        raise ValueError(f"no model is called {key!r}")
 
     def fingerprint(self) -> str:
         """Digest that changes whenever a setting does."""

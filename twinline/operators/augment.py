@@ -9,8 +9,6 @@ from twinline.columns import FEATURES, SL, SOURCE, TARGET
 from twinline.functions.text import BENGALI, let, uniform, words
 from twinline.operators.features import feature_columns
 
-# Synonym tables up to this many tokens are looked up in a literal map.
-LITERAL_SYNONYMS = 200
 SALTS = 16
 
 
@@ -70,36 +68,14 @@ def synonym_replace(
     """Replace each token of the array column, with the given probability, by
     one of its alternatives; tokens without any stay.
 
-    ``synonyms`` is ``(token, alternatives ARRAY<STRING>)`` with distinct tokens.
-    Its size decides the way: a small one becomes a literal map, so rows never
-    move. Otherwise only the drawn tokens are exploded and joined, and come back
-    as a map from position to replacement.
+    ``synonyms`` is ``(token, alternatives ARRAY<STRING>)`` with distinct tokens, of
+    any size; null tokens are ignored. Only the drawn tokens are exploded and joined;
+    they come back as a map from position to replacement.
     """
-    head = synonyms.select("token", "alternatives").limit(LITERAL_SYNONYMS + 1).collect()
-    if len(head) <= LITERAL_SYNONYMS:
-        return _replace_by_map(df, head, probability, seed, key, tokens)
-    return _replace_by_join(df, synonyms, probability, seed, key, tokens)
-
-
-def _replace_by_map(df, entries, probability, seed, key, tokens):
-    entries = [e for e in entries if e["alternatives"]]
-    if not entries:
-        return df
-    pairs = [(F.lit(e["token"]), F.array(*[F.lit(a) for a in e["alternatives"]])) for e in entries]
-    table = F.create_map(*[c for pair in pairs for c in pair])
-    row_key = F.col(key)
-
-    def replaced(token, position):
-        found = F.coalesce(_choice(F.element_at(table, token), row_key, position, seed), token)
-        return F.when(_drawn(row_key, position, probability, seed), found).otherwise(token)
-
-    return df.withColumn(tokens, F.transform(tokens, replaced))
-
-
-def _replace_by_join(df, synonyms, probability, seed, key, tokens):
     row_key = F.col(key)
     # Equal key and tokens mean equal draws, so this names a row well enough.
-    df = df.withColumn("_row", F.md5(F.concat_ws(" ", row_key.cast("string"), F.col(tokens))))
+    # JSON tells nulls and the borders of key and tokens apart.
+    df = df.withColumn("_row", F.md5(F.to_json(F.struct(row_key.alias("key"), F.col(tokens).alias("tokens")))))
     drawn = F.filter(
         F.transform(tokens, lambda t, i: F.struct(i.alias("position"), t.alias("token"))),
         lambda s: _drawn(row_key, s["position"], probability, seed),
@@ -111,7 +87,7 @@ def _replace_by_join(df, synonyms, probability, seed, key, tokens):
         .distinct()
     )
     # A frequent token is spread over the salts; the table is repeated for them.
-    offered = synonyms.filter(F.size("alternatives") > 0).withColumn(
+    offered = synonyms.filter(F.col("token").isNotNull() & (F.size("alternatives") > 0)).withColumn(
         "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     )
     found = (

@@ -96,8 +96,8 @@ def segment_keys(sets: DataFrame, min_similarity: float) -> DataFrame:
     near-copies and shared templates collide, not frequent words.
     """
     t = min_similarity
-    if not 1 / 3 < t < 1:
-        raise ValueError("min_similarity must lie between 1/3 and 1")
+    if not 1 / 3 < t <= 1:
+        raise ValueError("min_similarity must lie above 1/3, at most at 1")
     width = math.log(1 / t) + 1e-9
     own = F.floor(F.log(F.size("tokens").cast("double")) / F.lit(width))
     largest = F.floor(F.exp((F.col("size_class") + 1) * F.lit(width)) + 1e-6)
@@ -286,12 +286,12 @@ def near_dup_lsh(
 def similarity_self_join(
     df: DataFrame, min_similarity: float = 0.95, text: str = SOURCE, id_column: str = ID
 ) -> DataFrame:
-    """Similar rows as ``(id_a, id_b, jaccard_dist)`` with ``id_a < id_b``.
+    """Links ``(id_a, id_b, jaccard_dist)`` with ``id_a < id_b``, one for each ``id_b`` at most.
 
-    Rows with equal token sets are linked to the lowest id of their set at
-    distance 0, and similar sets are linked through their lowest ids. Any two
-    rows are similar exactly if their sets' lowest ids are equal or linked, so
-    nothing is lost, and n copies give n - 1 links in place of n(n-1)/2.
+    Rows with equal token sets are linked to the lowest id of their set at distance 0,
+    and the lowest id of a set to the lowest one of all sets that are similar to it.
+    So every row that resembles a lower one is linked, and n near-copies give n - 1
+    links in place of n(n-1)/2. Links are reduced before they are shuffled.
     """
     sets = token_sets(df, text, id_column)
     blocks = _blocks(sets, segment_keys(sets, min_similarity)).select("key", "members", "rep", "tokens", "bits")
@@ -300,8 +300,9 @@ def similarity_self_join(
     links = (
         probe.alias("p")
         .join(build.alias("b"), _meets_lower(min_similarity))
-        .select(F.col("b.rep").alias("id_a"), F.col("p.rep").alias("id_b"), distance.alias("jaccard_dist"))
-        .distinct()
+        .groupBy(F.col("p.rep").alias("id_b"))
+        .agg(F.min(F.struct(F.col("b.rep").alias("id_a"), distance.alias("jaccard_dist"))).alias("link"))
+        .select("link.id_a", "id_b", "link.jaccard_dist")
     )
     copies = copies_of_sets(df, sets, text, id_column).select(
         F.col("rep").alias("id_a"), F.col("copy").alias("id_b"), F.lit(0.0).alias("jaccard_dist")

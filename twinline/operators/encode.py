@@ -9,7 +9,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from twinline.columns import ID, SL, SOURCE, TARGET
 from twinline.config import ModelSpec
-from twinline.operators.eda import token_frequency, top_tokens
+from twinline.functions.text import words
+from twinline.operators.eda import top_tokens
 from twinline.operators.features import PREFIX_TOKEN, model_prefix
 
 # Fixed ids; the words of the vocabulary follow.
@@ -19,10 +20,13 @@ PAD, UNKNOWN, PREFIX, FIRST_WORD = 0, 1, 2, 3
 def build_vocab(df: DataFrame, size: int = 32_000, columns=(SOURCE, TARGET)) -> DataFrame:
     """The ``size`` most frequent tokens with consecutive ids, as ``(token, token_id)``.
 
-    Ids are numbered after the limit, so the one task that does it sees ``size``
-    rows and not the whole token table.
+    Tokens are what the encoder cuts (:func:`words`). The prefix token has an id of its
+    own and is no word. Ids are numbered after the limit, so the one task that does it
+    sees ``size`` rows and not the whole token table.
     """
-    top = top_tokens(token_frequency(df, columns), size)
+    tokens = F.explode(F.concat(*[F.coalesce(words(F.col(c)), F.array().cast("array<string>")) for c in columns]))
+    counted = df.select(tokens.alias("token")).filter(F.col("token") != PREFIX_TOKEN).groupBy("token")
+    top = top_tokens(counted.agg(F.count("*").alias("count")), size)
     rank = F.row_number().over(Window.orderBy(F.desc("count"), "token"))
     return top.select("token", (rank + (FIRST_WORD - 1)).alias("token_id"), "count")
 
@@ -37,7 +41,7 @@ def _lookup(vocab: DataFrame, max_size: int):
     if len(rows) > max_size:
         raise ValueError(f"vocabulary exceeds {max_size} tokens; build a smaller one or raise max_vocab")
     table = vocab.sparkSession.sparkContext.broadcast(
-        {PREFIX_TOKEN: PREFIX} | {r["token"]: r["token_id"] for r in rows}
+        {r["token"]: r["token_id"] for r in rows} | {PREFIX_TOKEN: PREFIX}
     )
 
     def ids(text: Column, length: int) -> Column:
@@ -103,7 +107,7 @@ def encode_all(
     """
     specs = [m for m in models if model_key in (None, m.key)]
     if not specs:
-        raise ValueError(f"Unknown model key: {model_key}")
+        raise ValueError(f"no model is called {model_key!r}")
     choices = [
         F.struct(F.lit(m.key).alias("model_key"), F.lit(model_prefix(m.name)).alias("_prefix")) for m in specs
     ]

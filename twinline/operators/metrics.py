@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from twinline.functions.text import let, ngrams, words
+from twinline.session import ship
 
 ORDERS = (1, 2, 3, 4)
 
@@ -76,6 +77,7 @@ def ngram_statistics(prediction: pd.Series, reference: pd.Series) -> pd.DataFram
 
 def bleu_columns(df: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """Add each row's lengths and n-gram matches and totals for orders 1 to 4."""
+    ship(df.sparkSession)
     statistics = ngram_statistics(spaced_13a(F.col(prediction)), spaced_13a(F.col(reference)))
     return df.withColumn("_bleu", statistics).select(*df.columns, "_bleu.*")
 
@@ -148,6 +150,7 @@ def rouge_l_columns(
     df: DataFrame, prediction: str = "prediction", reference: str = "reference", tokenizer: str = "unicode"
 ) -> DataFrame:
     """Add each row's ``rouge_l``: F1 of the longest common token subsequence."""
+    ship(df.sparkSession)
     sides = (rouge_text(F.col(c), tokenizer) for c in (prediction, reference))
     return df.withColumn("rouge_l", lcs_f1(*sides))
 
@@ -256,6 +259,7 @@ def greedy_match_f1(
 ) -> DataFrame:
     """Mean F1 of greedy token matching; each row holds both sides' token vectors
     as ``ARRAY<ARRAY<FLOAT>>``, so pairs of tokens are never rows."""
+    ship(df.sparkSession)
     p, r = F.col("_m.precision"), F.col("_m.recall")
     f1 = F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0)
     return (
@@ -271,11 +275,6 @@ def greedy_match_f1(
 METRICS = ("BLEU", "ROUGE-L", "BERTScore", "Distinct-1", "Distinct-2", "semsim_mpnet", "semsim_bnsbert")
 
 
-def semsim_name(encoder: str) -> str:
-    """Column of an encoder's semantic similarity."""
-    return "semsim_mpnet" if "mpnet" in encoder else "semsim_bnsbert"
-
-
 def evaluate_all(
     triples: DataFrame,
     models: DataFrame | None = None,
@@ -286,22 +285,22 @@ def evaluate_all(
     """One row of metrics per ``model_key``.
 
     ``triples`` is ``(model_key, id, source, prediction, reference)``. The other
-    inputs are optional: names per model, token vectors for BERTScore, and for
-    each encoder the source and prediction embeddings keyed by model and pair.
-    What is joined here has one row per model.
+    inputs are optional: names per model, token vectors for BERTScore, and under the
+    name of the column that their similarity gets, the source and prediction
+    embeddings of an encoder, keyed by model and pair. What is joined here has one
+    row per model.
     """
     scores = text_scores(triples, ("model_key",), tokenizer)
     if models is not None:
         scores = scores.join(models.select("model_key", "model_name"), "model_key", "left")
     if token_matrices is not None:
         scores = scores.join(greedy_match_f1(token_matrices, ("model_key",)), "model_key", "left")
-    for encoder, (sources, predictions) in (embeddings or {}).items():
-        similarity = semantic_similarity(
-            sources, predictions, ("model_key", "pair_id"), ("model_key",), semsim_name(encoder)
-        )
+    for name, (sources, predictions) in (embeddings or {}).items():
+        similarity = semantic_similarity(sources, predictions, ("model_key", "pair_id"), ("model_key",), name)
         scores = scores.join(similarity, "model_key", "left")
     order = ("model_key", "model_name", *METRICS)
-    return scores.select(*[c for c in order if c in scores.columns])
+    others = [c for c in scores.columns if c not in order]
+    return scores.select(*[f"`{c}`" for c in (*order, *others) if c in scores.columns])
 
 
 def evaluate_run(triples: DataFrame, model_key: str, **inputs) -> DataFrame:

@@ -4,13 +4,20 @@ All outputs lie below one ``base`` folder:
 
     raw/raw.parquet, interim/featured.parquet, processed (by split),
     augmented/train.parquet, encoded (by model and split), reports, metrics, stages
+
+A stage is skipped if its record has the fingerprint that it would be run with: the
+settings, the arguments, the input files with their lengths and times, and the record of
+the stage before it. Tables that are given as DataFrames count by the identity that the
+caller gives them (``inputs_id``); without one, the stage always runs.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from twinline.columns import ID, SL, SOURCE, TARGET
@@ -25,10 +32,14 @@ from twinline.operators.features import add_features
 from twinline.operators.metrics import evaluate_all, evaluate_run
 from twinline.operators.profile import require_valid, validation_record
 from twinline.operators.split import SPLITS, split_rows
-from twinline.sources.files import delete, output_ready
+from twinline.sources.files import delete, listing, output_ready
 from twinline.sources.pairs import dev_subset, read_pairs, split_source, write_parquet
 from twinline.sources.records import json_summary_sink, read_run_metrics, write_run_metrics, write_run_summary
-from twinline.sources.stages import is_done, mark_done, stage_status
+from twinline.sources.stages import is_done, mark_done, stage_record
+
+
+# The stage whose record each stage builds on.
+BEFORE = {"eda_report": "preprocess", "augmentation": "preprocess", "encode": "preprocess"}
 
 
 def outputs(base: str) -> dict[str, tuple[str, ...]]:
@@ -42,14 +53,35 @@ def outputs(base: str) -> dict[str, tuple[str, ...]]:
     }
 
 
-def _skip(spark: SparkSession, base: str, stage: str, config: CorpusConfig, force: bool) -> bool:
-    return not force and is_done(
-        spark, f"{base}/stages", stage, config.fingerprint(), outputs(base)[stage]
-    )
+def _artifacts(base: str, stage: str) -> tuple[str, ...]:
+    if stage.startswith("evaluate_"):
+        return (f"{base}/metrics/runs/run={stage.removeprefix('evaluate_')}",)
+    return outputs(base)[stage]
+
+
+def _fingerprint(spark: SparkSession, base: str, stage: str, config: CorpusConfig, args: dict) -> str | None:
+    """What the stage would be recorded under, or None if an input has no identity."""
+    if "inputs_id" in args and args["inputs_id"] is None:
+        return None
+    parts = [config.fingerprint(), args, [listing(spark, p) for p in args.get("paths", ())]]
+    if stage == "encode" and config.use_augmented_train:
+        before = "augmentation"
+    else:
+        before = BEFORE.get(stage)
+    if before:
+        record = stage_record(spark, f"{base}/stages", before)
+        parts.append([record["config"], record["completed_at"]] if record else None)
+    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+
 
+def _skip(spark: SparkSession, base: str, stage: str, config: CorpusConfig, force: bool, args: dict) -> bool:
+    key = None if force else _fingerprint(spark, base, stage, config, args)
+    return is_done(spark, f"{base}/stages", stage, key, _artifacts(base, stage))
 
-def _done(spark: SparkSession, base: str, stage: str, config: CorpusConfig, **metadata) -> None:
-    mark_done(spark, f"{base}/stages", stage, config.fingerprint(), metadata)
+
+def _done(spark: SparkSession, base: str, stage: str, config: CorpusConfig, args: dict, **rows) -> None:
+    key = _fingerprint(spark, base, stage, config, args) or ""
+    mark_done(spark, f"{base}/stages", stage, key, {"args": args, "rows": rows})
 
 
 def run_preprocess(
@@ -60,26 +92,31 @@ def run_preprocess(
     long_ids: bool = False,
     script: str = BENGALI,
     force: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV to featured, split pairs; returns the split table.
 
-    Two tables are written: the raw rows, and the clean, unique, featured ones.
-    Profiles and splits read those instead of repeating the work before them.
+    Three tables are written: the raw rows, the clean, unique, featured ones, and those
+    by split. Profiles and splits read them instead of repeating the work before them.
+    The record tells the rows read, left by cleaning, and left by deduplication.
     """
-    if not _skip(spark, base, "preprocess", config, force):
-        raw = read_pairs(spark, csv, long_ids)
+    args = {"paths": [csv], "long_ids": long_ids, "script": script, "multi_line": multi_line}
+    if not _skip(spark, base, "preprocess", config, force, args):
+        raw = read_pairs(spark, csv, long_ids, multi_line)
         raw = write_parquet(dev_subset(raw, config.dev_subset), f"{base}/raw/raw.parquet")
         record = validation_record(raw, "raw", script)
         json_summary_sink(record, f"{base}/reports/raw_validation_summary.json")
         require_valid(spark.read.json(f"{base}/reports/raw_validation_summary.json"))
 
-        pairs = clean_pairs(raw, config.min_tokens, config.max_tokens)
+        cleaned = Observation("cleaned")
+        pairs = clean_pairs(raw, config.min_tokens, config.max_tokens).observe(cleaned, F.count(F.lit(1)).alias("rows"))
         pairs = deduplicate(pairs, config.near_dup_method, config.near_dup_min_similarity)
         featured = write_parquet(add_features(pairs, script=script), f"{base}/interim/featured.parquet")
         record = validation_record(featured, "clean", script)
         json_summary_sink(record, f"{base}/reports/validation_summary.json")
+        summary = spark.read.json(f"{base}/reports/validation_summary.json")
         try:
-            require_valid(spark.read.json(f"{base}/reports/validation_summary.json"))
+            require_valid(summary)
         except ValueError:
             # Later stages must not find rows that failed.
             delete(spark, f"{base}/interim/featured.parquet")
@@ -87,7 +124,9 @@ def run_preprocess(
 
         split = split_rows(featured, config.train_split, config.validation_split, config.seed)
         write_parquet(split, f"{base}/processed", ("split",))
-        _done(spark, base, "preprocess", config)
+        read = spark.read.json(f"{base}/reports/raw_validation_summary.json").first()["total_rows"]
+        left = summary.first()["total_rows"]
+        _done(spark, base, "preprocess", config, args, rows_in=read, rows_clean=cleaned.get["rows"], rows_out=left)
     return spark.read.parquet(f"{base}/processed")
 
 
@@ -95,14 +134,14 @@ def run_eda(
     spark: SparkSession, base: str, config: CorpusConfig = CorpusConfig(), force: bool = False
 ) -> DataFrame:
     """Statistics and histograms of all featured pairs; returns the statistics."""
-    if not _skip(spark, base, "eda_report", config, force):
+    if not _skip(spark, base, "eda_report", config, force, {}):
         path = f"{base}/interim/featured.parquet"
         if not output_ready(spark, path):
             raise FileNotFoundError(f"run the preprocess stage first: {path}")
         featured = spark.read.parquet(path)
         json_summary_sink(eda_record(featured), f"{base}/reports/eda_stats.json")
         histogram(featured).coalesce(1).write.mode("overwrite").json(f"{base}/reports/histogram.json")
-        _done(spark, base, "eda_report", config)
+        _done(spark, base, "eda_report", config, {})
     return spark.read.json(f"{base}/reports/eda_stats.json")
 
 
@@ -113,10 +152,12 @@ def run_augment(
     config: CorpusConfig = CorpusConfig(),
     script: str = BENGALI,
     force: bool = False,
+    inputs_id: str | None = None,
 ) -> DataFrame:
-    """The train split and its augmented copies."""
+    """The train split and its augmented copies; ``inputs_id`` names the synonym table."""
     path = f"{base}/augmented/train.parquet"
-    if not _skip(spark, base, "augmentation", config, force):
+    args = {"script": script, "inputs_id": "no synonyms" if synonyms is None else inputs_id}
+    if not _skip(spark, base, "augmentation", config, force, args):
         rows = augment_train(
             split_source(spark, base, "train"),
             synonyms,
@@ -128,7 +169,7 @@ def run_augment(
             seed=config.seed,
         )
         write_parquet(rows, path)
-        _done(spark, base, "augmentation", config)
+        _done(spark, base, "augmentation", config, args)
     return spark.read.parquet(path)
 
 
@@ -140,7 +181,7 @@ def run_encode(
 ) -> DataFrame:
     """Model inputs of every model and split, from a vocabulary of the train split."""
     path = f"{base}/encoded"
-    if not _skip(spark, base, "encode", config, force):
+    if not _skip(spark, base, "encode", config, force, {}):
         train = split_source(spark, base, "train", config.use_augmented_train)
         vocab = write_parquet(build_vocab(train, config.vocab_size), f"{base}/interim/vocab.parquet")
         parts = [train] + [split_source(spark, base, s) for s in SPLITS[1:]]
@@ -156,7 +197,7 @@ def run_encode(
             max_target_length=config.max_target_length,
         )
         write_parquet(encoded, path, ("model_key", "split"))
-        _done(spark, base, "encode", config)
+        _done(spark, base, "encode", config, {})
     return spark.read.parquet(path)
 
 
@@ -167,24 +208,49 @@ def run_evaluate(
     config: CorpusConfig = CorpusConfig(),
     model_key: str | None = None,
     force: bool = False,
+    inputs_id: str | None = None,
     **inputs,
 ) -> DataFrame:
-    """Score one model, or all with a CSV summary; scores are kept as JSON."""
+    """Score one model or all; scores are kept as JSON and summed up in one CSV.
+
+    Runs of one model share the folder, and the summary has all models that are scored.
+    ``inputs_id`` names the predictions and whatever else is scored with them.
+    """
     stage = "evaluate" if model_key is None else f"evaluate_{model_key}"
-    folder = f"{base}/metrics/runs" if model_key is None else f"{base}/metrics/{model_key}"
-    done = not force and is_done(spark, f"{base}/stages", stage, config.fingerprint(), (folder,))
-    if not done:
+    folder = f"{base}/metrics/runs"
+    args = {"inputs_id": inputs_id, "model_key": model_key, "tokenizer": inputs.get("tokenizer")}
+    if not _skip(spark, base, stage, config, force, args):
         if model_key is None:
-            metrics = evaluate_all(triples, **inputs)
+            write_run_metrics(evaluate_all(triples, **inputs), folder)
         else:
-            metrics = evaluate_run(triples, model_key, **inputs)
-        write_run_metrics(metrics, folder)
-        if model_key is None:
-            write_run_summary(read_run_metrics(spark, folder), f"{base}/metrics/summary.csv")
-        _done(spark, base, stage, config)
-    return read_run_metrics(spark, folder)
+            json_summary_sink(evaluate_run(triples, model_key, **inputs), f"{folder}/run={model_key}")
+        write_run_summary(read_run_metrics(spark, folder), f"{base}/metrics/summary.csv")
+        _done(spark, base, stage, config, args)
+    scores = read_run_metrics(spark, folder)
+    return scores if model_key is None else scores.filter(F.col("model_key") == model_key)
+
 
+def pipeline_status(spark: SparkSession, base: str, config: CorpusConfig = CorpusConfig()) -> DataFrame:
+    """A row for each stage's artifact: whether it is there, and the stage's state and rows.
 
-def run_status(spark: SparkSession, base: str) -> DataFrame:
-    """Every stage with its state and outputs."""
-    return stage_status(spark, f"{base}/stages", outputs(base))
+    A stage is DONE only if it would be skipped: same settings, same inputs, same record
+    of the stage before, outputs whole. Row counts are those of its record.
+    """
+    rows = []
+    for stage, paths in outputs(base).items():
+        record = stage_record(spark, f"{base}/stages", stage)
+        metadata = json.loads(record["metadata"]) if record else {}
+        done = record is not None and _skip(spark, base, stage, config, False, metadata.get("args", {}))
+        counts = metadata.get("rows", {})
+        for path in paths:
+            rows.append(
+                (
+                    stage,
+                    "DONE" if done else "pending",
+                    path.removeprefix(f"{base}/"),
+                    "OK" if output_ready(spark, path) else "missing",
+                    *(counts.get(c) for c in ("rows_in", "rows_clean", "rows_out")),
+                )
+            )
+    schema = "stage string, status string, artifact string, state string, rows_in long, rows_clean long, rows_out long"
+    return spark.createDataFrame(rows, schema)

@@ -125,8 +125,9 @@ def _near_dup(t: float, rows: str = "uniq") -> str:
 def _links(t: float) -> str:
     shared = "len(list_intersect(a.tokens, b.tokens))"
     return _with(
-        f"""SELECT a.id AS id_a, b.id AS id_b, 1 - {shared} / (a.n + b.n - {shared})::DOUBLE AS jaccard_dist
-        FROM reps a JOIN reps b ON a.id < b.id AND {_similar(t)}
+        f"""SELECT min(a.id) AS id_a, b.id AS id_b,
+          arg_min(1 - {shared} / (a.n + b.n - {shared})::DOUBLE, a.id) AS jaccard_dist
+        FROM reps a JOIN reps b ON a.id < b.id AND {_similar(t)} GROUP BY b.id
         UNION ALL
         SELECT reps.id, sets.id, 0::DOUBLE FROM sets JOIN reps ON sets.tokens = reps.tokens AND sets.id > reps.id""",
         SETS.format(rows="uniq"),
@@ -223,9 +224,9 @@ def _vocab(rows: str, size: int = 2000) -> str:
     return f"""vocab AS MATERIALIZED (
       SELECT token, row_number() OVER (ORDER BY n DESC, token) + 2 AS token_id, n AS "count"
       FROM (SELECT token, count(*) AS n FROM
-              (SELECT unnest(regexp_split_to_array({S}, '\\s+')) AS token FROM {rows}
-               UNION ALL SELECT unnest(regexp_split_to_array({T}, '\\s+')) FROM {rows})
-            GROUP BY token ORDER BY n DESC, token LIMIT {size}))"""
+              (SELECT unnest({_words(S)}) AS token FROM {rows}
+               UNION ALL SELECT unnest({_words(T)}) FROM {rows})
+            WHERE token <> 'paraphrase:' GROUP BY token ORDER BY n DESC, token LIMIT {size}))"""
 
 
 ENCODED_COLUMNS = """array_to_string(list_concat(i.ids, list_transform(range(48 - len(i.ids)), lambda x: 0)), ' ') AS input_ids,
@@ -528,4 +529,16 @@ ORACLES: dict[str, str] = {
         _ids("targets", T, 128, "uniq"),
     ).replace("48 - len", "128 - len").replace("40 - len", "128 - len"),
     "run_evaluate": _scores("SELECT * FROM scores"),
+    "run_evaluate_each": _scores("SELECT * FROM scores"),
+    "pipeline_status": _with(
+        """SELECT stage, CASE WHEN stage = 'preprocess' THEN 'DONE' ELSE 'pending' END AS status, artifact,
+          CASE WHEN stage = 'preprocess' THEN 'OK' ELSE 'missing' END AS state,
+          CASE WHEN stage = 'preprocess' THEN (SELECT count(*) FROM pairs) END AS rows_in,
+          CASE WHEN stage = 'preprocess' THEN (SELECT count(*) FROM clean) END AS rows_clean,
+          CASE WHEN stage = 'preprocess' THEN (SELECT count(*) FROM uniq) END AS rows_out
+        FROM (VALUES ('preprocess', 'interim/featured.parquet'), ('preprocess', 'processed'),
+          ('eda_report', 'reports/eda_stats.json'), ('eda_report', 'reports/histogram.json'),
+          ('augmentation', 'augmented/train.parquet'), ('encode', 'encoded'),
+          ('evaluate', 'metrics/runs'), ('evaluate', 'metrics/summary.csv')) a(stage, artifact)"""
+    ),
 }

@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCAB = 2000
 INPUT_LENGTH, TARGET_LENGTH = 48, 40
 MODELS = (ModelSpec("mt5", "google/mt5-small"), ModelSpec("mbart", "facebook/mbart-large-50"))
-ENCODER = "paraphrase-multilingual-mpnet-base-v2"
+ENCODER = "semsim_mpnet"
 CONFIG = CorpusConfig(synonym_prob=0.3, swap_prob=0.5, deletion_prob=0.5, models=MODELS, vocab_size=VOCAB)
 AUGMENT = {"synonym_prob": 0.3, "swap_prob": 0.5, "deletion_prob": 0.5}
 
@@ -306,8 +306,17 @@ def _run_evaluate(spark, sf):
     return _rounded(scores.drop("semsim_bnsbert"))
 
 
-def _stage_status(spark, sf):
-    return corpus.run_status(spark, _preprocessed(spark, sf))
+def _pipeline_status(spark, sf):
+    return corpus.pipeline_status(spark, _preprocessed(spark, sf), CONFIG)
+
+
+def _run_evaluate_each(spark, sf):
+    base, inputs = run_dir(spark, "scores"), _inputs(spark, sf)
+    triples = written(views.eval_triples(spark, sf), "triples")
+    for model in views.RUNS:
+        corpus.run_evaluate(spark, triples, base, CONFIG, model, **inputs)
+    summary = spark.read.option("header", True).option("inferSchema", True).csv(f"{base}/metrics/summary.csv")
+    return _rounded(summary.drop("semsim_bnsbert"))
 
 
 QUERIES: dict[str, Query] = {
@@ -384,5 +393,6 @@ QUERIES: dict[str, Query] = {
     "run_augment": _run_augment,
     "run_encode": _run_encode,
     "run_evaluate": _run_evaluate,
-    "stage_status": _stage_status,
+    "run_evaluate_each": _run_evaluate_each,
+    "pipeline_status": _pipeline_status,
 }

@@ -26,6 +26,19 @@ def delete(spark: SparkSession, path: str) -> bool:
     return file_system.delete(location, True)
 
 
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, length and modification time of the files that a path or pattern stands for."""
+    file_system, location = _locate(spark, path)
+    found, files = list(file_system.globStatus(location) or ()), []
+    while found:
+        status = found.pop()
+        if status.isDirectory():
+            found.extend(file_system.listStatus(status.getPath()))
+        else:
+            files.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(files)
+
+
 def output_ready(spark: SparkSession, path: str) -> bool:
     """True for one parquet file or a folder whose write was finished.
 

@@ -40,7 +40,7 @@ def read_pairs(
     makes each file one task.
     """
     if "*" not in path and not exists(spark, path):
-        raise FileNotFoundError(f"Dataset not found: {path}")
+        raise FileNotFoundError(f"there is no pair file at {path}")
     return (
         spark.read.option("header", True)
         .option("encoding", "UTF-8")

@@ -3,53 +3,50 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Row, SparkSession
 
 from twinline.sources.files import delete, exists, output_ready
 
 SCHEMA = "stage string, completed_at string, config string, metadata string"
+NAME = re.compile(r"[A-Za-z0-9_-]+")
 
 
 def stage_path(folder: str, stage: str) -> str:
-    return f"{folder}/{stage.replace('/', '_').replace(chr(92), '_')}.ok"
+    """Place of a stage's record; the name must be fit to be a file's."""
+    if not NAME.fullmatch(stage):
+        raise ValueError(f"a stage name has letters, digits, _ and - only: {stage!r}")
+    return f"{folder}/{stage}.ok"
 
 
 def mark_done(
     spark: SparkSession, folder: str, stage: str, config: str = "", metadata: dict | None = None
 ) -> str:
-    """Record a stage as done under the given config fingerprint."""
+    """Record a stage as done under the given fingerprint."""
     path = stage_path(folder, stage)
     row = (stage, datetime.now(timezone.utc).isoformat(), config, json.dumps(metadata or {}))
     spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("overwrite").json(path)
     return path
 
 
+def stage_record(spark: SparkSession, folder: str, stage: str) -> Row | None:
+    """The record of a stage, if it was finished."""
+    path = stage_path(folder, stage)
+    return spark.read.schema(SCHEMA).json(path).first() if exists(spark, f"{path}/_SUCCESS") else None
+
+
 def is_done(
-    spark: SparkSession, folder: str, stage: str, config: str = "", artifacts: tuple[str, ...] = ()
+    spark: SparkSession, folder: str, stage: str, config: str | None = "", artifacts: tuple[str, ...] = ()
 ) -> bool:
-    """True if the stage finished under the same config and its outputs are whole."""
-    path = stage_path(folder, stage)
-    if not exists(spark, f"{path}/_SUCCESS"):
-        return False
-    record = spark.read.schema(SCHEMA).json(path).first()
-    return record["config"] == config and all(output_ready(spark, a) for a in artifacts)
+    """True if the stage finished under the same fingerprint and its outputs are whole.
+
+    None is the fingerprint of inputs that nobody has named: such a stage runs again.
+    """
+    record = stage_record(spark, folder, stage) if config is not None else None
+    return record is not None and record["config"] == config and all(output_ready(spark, a) for a in artifacts)
 
 
 def clear_stage(spark: SparkSession, folder: str, stage: str) -> None:
     delete(spark, stage_path(folder, stage))
-
-
-def stage_status(spark: SparkSession, folder: str, artifacts: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Each stage as DONE or pending, with the number of outputs found."""
-    rows = [
-        (
-            stage,
-            "DONE" if exists(spark, f"{stage_path(folder, stage)}/_SUCCESS") else "pending",
-            sum(output_ready(spark, p) for p in paths),
-            len(paths),
-        )
-        for stage, paths in artifacts.items()
-    ]
-    return spark.createDataFrame(rows, "stage string, status string, outputs_ready int, outputs int")
