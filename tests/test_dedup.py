@@ -138,11 +138,26 @@ def test_lsh_drops_a_part_of_what_exact_drops(pairs):
     rows = corpus(3, 150, 200, 60)
     df = pairs(*rows)
     exact, lsh = ids(dedup.near_dup_exact(df, 0.9)), ids(dedup.near_dup_lsh(df, 0.9))
-    published = ids(dedup.near_dup_lsh(df, 0.9, bands=3, rows_per_band=1, num_features=1024))
+    published = ids(dedup.near_dup_lsh(df, 0.9, bands=3, rows_per_band=1))
     assert set(exact) <= set(lsh) and set(exact) <= set(published)
     assert len(lsh) < len(rows) and len(lsh) - len(exact) <= 0.1 * (len(rows) - len(exact))
 
 
+def test_lsh_keeps_its_recall_at_low_thresholds(pairs):
+    rows = corpus(5, 150, 30, 12)
+    df = pairs(*rows)
+    exact, lsh = ids(dedup.near_dup_exact(df, 0.5)), ids(dedup.near_dup_lsh(df, 0.5))
+    assert set(exact) <= set(lsh) and len(rows) - len(lsh) >= 0.97 * (len(rows) - len(exact))
+
+
+def test_equal_sets_are_near_duplicates_at_one(pairs):
+    df = pairs((1, "a b c", "x"), (2, "c b a", "y"), (3, "a b c d", "z"))
+    assert ids(dedup.near_dup_exact(df, 1.0)) == ids(dedup.near_dup_lsh(df, 1.0)) == [1, 3]
+    for wrong in (0.3, 1.1):
+        with pytest.raises(ValueError):
+            dedup.near_dup_exact(df, wrong)
+
+
 def test_deduplicate_runs_both_steps(pairs):
     df = pairs((1, "a b c", "x"), (2, "a b c", "x"), (3, "c b a", "y"), (4, "d e f", "z"))
     assert ids(dedup.deduplicate(df)) == [1, 3, 4]

@@ -11,7 +11,7 @@ from twinline.registry.queries import QUERIES
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
-NO_SQL = {"near_dup_lsh"}
+NO_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")

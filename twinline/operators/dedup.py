@@ -14,9 +14,9 @@ the same exact check of token sets.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
-from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,26 +120,43 @@ def segment_keys(sets: DataFrame, min_similarity: float) -> DataFrame:
     )
 
 
-def minhash_keys(
-    sets: DataFrame, bands: int = 8, rows_per_band: int = 8, num_features: int = 1 << 18, seed: int = 42
-) -> DataFrame:
-    """Block keys from banded MinHash values of the hashed token sets.
+# The least recall of a similar pair, and the most bands that may be spent on it.
+RECALL, MOST_BANDS, MOST_ROWS = 0.99, 40, 8
+# Draws are multiples of a token's number modulo this prime.
+PRIME = 2147483647
+
+
+def banding(min_similarity: float) -> tuple[int, int]:
+    """Bands and values in each, so that a pair of just that similarity shares a band
+    with a chance of RECALL; as many values as MOST_BANDS allows, which share less by chance."""
+    for rows in range(MOST_ROWS, 0, -1):
+        shared = min(min_similarity**rows, 1 - 1e-9)
+        bands = math.ceil(math.log(1 - RECALL) / math.log(1 - shared))
+        if bands <= MOST_BANDS or rows == 1:
+            return bands, rows
+
 
-    ``bands=3, rows_per_band=1, num_features=1024`` is the published setting. It
-    has at most 1,024 buckets per table, which no large table can bear.
+def minhash_draws(count: int) -> list[tuple[int, int]]:
+    """Multiplier and offset of each draw, fixed by its number."""
+    digests = [hashlib.md5(f"draw {k}".encode()).digest() for k in range(count)]
+    return [
+        (1 + int.from_bytes(d[:4], "big") % (PRIME - 1), int.from_bytes(d[4:8], "big") % PRIME) for d in digests
+    ]
+
+
+def minhash_keys(sets: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
+    """Block keys from banded MinHash values of the tokens' digests.
+
+    ``bands=3, rows_per_band=1`` is the published number of tables.
     """
-    hashing = HashingTF(inputCol="tokens", outputCol="features", numFeatures=num_features)
-    lsh = MinHashLSH(
-        inputCol="features", outputCol="hashes", numHashTables=bands * rows_per_band, seed=seed
-    )
-    # Fitting reads nothing but the vector size, so one made-up row saves a job.
-    model = lsh.fit(hashing.transform(sets.sparkSession.createDataFrame([(["a"],)], "tokens array<string>")))
+    numbers = F.transform("tokens", lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint"))
 
-    def key(band):
-        return F.xxhash64(band, F.slice("hashes", band * rows_per_band + 1, rows_per_band))
+    def least(a: int, b: int) -> Column:
+        return F.array_min(F.transform("numbers", lambda x: (x * F.lit(a).cast("bigint") + F.lit(b)) % F.lit(PRIME)))
 
-    every_band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)
-    return model.transform(hashing.transform(sets)).select("rep", F.explode(every_band).alias("key"))
+    values = [least(a, b) for a, b in minhash_draws(bands * rows_per_band)]
+    keys = [F.xxhash64(F.lit(i), *values[i * rows_per_band : (i + 1) * rows_per_band]) for i in range(bands)]
+    return sets.withColumn("numbers", numbers).select("rep", F.explode(F.array(*keys)).alias("key"))
 
 
 # --- from block keys to decisions ----------------------------------------------
@@ -246,7 +263,7 @@ def near_duplicate_ids(
     method: str = "exact",
     text: str = SOURCE,
     id_column: str = ID,
-    **minhash,
+    **minhash: int,
 ) -> DataFrame:
     """Distinct ids of rows that resemble a row of lower id.
 
@@ -256,7 +273,8 @@ def near_duplicate_ids(
     if method == "exact":
         keys = segment_keys(sets, min_similarity)
     elif method == "lsh":
-        keys = minhash_keys(sets, **minhash)
+        bands, rows = banding(min_similarity)
+        keys = minhash_keys(sets, minhash.get("bands", bands), minhash.get("rows_per_band", rows))
     else:
         raise ValueError(f"unknown method: {method}")
     copies = copies_of_sets(df, sets, text, id_column).select(F.col("copy").alias(id_column))
@@ -277,7 +295,8 @@ def near_dup_lsh(
     """Drop the near-duplicates that MinHash bands bring together.
 
     Candidates are checked on their real token sets, so this never drops a row
-    that :func:`near_dup_exact` keeps.
+    that :func:`near_dup_exact` keeps. Bands follow from ``min_similarity``
+    (:func:`banding`) unless ``bands`` and ``rows_per_band`` are given.
     """
     ids = near_duplicate_ids(df, min_similarity, "lsh", text, id_column, **minhash)
     return anti_join(df, ids, id_column)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from twinline.operators.dedup import PRIME, banding, minhash_draws
 from twinline.registry.views import RUNS, SYNONYMS
 
 SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -122,6 +123,25 @@ def _near_dup(t: float, rows: str = "uniq") -> str:
     )
 
 
+def _near_dup_lsh(t: float) -> str:
+    bands, rows = banding(t)
+    draws = minhash_draws(bands * rows)
+    values = ", ".join(f"list_min(list_transform(numbers, lambda x: (x * {a} + {b}) % {PRIME}))" for a, b in draws)
+    return _with(
+        f"""SELECT sl, id, {S}, {T} FROM uniq WHERE id NOT IN (
+          SELECT b.id FROM sets a JOIN sets b ON a.id < b.id AND a.tokens = b.tokens
+          UNION ALL
+          SELECT b.id FROM (SELECT DISTINCT x.id AS low, y.id AS high FROM keys x JOIN keys y
+              ON x.band = y.band AND x.key = y.key AND x.id < y.id) c
+            JOIN sets a ON a.id = c.low JOIN sets b ON b.id = c.high WHERE {_similar(t)})""",
+        SETS.format(rows="uniq"),
+        f"""hashed AS MATERIALIZED (SELECT id, [{values}] AS h FROM (
+          SELECT id, list_transform(tokens, lambda t: concat('0x', substr(md5(t), 1, 7))::BIGINT) AS numbers FROM sets))""",
+        f"""keys AS MATERIALIZED (SELECT id, band, h[band * {rows} + 1 : band * {rows} + {rows}] AS key
+          FROM (SELECT id, h, unnest(range({bands})) AS band FROM hashed))""",
+    )
+
+
 def _links(t: float) -> str:
     shared = "len(list_intersect(a.tokens, b.tokens))"
     return _with(
@@ -424,6 +444,7 @@ ORACLES: dict[str, str] = {
     "script_match": _with(f"SELECT sl, regexp_matches({S}, '{SCRIPT}') AS in_script FROM pairs"),
     "exact_dedup": _with(f"SELECT {ROWS} FROM uniq"),
     "near_dup_exact": _near_dup(0.95),
+    "near_dup_lsh": _near_dup_lsh(0.95),
     "near_dup_exact_t80": _near_dup(0.8),
     "similarity_self_join": _links(0.8),
     "anti_join": _with(
