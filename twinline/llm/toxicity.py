@@ -70,7 +70,8 @@ def sample_documents(docs: DataFrame, labels: DataFrame, sample: int) -> DataFra
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    return docs.filter("text is not null").join(chosen, "doc_id").select("doc_id", "toxic", "text")
+    # No more than ``sample`` rows of two numbers, so the documents need no shuffle.
+    return docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
 
 def lexicon(rows: DataFrame, most: int) -> dict[str, float]:
