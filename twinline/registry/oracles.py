@@ -65,11 +65,11 @@ _synonym_rows = ", ".join(
 VIEWS = f"""WITH
 line_lists AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 pairs AS (
-  SELECT doc_id * 1000000 + k AS sl, doc_id * 1000000 + k AS id,
+  SELECT doc_id * 4294967296 + k AS sl, doc_id * 4294967296 + k AS id,
          nullif(l[2 * k + 1], '') AS {S}, nullif(l[2 * k + 2], '') AS {T}
   FROM (SELECT doc_id, l, unnest(range(0, (len(l) + 1) // 2)) AS k FROM line_lists)),
 conv AS (
-  SELECT conv_id * 1000 + turn AS sl, conv_id AS id, text AS {S}, next_text AS {T}
+  SELECT conv_id * 4294967296 + turn AS sl, conv_id AS id, text AS {S}, next_text AS {T}
   FROM (SELECT *, lead(text) OVER w AS next_text, lead(role) OVER w AS next_role
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND next_role = 'assistant'),

@@ -14,6 +14,10 @@ from twinline.sources.pairs import spread
 # The given texts are in Latin script: letters with diacritics stand in for it.
 SCRIPT = r"[À-ɏ]"
 
+# A document or conversation has fewer lines or turns than this, so numbers made of both
+# never clash.
+LINES = 1 << 32
+
 # Prediction runs made from the pairs, and how far apart their embeddings lie.
 RUNS = {"copy_source": 1, "clipped": 2}
 
@@ -46,7 +50,7 @@ def pairs_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.nullif(F.get("lines", i + 1), F.lit("")).alias(TARGET),
         ),
     )
-    number = F.col("doc_id") * 1_000_000 + F.col("pos")
+    number = F.col("doc_id") * LINES + F.col("pos")
     return docs.select("doc_id", F.posexplode(pairs).alias("pos", "p")).select(
         number.alias(SL), number.alias(ID), f"p.{SOURCE}", f"p.{TARGET}"
     )
@@ -60,7 +64,7 @@ def pairs_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias(TARGET)
     )
     return asked.join(answered, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias(SL), F.col("conv_id").alias(ID), SOURCE, TARGET
+        (F.col("conv_id") * LINES + F.col("turn")).alias(SL), F.col("conv_id").alias(ID), SOURCE, TARGET
     )
 
 
