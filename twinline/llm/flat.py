@@ -36,6 +36,7 @@ BYTE_DRAW = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
 @cache
 def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    # Kept by a worker: 16 bytes for each place of the longest text so far.
     base = GOLDEN | 1
     both = []
     for b in (base, pow(base, -1, 1 << 64)):
@@ -47,7 +48,7 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64 and of its inverse, ``length`` of them at least."""
-    return _powers(max(1 << 21, 1 << max(0, length - 1).bit_length()))
+    return _powers(max(1 << 20, 1 << max(0, length - 1).bit_length()))
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:

@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinline.llm.components import components
-from twinline.llm.flat import buckets, chunks, dealt, mix, run_lengths, runs, unpacked, words
+from twinline.llm.flat import buckets, chunks, dealt, flat, mix, run_lengths, runs, unpacked, words
 from twinline.llm.repeats import is_in
 from twinline.session import ship, written
 
+# Documents whose sets are held at once before they are sent on.
+SLICE_ROWS = 500
 # Sets in the index of one search, and entries that are merged by a heap (more by sorting).
 INDEX_SETS = 20_000
 # Grams that come last in the order, at most (8 bytes each, sent to all tasks), and how often
@@ -99,9 +101,10 @@ def common_grams(docs: DataFrame, grams: int, percent: int, most: int) -> np.nda
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            filed = [_prefix(found, percent, np.zeros(0, np.uint64)) for _, found in gram_sets(batch.column("text"), grams) if len(found)]
+            filed = [_prefix(found, percent, np.zeros(0, np.uint64)).copy() for _, found in gram_sets(batch.column("text"), grams) if len(found)]
             if filed:
                 keys, counts = np.unique(np.concatenate(filed), return_counts=True)
+                del filed
                 yield dealt((mix(keys) % np.uint64(count)).astype(np.int32), {"keys": keys, "counts": counts.astype(np.int32)})
 
     def add(table: pa.Table) -> pa.Table:
@@ -322,21 +325,25 @@ def search(members: DataFrame, docs: DataFrame, grams: int, percent: int) -> Dat
     """Links ``(a, b)`` of similar sets; ``members`` has doc_id, component, piece, pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body = [found.tobytes() for _, found in gram_sets(batch.column("text"), grams)]
-            kept = [batch.column(c) for c in ("doc_id", "component", "piece", "pieces")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(body, pa.binary())], names=["doc_id", "component", "piece", "pieces", "grams"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                body = [found.tobytes() for _, found in gram_sets(batch.column("text"), grams)]
+                kept = [batch.column(c) for c in ("doc_id", "component", "piece", "pieces")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(body, pa.binary())], names=["doc_id", "component", "piece", "pieces", "grams"])
 
     def match(table: pa.Table) -> pa.Table:
         ids, component = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
         piece, block = table.column("piece").to_numpy(), table.column("block").to_numpy()
-        sets = [np.frombuffer(x, "u8") for x in table.column("grams").to_pylist()]
+        data, offsets = flat(table.column("grams").combine_chunks())
+        sets = [data[a:b].view(np.uint64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         links = []
         order = np.argsort(component, kind="stable")
         for group in np.split(order, runs(component[order])[1:]):
             found = similar_links(ids[group], [sets[i] for i in group.tolist()], piece[group] == block[group], percent)
             links += [(ids[group[a]], ids[group[b]]) for a, b in found]
         links = np.array(links, np.int64).reshape(-1, 2)
+        pa.default_memory_pool().release_unused()
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     count = buckets(docs)
