@@ -38,6 +38,7 @@ GRADES = 8
 FOLDS = 5
 TRAINED_WORDS = 3_000  # of a training document that the field is fitted on, at most
 SAMPLE_CHAINS = 3_000  # training documents with lexicon words that the field is fitted on
+COUNTED_ROWS = 250  # documents whose words are counted together before they are sent on
 CACHE_WORDS = 200_000  # words that a worker remembers the grade of
 
 
@@ -79,7 +80,7 @@ def lexicon(rows: DataFrame, most: int) -> dict[str, float]:
     toxic documents. Documents of equal text count once."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, COUNTED_ROWS) for b in batches for at in range(0, b.num_rows, COUNTED_ROWS)):
             counts: dict[tuple[str, int], int] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 for word in {p for w in set(text.split()) for p in parts(w)}:
