@@ -30,9 +30,9 @@ WORDS = regex.compile(
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
-# Words that a worker remembers before it starts anew, and bytes of text it handles at once.
-CACHE_WORDS = 300_000
-CACHE_PAIRS = 1_000_000
+# Words, and pairs of tokens, that a worker remembers before it starts anew (some 50 and 30 MB), and bytes of text it handles at once.
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 250_000
 SLICE_BYTES = 4 << 20
 
 
@@ -80,7 +80,7 @@ class Vocabulary:
             text: tuple((self.ids[text[i:]], len(text) - i) for i in range(len(text)) if text[i:] in self.ids)
             for text in beginnings
         }
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by left << 32 | right
         self.cache: dict[str, bytes] = {}
 
     def merged(self, text: bytes) -> list[int]:
@@ -139,11 +139,11 @@ class Vocabulary:
                 for token, length in fitting:
                     if length == end:
                         break
-                    pair = (last[end - 1 - length], token)
+                    pair = last[end - 1 - length] << 32 | token
                     if (good := follows.get(pair)) is None:
                         if len(follows) >= CACHE_PAIRS:
                             follows.clear()
-                        good = follows[pair] = self.can_follow(*pair)
+                        good = follows[pair] = self.can_follow(pair >> 32, token)
                     if good:
                         break
                 last.append(token)
