@@ -52,6 +52,32 @@ def test_articles_are_never_template(spark):
     assert {r.main_text for r in got} == {"The same text"}
 
 
+def extracted(spark, bodies):
+    rows = [(i, f"http://a.com/{i}", body) for i, body in enumerate(bodies)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.main_text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_template_goes_inside_articles_and_text_stays_outside(spark):
+    block = "<div class=z><p>Join our list</p><p>of readers</p></div>"
+    page = lambda i: (
+        f"<div class=x>Site line</div><article><h2>Summary</h2><p>Story {i} goes on <b>not</b> long {i}</p>{block}</article><div>Letter {i}</div>"
+    )
+    want = [f"Summary Story {i} goes on not long {i} Letter {i}" for i in range(20)]
+    assert extracted(spark, [page(i) for i in range(20)]) == want
+
+
+def test_paragraphs_of_copies_are_no_template(spark):
+    # Whole copies, and near copies that differ in one paragraph; all end in the same block.
+    body = "".join(f"<p>Paragraph {k} of a long story</p>" for k in range(6))
+    block = "<p>Join our list</p>"
+    copies = [f"<article>{body}<p>Seen {i // 3}</p>{block}</article>" for i in range(30)]
+    others = [f"<article><p>Something else, by number {i}</p>{block}</article>" for i in range(20)]
+    got = extracted(spark, copies + others)
+    text = " ".join(f"Paragraph {k} of a long story" for k in range(6))
+    assert got == [f"{text} Seen {i // 3}" for i in range(30)] + [f"Something else, by number {i}" for i in range(20)]
+
+
 def toxic_corpus(seed, count):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ne", "su", "ti"]) for _ in range(rng.randint(1, 4)))

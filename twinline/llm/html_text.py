@@ -1,12 +1,12 @@
 """Main text of web pages: site templates are found by counting subtrees, and removed.
 
-Each page is parsed into a tree, and every element outside of its article is hashed with
-the tags and texts below it. The hashes are counted for each host in Spark, and subtrees
-that recur on many of the host's pages are template: they go, with all below them. Then
-go elements that say what they are (navigation, footers, forms, adverts, comments and
-the like, by tag, role, class or id), which need not recur. If a page marks its article
-(``article`` or ``main``), that is what is kept; it is not counted, as what articles
-repeat is their text.
+Each page is parsed into a tree, and its elements are hashed with the tags and texts below
+them. The hashes are counted for each host in Spark, and subtrees that recur on many of the
+host's pages are template: they go, with all below them. Then go elements that say what they
+are (navigation, footers, forms, adverts, comments and the like, by tag, role, class or id),
+which need not recur. An article that a page marks (``article`` or ``main``) is never template
+as a whole, and its blocks only if they recur in different articles; single words, headings,
+cells and items in it are no blocks. Text outside of articles stays if it is neither.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinline.session import ship
+from twinline.session import ship, written
 
 # HTML's elements without an end tag, those whose content is no markup, those
 # that end by themselves when another begins, and those within a line.
@@ -60,6 +60,10 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply rep
 SURE, HINTED = 2, 1
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 ARTICLE = frozenset(["article", "main"])
+# Blocks that recur in articles without being template: headings, cells and items.
+PARTS_OF_TEXT = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption figcaption legend option header".split())
+# Keeps the hashes of blocks in articles apart from those outside.
+IN_ARTICLE = 0x5BD1E995
 TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
@@ -166,34 +170,61 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
             stack.extend((c, True) for c in reversed(node.children) if isinstance(c, Node))
 
 
-def subtree_hashes(root: Node) -> list[tuple[Node, int]]:
-    """Elements that hold text and no article and are in none, with their hashes."""
+def subtree_hashes(root: Node) -> tuple[list[tuple[Node, int, int | None, int]], list[tuple[int, int]]]:
+    """What can be template, ``(node, hash, article, bytes)``, and the articles, ``(hash, bytes)``.
+
+    Outside of articles these are all elements that hold text and no article, and article
+    is null. In an article (the nearest one counts) they are blocks, and bytes is the text
+    of a block that is in no smaller one. Elements that are dropped anyway are left out.
+    """
     digests: dict[int, bytes] = {}
-    found = []
-    inside = 0
-    for node, entering in _walk(root):
+    holders: set[int] = set()
+    left: dict[int, int] = {}
+    found: list[tuple[Node, int, int | None, int]] = []
+    articles: list[tuple[int, int]] = []
+    inside: list[list[tuple[Node, int, int]]] = []
+    stack: list[tuple[Node, bool]] = [(root, True)]
+    while stack:
+        node, entering = stack.pop()
         if entering:
-            inside += node.tag in ARTICLE
-            continue
-        if node.tag in ARTICLE:
-            inside -= 1
-            digests[id(node)] = b""  # marks all above as no template
-            continue
-        if inside:
+            if node.tag in ARTICLE:
+                inside.append([])
+            stack.append((node, False))
+            stack.extend((c, True) for c in reversed(node.children) if isinstance(c, Node) and not c.dropped)
             continue
-        parts = [node.tag.encode()]
+        parts, size, holds = [node.tag.encode()], 0, False
         for child in node.children:
             if isinstance(child, Node):
-                parts.append(digests.get(id(child), b""))
+                if child.dropped:
+                    continue
+                if digest := digests.pop(id(child)):
+                    parts.append(digest)
+                size += left.pop(id(child))
+                holds |= id(child) in holders
             elif word := SPACES.sub(" ", child).strip():
                 parts.append(word.encode("utf-8", "replace"))
-        if b"" in parts:
+                size += len(parts[-1])
+        if len(parts) == 1:
             digests[id(node)] = b""
-            continue
-        digest = digests[id(node)] = xxhash.xxh3_64_digest(b"\0".join(parts))
-        if len(parts) > 1 and node.tag not in ("", "html", "body", "head"):
-            found.append((node, int.from_bytes(digest, "little", signed=True)))
-    return found
+        else:
+            digests[id(node)] = xxhash.xxh3_64_digest(b"\0".join(parts))
+        number = int.from_bytes(digests[id(node)], "little", signed=True)
+        left[id(node)] = size
+        if node.tag in ARTICLE:
+            units = inside.pop()
+            articles.append((number, size + sum(n for _, _, n in units)))
+            found += [(unit, digest, number, n) for unit, digest, n in units]
+            holders.add(id(node))
+            left[id(node)] = 0
+        elif holds:
+            holders.add(id(node))
+        elif len(parts) > 1 and inside:
+            if node.tag not in INLINE and node.tag not in PARTS_OF_TEXT:
+                inside[-1].append((node, number ^ IN_ARTICLE, size))
+                left[id(node)] = 0
+        elif len(parts) > 1 and node.tag not in ("", "html", "body", "head"):
+            found.append((node, number, None, 0))
+    return found, articles
 
 
 def _above(node: Node) -> Iterator[Node]:
@@ -217,10 +248,19 @@ def _articles(root: Node) -> list[Node]:
     return found
 
 
-def main_text(root: Node, template: set[int]) -> str:
-    """Text of the blocks that are left, decoded, white space collapsed, joined by a space."""
-    gone = {id(n) for n, digest in subtree_hashes(root) if digest in template} if template else set()
+def _site_header(node: Node, articles: set[int]) -> bool:
+    """A header outside of an article is the site's."""
+    return node.tag == "header" and not any(id(up) in articles for up in _above(node))
+
+
+def main_text(root: Node, template: set[int], outside: bool = False) -> str:
+    """Text of the blocks that are left, decoded, white space collapsed, joined by a space.
+
+    Of marked articles only, if there are any, or with what is left ``outside`` of them.
+    """
     articles = _articles(root)
+    marked = {id(n) for n in articles}
+    gone = {id(n) for n, digest, _, _ in subtree_hashes(root)[0] if digest in template} if template else set()
     blocks: list[str] = []
     line: list[str] = []
 
@@ -230,8 +270,7 @@ def main_text(root: Node, template: set[int]) -> str:
         if block:
             blocks.append(block)
 
-    for top in articles or [root]:
-        # A header outside of an article is the site's.
+    for top in [root] if outside else articles or [root]:
         stack: list[Node | str | None] = [None, top]
         while stack:
             item = stack.pop()
@@ -239,7 +278,7 @@ def main_text(root: Node, template: set[int]) -> str:
                 end_block()
             elif isinstance(item, str):
                 line.append(item)
-            elif item is not top and (item.dropped or id(item) in gone or (item.tag == "header" and not articles)):
+            elif item is not top and (item.dropped or id(item) in gone or _site_header(item, marked)):
                 end_block()
             else:
                 if item.tag not in INLINE:
@@ -253,32 +292,66 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1)), F.lit(""))
 
 
+SEEN_ROWS = "host string, article long, digest long, n long, whole long"
+
+
 def templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
     """``(host, digest)`` of subtrees on ``least_pages`` pages of a host and ``share`` of all of them.
 
-    ``pages`` has host and html. A page's subtrees are counted within its task first.
+    ``pages`` has host and html. A page's subtrees are counted within its task first. Blocks
+    in articles are counted by distinct articles instead of pages, so that copies of a page
+    count once. An article of which more than half recurs is a near copy of others and
+    doesn't count, or the paragraphs of near copies would be template.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[tuple[str, int], int] = {}
+            units: dict[tuple[str, int, int | None], list[int]] = {}
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                for digest in {d for _, d in subtree_hashes(parse(source))}:
+                root = parse(source)
+                _articles(root)
+                found, articles = subtree_hashes(root)
+                whole = dict(articles)
+                for article, size in articles:
+                    units[host, article, None] = [0, size]
+                on_page: dict[tuple[int, int], int] = {}
+                for _, digest, article, size in found:
+                    if article is not None:
+                        on_page[article, digest] = on_page.get((article, digest), 0) + size
+                for (article, digest), size in on_page.items():
+                    units[host, article, digest] = [size, whole[article]]
+                for digest in {d for _, d, article, _ in found if article is None}:
                     counts[host, digest] = counts.get((host, digest), 0) + 1
-            if counts:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "host": pa.array([h for h, _ in counts], pa.string()),
-                        "digest": pa.array([d for _, d in counts], pa.int64()),
-                        "pages": pa.array(list(counts.values()), pa.int64()),
-                    }
-                )
-
-    seen = pages.filter("html is not null").mapInArrow(scan, "host string, digest long, pages long")
-    counted = seen.groupBy("host", "digest").agg(F.sum("pages").alias("pages"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    many = F.greatest(F.lit(least_pages), F.ceil(F.col("host_pages") * share))
-    return counted.join(sizes, "host").filter(F.col("pages") >= many).select("host", "digest")
+            rows = [(h, None, d, n, None) for (h, d), n in counts.items()]
+            rows += [(h, a, d, *n) for (h, a, d), n in units.items()]
+            if rows:
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                names = ["host", "article", "digest", "n", "whole"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    seen = written(pages.filter("html is not null").mapInArrow(scan, SEEN_ROWS), "subtrees")
+
+    def often(counted: DataFrame, sizes: DataFrame) -> DataFrame:
+        many = F.greatest(F.lit(least_pages), F.ceil(F.col("all") * share))
+        return counted.join(sizes, "host").filter(F.col("times") >= many).select("host", "digest")
+
+    outside = seen.filter("article is null").groupBy("host", "digest").agg(F.sum("n").alias("times"))
+    sites = often(outside, pages.groupBy("host").agg(F.count("*").alias("all")))
+
+    # Most blocks are found too seldom; they are left out by a hash, before articles are told apart.
+    inside = seen.filter("article is not null").withColumn("key", F.xxhash64("host", "digest"))
+    likely = inside.filter("digest is not null").groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_pages)
+    blocks = inside.join(likely, "key", "left_semi").unionByName(inside.filter("digest is null")).drop("key")
+    units = written(blocks.groupBy("host", "article", "digest").agg(F.max("n").alias("n"), F.max("whole").alias("whole")), "units")
+
+    def in_articles(units: DataFrame) -> DataFrame:
+        times = units.filter("digest is not null").groupBy("host", "digest").agg(F.count("*").alias("times"))
+        return often(times, units.filter("digest is null").groupBy("host").agg(F.count("*").alias("all")))
+
+    recurring = units.join(in_articles(units), ["host", "digest"]).groupBy("host", "article")
+    copies = recurring.agg((2 * F.sum("n") > F.max("whole")).alias("copy")).filter("copy").select("host", "article")
+    return sites.union(in_articles(units.join(copies, ["host", "article"], "left_anti")))
 
 
 def extract(
@@ -288,7 +361,8 @@ def extract(
 
     One row for each row of ``pages``, in any order, with all other columns; a column
     named main_text is replaced. Null html is empty, and a null url has an empty host,
-    whose pages are one site. Repeated rows are pages of their own. Text is never cut.
+    whose pages are one site. Repeated rows are pages of their own, but their articles
+    are one article. Text is never cut, and what is outside of articles stays too.
     """
     ship(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (source, "main_text")]
@@ -306,7 +380,7 @@ def extract(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources, template = batch.column("_html").to_pylist(), batch.column("_template").to_pylist()
-            texts = [main_text(parse(h or ""), set(t or ())) for h, t in zip(sources, template)]
+            texts = [main_text(parse(h or ""), set(t or ()), outside=True) for h, t in zip(sources, template)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=schema.names)
 
     return rows.join(lists, ["_host", "_part"], "left").select(*kept, "_html", "_template").mapInArrow(cut, schema)
