@@ -54,6 +54,37 @@ def test_similar_documents(docs_of, monkeypatch, seed, grams, percent, index):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes(texts, grams, percent)
 
 
+def test_no_search_outgrows_a_task(docs_of, monkeypatch):
+    # Near copies that all differ, some of them of another passage, in one large component.
+    rng = random.Random(5)
+    passages = [[f"w{rng.randint(0, 10**6)}" for _ in range(60)] for _ in range(2)]
+    passages[1][:30] = passages[0][:30]
+    texts = [" ".join(passages[i % 10 == 0][:59] + [f"x{i}"]) for i in range(300)]
+    groups, whole = [], ngram_join.search
+
+    def spied(members, *args):
+        groups.append([r[0] for r in members.selectExpr("component", "explode(tiles) tile").groupBy("component", "tile").count().select("count").collect()])
+        return whole(members, *args)
+
+    monkeypatch.setattr(ngram_join, "search", spied)
+    got = ngram_join.similar_documents(docs_of(texts), 2, 70, index_sets=30).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes(texts, 2, 70)
+    assert max(map(max, filter(None, groups))) <= 4 * 30
+    assert sum(map(sum, groups)) < 300 * 10 / 2  # and not each set in each block
+
+
+def test_tiles_bring_all_classes_together(spark):
+    rows = [(i, 0, 0 if i % 3 else i % 7 + 1) for i in range(200)]
+    got = ngram_join.in_tiles(spark.createDataFrame(rows, "doc_id long, component long, class long"), 10).collect()
+    met = {}
+    for r in got:
+        for tile in r.tiles:
+            met.setdefault(tile, []).append((r.doc_id, r["class"], tile // ngram_join.SLICES == r.own))
+    pairs = {(a[0], b[0]) for tile in met.values() for a in tile for b in tile if a[2] and a[1] != b[1]}
+    assert all((a, b) in pairs or (b, a) in pairs for a, _, x in rows for b, _, y in rows if x != y)
+    assert max(map(len, met.values())) <= 4 * 10
+
+
 def test_order_of_grams_changes_nothing(docs_of, monkeypatch):
     texts = near_copies(9, 120)
     monkeypatch.setattr(ngram_join, "COMMON_COUNT", 2)

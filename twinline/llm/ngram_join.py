@@ -12,7 +12,9 @@ length, the longest first, as frequent words are short and long grams mostly uni
 for the grams filed most often (``COMMON_GRAMS`` at most), which all come last. So a
 passage that many documents share doesn't bring them together. Sets that share a filed hash and
 whose sizes allow it are linked; the components of those links are the indexes in which
-the search runs, many small ones to a task, and large ones in blocks of the index.
+the search runs, many small ones to a task. A large one is searched in pieces, then among
+the smallest of each class found, and last only for sets that share a filed gram with
+a set of another class, so that neither side of a search outgrows a task.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from twinline.session import ship, written
 SLICE_ROWS = 500
 # Sets in the index of one search, and entries that are merged by a heap (more by sorting).
 INDEX_SETS = 20_000
+# A tile of a search is numbered block * SLICES + slice.
+SLICES = 1 << 31
 # Grams that come last in the order, at most (8 bytes each, sent to all tasks), and how often
 # they are filed at least. Both only steer the cost: any order gives the same links.
 COMMON_GRAMS = 500_000
@@ -258,11 +262,11 @@ class Index:
 
 
 def similar_links(
-    ids: np.ndarray, sets: list[np.ndarray], indexed: np.ndarray, percent: int
+    ids: np.ndarray, sets: list[np.ndarray], indexed: np.ndarray, percent: int, known: np.ndarray
 ) -> Iterator[tuple[int, int]]:
     """Links of the search of each set in the index of those ``indexed`` (a mask).
 
-    Not every pair: sets that are linked already, over any way, are not searched again,
+    ``known`` tells classes that are linked before. Not every pair: sets that are linked already, over any way, are not searched again,
     so a group of n copies gives n - 1 links. Sets of one component of the result are
     exactly those that similar pairs connect.
     """
@@ -270,7 +274,7 @@ def similar_links(
     if not len(places):
         return
     index = Index([sets[i] for i in places])
-    root = np.arange(len(sets))
+    root = np.unique(known, return_inverse=True)[1]
     # Everything that looks like the first unlinked one is linked to it, until the rest is
     # searched; a set that has found its group looks only for sets outside of it.
     for i in np.argsort(ids, kind="stable").tolist():
@@ -321,38 +325,113 @@ def with_members(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(keep, "doc_id long, text string").join(members, "doc_id")
 
 
-def search(members: DataFrame, docs: DataFrame, grams: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` of similar sets; ``members`` has doc_id, component, piece, pieces."""
+def search(members: DataFrame, docs: DataFrame, grams: int, percent: int, count: int) -> DataFrame:
+    """Links ``(a, b)`` of similar sets, of those that meet in a tile.
+
+    ``members`` has doc_id, component, class (linked before), tiles, and own, the block of
+    tiles in which a set is indexed (-1: in none); in others it is searched.
+    """
+    names = ["doc_id", "component", "class", "own", "tiles"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
                 body = [found.tobytes() for _, found in gram_sets(batch.column("text"), grams)]
-                kept = [batch.column(c) for c in ("doc_id", "component", "piece", "pieces")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(body, pa.binary())], names=["doc_id", "component", "piece", "pieces", "grams"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(body, pa.binary())], names=[*names, "grams"])
 
     def match(table: pa.Table) -> pa.Table:
         ids, component = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        piece, block = table.column("piece").to_numpy(), table.column("block").to_numpy()
+        known, indexed = table.column("class").to_numpy(), table.column("own").to_numpy() == table.column("tile").to_numpy() // SLICES
         data, offsets = flat(table.column("grams").combine_chunks())
         sets = [data[a:b].view(np.uint64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         links = []
         order = np.argsort(component, kind="stable")
         for group in np.split(order, runs(component[order])[1:]):
-            found = similar_links(ids[group], [sets[i] for i in group.tolist()], piece[group] == block[group], percent)
+            found = similar_links(ids[group], [sets[i] for i in group.tolist()], indexed[group], percent, known[group])
             links += [(ids[group[a]], ids[group[b]]) for a, b in found]
         links = np.array(links, np.int64).reshape(-1, 2)
         pa.default_memory_pool().release_unused()
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
-    count = buckets(docs)
-    sets = with_members(docs, members).mapInArrow(cut, "doc_id long, component long, piece int, pieces int, grams binary")
-    # Each set is searched in all blocks of its component, and is part of one.
-    rows = sets.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn(
-        "bucket", F.pmod(F.xxhash64("component", "block"), F.lit(count))
+    sets = with_members(docs, members).mapInArrow(cut, "doc_id long, component long, class long, own long, tiles array<long>, grams binary")
+    rows = sets.select(*names[:-1], "grams", F.explode("tiles").alias("tile"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("component", "tile"), F.lit(count)))
+    return rows.groupBy("bucket", "tile").applyInArrow(match, "a long, b long")
+
+
+def _dealt(name: str, parts: Column, draw: int) -> Column:
+    return F.pmod(F.xxhash64(name, F.lit(draw)), parts)
+
+
+def in_pieces(sets: DataFrame, index_sets: int, draw: int) -> DataFrame:
+    """Members for :func:`search` from (doc_id, component, class): each set in one piece."""
+    sizes = sets.groupBy("component").agg(F.ceil(F.count("*") / index_sets).alias("pieces"))
+    dealt_out = sets.join(sizes, "component").withColumn("own", _dealt("doc_id", F.col("pieces"), draw))
+    return dealt_out.select("doc_id", "component", "class", "own", F.array(F.col("own") * SLICES + F.col("own")).alias("tiles"))
+
+
+def in_tiles(sets: DataFrame, index_sets: int) -> DataFrame:
+    """Members for :func:`search` from (doc_id, component, class): all sets of different classes meet.
+
+    The sets of all classes but the largest are dealt over blocks, which are indexed, and
+    all sets over slices, which are searched in each block.
+    """
+    classes = sets.groupBy("component", "class").agg(F.count("*").alias("n"))
+    sizes = classes.groupBy("component").agg(
+        F.max(F.struct("n", "class"))["class"].alias("largest"),
+        F.ceil((F.sum("n") - F.max("n")) / index_sets).alias("blocks"),
+        F.ceil(F.sum("n") / index_sets).alias("slices"),
+    )
+    block, slice_ = _dealt("doc_id", F.col("blocks"), 2), _dealt("doc_id", F.col("slices"), 3)
+    searched = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x * SLICES + F.col("slice"))
+    indexed = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda x: F.col("own") * SLICES + x)
+    return (
+        sets.join(sizes.filter("blocks > 0"), "component")
+        .withColumn("own", F.when(F.col("class") == F.col("largest"), F.lit(-1).cast("long")).otherwise(block))
+        .withColumn("slice", slice_)
+        .withColumn("tiles", F.when(F.col("own") < 0, searched).otherwise(F.array_union(searched, indexed)))
+        .select("doc_id", "component", "class", "own", "tiles")
     )
-    return rows.groupBy("bucket", "block").applyInArrow(match, "a long, b long")
+
+
+def unsettled(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(doc_id, component, class)`` of sets that share a filed gram with one of another class.
+
+    ``sets`` has doc_id and prefix, ``classes`` node and class.
+    """
+    places = F.sequence(F.lit(0), (F.octet_length("prefix") / 8).cast("int") - 1)
+    filed = sets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id").select(
+        "doc_id", "class", F.explode(F.transform(places, lambda i: F.substring(F.col("prefix"), i * 8 + 1, F.lit(8)))).alias("key")
+    )
+    mixed = filed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("doc_id").alias("least"))
+    meeting = written(filed.join(mixed.filter("low < high").select("key", "least"), "key").select("doc_id", "class", "least").distinct(), "meeting")
+    found = components(meeting.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    return meeting.select("doc_id", "class").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id")
+
+
+def linked(near: DataFrame, sets: DataFrame, docs: DataFrame, grams: int, percent: int, index_sets: int) -> DataFrame:
+    """Links ``(a, b)`` that connect just the sets that similar pairs connect; ``near`` has node and component."""
+
+    def searched(members: DataFrame) -> DataFrame:
+        rows = members.agg(F.sum(F.size("tiles"))).first()[0] or 0
+        return written(search(members, docs, grams, percent, max(buckets(docs), -(-rows // index_sets))), "links")
+
+    alone = near.select(F.col("node").alias("doc_id"), "component", F.col("node").alias("class"))
+    links = searched(in_pieces(alone, index_sets, 0))
+    large = near.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > index_sets).select("component")
+    if large.isEmpty():
+        return links
+    nodes = written(near.join(large, "component", "left_semi"), "large")
+
+    def classes() -> DataFrame:
+        joined = components(links).select("node", F.col("component").alias("class"))
+        return nodes.join(joined, "node", "left").select("node", "component", F.coalesce("class", "node").alias("class"))
+
+    first = classes().filter("node = class").select(F.col("node").alias("doc_id"), "component", "class")
+    links = links.union(searched(in_pieces(first, index_sets, 1)))
+    rest = written(unsettled(sets, classes().select("node", "class")), "unsettled")
+    return links.union(searched(written(in_tiles(rest, index_sets), "tiles")))
 
 
 def similar_documents(
@@ -376,14 +455,7 @@ def similar_documents(
     # One row for each distinct set; of rows that share an id, every set counts.
     sets = known.join(classes, ["fingerprint", "doc_id"], "left_semi").select("doc_id", "n_shingles", "prefix")
     near = components(candidate_links(sets, percent))
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / index_sets).cast("int").alias("pieces"))
-    members = near.join(sizes, "component").select(
-        F.col("node").alias("doc_id"),
-        "component",
-        F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"),
-        "pieces",
-    )
-    links = search(members, docs.filter("doc_id is not null"), grams, percent)
+    links = linked(near, sets, docs.filter("doc_id is not null"), grams, percent, index_sets)
     # Classes of an id with several texts are joined over that id.
     equal = known.join(classes.withColumnRenamed("doc_id", "b"), "fingerprint").select(F.col("doc_id").alias("a"), "b").distinct()
     split = equal.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
