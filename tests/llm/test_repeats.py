@@ -47,6 +47,32 @@ def test_bytes_against_brute_force(docs_of, seed, length, gram):
         assert r.score == r.doc_id % 2  # other columns stay
 
 
+@pytest.mark.parametrize("seed", [1, 5])
+def test_hot_minimizers_against_brute_force(docs_of, monkeypatch, seed):
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 3)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    rows = list(enumerate(texts(seed, 40, "abcdefg")))
+    want = bytes_removed(rows, 60)
+    got = suffix_dedup.remove_repeats(docs_of([t for _, t in rows]), 60, gram=16).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: gone.sum() for i, gone in want.items()}
+
+
+def test_a_line_in_many_places_is_not_sorted_in_one_task(docs_of, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 20, raising=False)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1, raising=False)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(30))
+    line = "licensed under the usual terms of this site"
+    docs = docs_of([" ".join([word(), word(), word(), word(), line, word(), word(), word(), word()]) for _ in range(300)])
+    sent = suffix_dedup.segments(suffix_dedup.repeats.documents(docs, "doc_id", "text"), 100).collect()
+    volume = {}
+    for r in sent:
+        for key, size in zip(np.frombuffer(r.keys, "u8").tolist(), np.frombuffer(r.sizes, "i4").tolist()):
+            volume[key] = volume.get(key, 0) + size
+    assert max(volume.values()) <= 20 * 168  # of 300 documents with over 100 bytes each
+    assert all(r.n_removed == 0 for r in suffix_dedup.remove_repeats(docs).collect())
+
+
 def test_suffix_array_and_boundaries():
     rng = random.Random(7)
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 80))).encode() for _ in range(30)]

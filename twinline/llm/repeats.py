@@ -29,7 +29,7 @@ ONCE, FIRST_OF_SEVERAL, LATER_OF_SEVERAL = 0, 1, 2
 
 def documents(df: DataFrame, doc_id: str, text: str, made: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id`` and ``text`` under these names, and the other columns but for those ``made`` anew."""
-    clash = {doc_id, text, "doc_id", "text", "keys", "runs", *made}
+    clash = {doc_id, text, "doc_id", "text", "keys", "_strings", "runs", *made}
     others = [c for c in df.columns if c not in clash]
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *others)
 
@@ -112,9 +112,9 @@ def with_repeated_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(keys, "doc_id", "left")
 
 
-def marked(batch: pa.RecordBatch, row: int, stop: int) -> np.ndarray:
+def marked(batch: pa.RecordBatch, row: int, stop: int, column: str = "keys") -> np.ndarray:
     """The repeated keys of rows ``row`` to ``stop``, each joined with its row, sorted."""
-    lists = batch.column("keys").slice(row, stop - row)
+    lists = batch.column(column).slice(row, stop - row)
     keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
     return np.sort(joined(owner, keys))

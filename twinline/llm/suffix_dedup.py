@@ -4,6 +4,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier,
 document of smaller id or further up in the same one. All equal strings have the same
 *minimizer*, the least hash of the short grams inside, so strings are compared only
 with those of the same minimizer, and a minimizer that is found once is dropped at once.
+A minimizer that stands in very many different places (a line that many texts share) parts
+its strings further, by a hash of the whole string, and those found once are dropped too.
 
 What is compared in one task is cut out, put together, and sorted into a suffix array.
 Its common prefixes are then derived in order of their length: going backwards through
@@ -25,12 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from twinline.llm import repeats
-from twinline.llm.flat import BYTE_DRAW, buckets, chunks, dealt, flat, mix, run_lengths, runs, unpacked
+from twinline.llm.flat import BYTE_DRAW, buckets, chunks, dealt, flat, mix, run_lengths, runs, span_hash, unpacked
 from twinline.session import ship
 
 # Bytes of a gram, and bytes of text that are sorted at once (a single minimizer's may be more).
 GRAM = 32
 SORTED_BYTES = 2 << 20
+# Different segments from which on a minimizer's strings are dealt one by one, and the share of
+# documents (one in so many) in which they are counted. Both only steer the cost.
+HOT_SEGMENTS, SAMPLED = 10_000, 16
 
 SEGMENT_ROWS = "bucket int, texts binary, sizes binary, keys binary, docs binary, starts binary, known binary"
 LOW = np.uint64(255)
@@ -197,9 +202,40 @@ def _compare(texts: list[bytes], keys: np.ndarray, docs: np.ndarray, starts: np.
         yield docs[block][at], a + shift, b + shift
 
 
-def repeated_runs(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
-    """``(doc_id, start, stop)``: runs of starts whose next ``length`` bytes are found earlier."""
+def hot_minimizers(docs: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Minimizers of many different segments, sorted."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((0, 2), np.uint64)]
+            for _, data, offsets in chunks(batch.column("text")):
+                at, rows, places, least = minimizers(data, offsets, length, gram)
+                if not len(at):
+                    continue
+                first = _anchor_runs(rows, places)
+                last = np.concatenate((first[1:], [len(at)])) - 1
+                texts = span_hash(BYTE_DRAW[data], at[first], at[last] + length)
+                found.append(np.unique(np.column_stack((least[first], texts)), axis=0))
+            both = np.unique(np.concatenate(found), axis=0).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(both[:, 0]), "segment": pa.array(both[:, 1])})
+
+    some = docs.filter("doc_id is not null and text is not null").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    seen = some.select("text").mapInArrow(scan, "key long, segment long").distinct()
+    hot = seen.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= max(1, HOT_SEGMENTS // SAMPLED)).select("key")
+    return np.sort(hot.toArrow().column("key").to_numpy().view(np.uint64))
+
+
+def segments(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
+    """Texts that hold what may be repeats, dealt to buckets by minimizer (or string, if that is hot)."""
     count = buckets(docs)
+    hot = hot_minimizers(docs, length, gram)
+
+    def strings_of(data, offsets):
+        at, rows, _, keys = minimizers(data, offsets, length, gram)
+        take = repeats.is_in(keys, hot)
+        if not take.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return rows[take], span_hash(BYTE_DRAW[data], at[take], at[take] + length)
 
     def keys_of(data, offsets):
         _, rows, places, keys = minimizers(data, offsets, length, gram)
@@ -219,13 +255,23 @@ def repeated_runs(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
                 known = repeats.marked(batch, row, row + len(offsets) - 1)
                 first = _anchor_runs(rows, places)
                 last = np.concatenate((first[1:], [len(at)])) - 1
-                take = repeats.is_in(repeats.joined(rows[first], least[first]), known)
+                split = repeats.is_in(least[first], hot)
+                alone = np.flatnonzero(np.repeat(split, last - first + 1))
+                take = repeats.is_in(repeats.joined(rows[first], least[first]), known) & ~split
                 first, last = first[take], last[take]
+                key_of = least[first]
+                if len(alone):
+                    # A string of a hot minimizer is a segment of its own, under its own hash.
+                    strings = span_hash(BYTE_DRAW[data], at[alone], at[alone] + length)
+                    doubled = repeats.marked(batch, row, row + len(offsets) - 1, "_strings")
+                    take = repeats.is_in(repeats.joined(rows[alone], strings), doubled)
+                    first, last = np.concatenate((first, alone[take])), np.concatenate((last, alone[take]))
+                    key_of = np.concatenate((key_of, strings[take]))
                 raw = data.tobytes()
                 new = [raw[a:b] for a, b in zip(at[first].tolist(), (at[last] + length).tolist())]
                 owner = ids[rows[first] + row]
                 begin = at[first] - offsets[rows[first]]
-                for text, key, doc, start in zip(new, least[first].tolist(), owner.tolist(), begin.tolist()):
+                for text, key, doc, start in zip(new, key_of.tolist(), owner.tolist(), begin.tolist()):
                     other = seen.setdefault(text, len(texts))
                     if other == len(texts):
                         texts.append(text), keys.append(key), docs_.append(doc), starts.append(start)
@@ -261,6 +307,18 @@ def repeated_runs(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
                 bucket = (mix(whole[:, 0].astype(np.uint64)) % np.uint64(count)).astype(np.int32)
                 yield _known_batch(dealt(bucket, {"known": whole}))
 
+    marked = repeats.with_repeated_keys(docs, repeats.repeated_keys(docs, keys_of, across=False))
+    if len(hot):
+        strings = repeats.repeated_keys(docs, strings_of, across=False).withColumnRenamed("keys", "_strings")
+        marked = marked.join(strings, "doc_id", "left")
+    else:
+        marked = marked.withColumn("_strings", F.lit(None).cast("array<long>"))
+    return marked.mapInArrow(cut, SEGMENT_ROWS)
+
+
+def repeated_runs(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
+    """``(doc_id, start, stop)``: runs of starts whose next ``length`` bytes are found earlier."""
+
     def match(table: pa.Table) -> pa.Table:
         known = unpacked(table, "known", "i8").reshape(-1, 3)
         body = b"".join(x or b"" for x in table.column("texts").to_pylist())
@@ -286,8 +344,7 @@ def repeated_runs(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
         doc, start, stop = (np.concatenate(x) for x in zip(*found))
         return pa.table({"doc_id": doc, "start": start, "stop": stop})
 
-    marked = repeats.with_repeated_keys(docs, repeats.repeated_keys(docs, keys_of, across=False))
-    return marked.mapInArrow(cut, SEGMENT_ROWS).groupBy("bucket").applyInArrow(match, "doc_id long, start long, stop long")
+    return segments(docs, length, gram).groupBy("bucket").applyInArrow(match, "doc_id long, start long, stop long")
 
 
 _SEGMENT_NAMES = ("bucket", "texts", "sizes", "keys", "docs", "starts", "known")
