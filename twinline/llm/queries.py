@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinline.llm import bpe, decontaminate, html_text, multi_index, ngram_join, recompress, shard, suffix_dedup, toxicity, url_filter
+from twinline.llm import (
+    align, bpe, decontaminate, html_text, multi_index, ngram_join, recompress, shard, simhash, suffix_dedup, toxicity, url_filter, whiten,
+)
 
 # The host and path of each rule, and what it says.
 URL_RULES = (
@@ -33,6 +35,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_path() -> str:
+    """The vocabulary of pieces; TWINLINE_PIECES names another file."""
+    if "TWINLINE_PIECES" in os.environ:
+        return os.environ["TWINLINE_PIECES"]
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -85,6 +96,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), 4, 85)
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 4)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten.whiten(table(spark, sf_dir, "embeddings"), 4)
+    # Beyond a long there is no such number.
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = align.align(table(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups"), 256)).otherwise("")
+    return rows.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
@@ -96,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 _URL_PARTS = """
