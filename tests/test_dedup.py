@@ -2,9 +2,11 @@ import itertools
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from twinline.columns import ID, SL, SOURCE
-from twinline.operators import dedup
+from twinline.operators import components, dedup
 
 
 def ids(df):
@@ -117,21 +119,100 @@ def test_hot_blocks_are_split_and_stay_whole(pairs, monkeypatch, t):
     assert ids(dedup.near_dup_exact(pairs(*rows), t)) == brute_force(rows, t)
 
 
-def test_links_stand_for_every_similar_pair(pairs, monkeypatch):
+def joined(df, t):
+    return {r.id: (r.class_id, r.n_links, r.jaccard_dist) for r in dedup.similarity_self_join(df, t).collect()}
+
+
+def plain_join(rows, t):
+    """Class, number of links and nearest distance of each row, from all pairs."""
+    near = {a[0]: {b[0]: 1 - jaccard(a[1], b[1]) for b in rows if a[0] != b[0] and jaccard(a[1], b[1]) >= t} for a in rows}
+    least, before = {i: i for i in near}, None
+    while least != before:
+        before = dict(least)
+        least = {i: min([before[i], *(before[j] for j in near[i])]) for i in near}
+    return {i: (least[i], len(near[i]), pytest.approx(min(near[i].values())) if near[i] else None) for i in near}
+
+
+@pytest.mark.parametrize("t", [0.95, 0.85, 0.6])
+def test_self_join_loses_no_link(pairs, monkeypatch, t):
     monkeypatch.setattr(dedup, "BLOCK_ROWS", 5)
-    rows, t = hot_corpus(), 0.85
-    links = [tuple(r) for r in dedup.similarity_self_join(pairs(*rows), t).collect()]
-    assert all(a < b for a, b, _ in links)
-    linked = {(a, b) for a, b, _ in links}
-    assert len({b for _, b, _ in links}) == len(links)
-    for b in rows:
-        # A copy is linked to its set's lowest id, that one to the lowest similar set.
-        similar = [a[0] for a in rows if a[0] < b[0] and jaccard(a[1], b[1]) >= t]
-        equal = [a[0] for a in rows if a[0] < b[0] and jaccard(a[1], b[1]) == 1]
-        want = min(equal or similar, default=None)
-        assert (want, b[0]) in linked if want is not None else all(y != b[0] for _, y in linked)
-    for a, b, d in links:
-        assert d == pytest.approx(1 - jaccard(rows[a][1], rows[b][1]))
+    monkeypatch.setattr(components, "HELD_LINKS", 50)
+    rows = hot_corpus()
+    assert joined(pairs(*rows), t) == plain_join(rows, t)
+    rows = corpus(int(t * 100), 120, 60, 40)
+    assert joined(pairs(*rows), t) == plain_join(rows, t)
+
+
+def test_a_row_that_joins_two_others(pairs):
+    """3 is like 1 and like 2, which are not like each other: all are one class."""
+    base = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join(base[:18]), "x"), (2, " ".join(base[2:]), "x"), (3, " ".join(base), "x"), (4, "other", "x")]
+    assert jaccard(rows[0][1], rows[1][1]) < 0.9 <= jaccard(rows[0][1], rows[2][1])
+    got = joined(pairs(*rows), 0.9)
+    assert got == {1: (1, 1, pytest.approx(0.1)), 2: (1, 1, pytest.approx(0.1)), 3: (1, 2, pytest.approx(0.1)), 4: (4, 0, None)}
+
+
+def test_near_copies_give_a_row_each(pairs):
+    rows = [(i, " ".join(f"w{j}" if j != i else f"x{i}" for j in range(60)), "x") for i in range(100, 140)]
+    rows += [(i + 100, t, "x") for i, t, _ in rows[:5]]
+    got = joined(pairs(*rows), 0.9)
+    assert len(got) == 45 and {c for c, _, _ in got.values()} == {100} and {n for _, n, _ in got.values()} == {44}
+    assert all(got[i][2] == 0.0 for i in (100, 200))
+
+
+def test_self_join_of_odd_rows(spark, pairs):
+    df = pairs((1, "a b c", "x"), (None, "a b c", "x"), (2, None, "x"), (2, "c b a", "x"), (3, "", "x"), (4, "", "x"))
+    got = sorted((tuple(r) for r in dedup.similarity_self_join(df, 0.9).collect()), key=str)
+    assert got == sorted([(1, 1, 1, 0.0), (None, None, 0, None), (2, 2, 0, None), (2, 1, 1, 0.0), (3, 3, 1, 0.0), (4, 3, 1, 0.0)], key=str)
+    assert dedup.similarity_self_join(df.limit(0), 0.9).count() == 0
+    assert dedup.near_dup_exact(df.limit(0), 0.9).count() == 0
+
+
+def test_classes_of_long_paths_and_stars(spark):
+    links = [(i, i + 1) for i in range(200, 260)] + [(7, i) for i in range(20, 60)] + [(5, 5), (300, 300)] + [(90, 91), (91, 92), (92, 90)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    got = {r.node: r.class_id for r in components.connected_classes(df).collect()}
+    assert got == {i: 200 for i in range(200, 261)} | {i: 7 for i in [7, *range(20, 60)]} | {90: 90, 91: 90, 92: 90}
+
+
+def boilerplate(n, own=5):
+    """Rows of 60 common tokens and a few of their own: alike in most words, and not similar at 0.95."""
+    shared = " ".join(f"licence{i}" for i in range(60))
+    return [(i, shared + "".join(f" own{i}x{j}" for j in range(own)), "x") for i in range(n)]
+
+
+@pytest.mark.parametrize("t", [0.95, 0.9])
+def test_boilerplate_brings_nothing_together(spark, pairs, t):
+    """Keys that rows share are what grows with the square of them: there are none, however many rows."""
+    rows = boilerplate(500)
+    assert jaccard(rows[0][1], rows[1][1]) < 0.9
+    sets, keys = dedup.filed_sets(dedup.token_sets(pairs(*rows)), t)
+    assert keys.count() > 0 and dedup._blocks(sets, keys).count() == 0
+    assert len(ids(dedup.near_dup_exact(pairs(*rows), t))) == 500
+
+
+def test_boilerplate_with_copies_among_it(pairs):
+    rows = boilerplate(120)
+    rows += [(1000 + i, t + f" more{i}", "x") for i, t, _ in rows[::10]] + [(2000 + i, t.replace("licence3 ", ""), "x") for i, t, _ in rows[::7]]
+    for t in (0.95, 0.85):
+        assert ids(dedup.near_dup_exact(pairs(*rows), t)) == brute_force(rows, t)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=14), min_size=2, max_size=25), st.sampled_from([0.95, 0.8, 0.5, 0.34]))
+def test_similar_sets_share_a_key(spark, sets, t):
+    """The law behind the prefixes, for every pair and any sizes."""
+    distinct = sorted({tuple(sorted(set(s))) for s in sets})
+    table = spark.createDataFrame([(i, 1, list(map(str, s))) for i, s in enumerate(distinct)], "rep long, copies long, tokens array<string>")
+    filed = {}
+    for r in dedup.prefix_keys(dedup.rarest_first(table), t).collect():
+        filed.setdefault(r.rep, {}).setdefault((r.key, r.side), []).append(r.room)
+    for i, j in itertools.combinations(range(len(distinct)), 2):
+        a, b = set(distinct[i]), set(distinct[j])
+        if len(a & b) / len(a | b) >= t:
+            needed = (len(a) + len(b)) * t / (1 + t) - 1e-9
+            rooms = [min(x, y) for (k, s), xs in filed[i].items() for y in filed[j].get((k, -s), []) for x in xs]
+            assert rooms and max(rooms) >= needed
 
 
 def test_lsh_drops_a_part_of_what_exact_drops(pairs):

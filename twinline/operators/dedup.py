@@ -1,4 +1,4 @@
-"""Exact and near-duplicate removal.
+"""Exact and near-duplicate removal, and the similarity self-join.
 
 Near-duplicates are rows whose source token sets have a Jaccard similarity of at
 least ``min_similarity`` with a row of lower id. Rows with equal token sets are
@@ -6,22 +6,28 @@ first folded into one set with its lowest id, so copies never meet each other:
 a copy is dropped because its id is not the lowest. What is left are distinct
 sets, and a set's lowest id is dropped if a similar set has a lower one.
 
-Candidates share a *block key*. The exact way cuts each set into hash segments,
-one more than the number of tokens in which similar sets can differ, so similar
-sets agree on a whole segment. The LSH way bands MinHash values. Both go through
-the same exact check of token sets.
+Candidates share a *block key*. The exact way orders tokens by document frequency, the
+rarest first, and files the first tokens of each set, as many as a similar set of a given
+size can lack and one more: similar sets share one of those. So frequent words and
+passages that many rows share come last and bring nothing together. The LSH way bands
+MinHash values. Both go through the same exact check of token sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinline.columns import ID, SL, SOURCE, TARGET
-from twinline.session import written
+from twinline.operators.components import connected_classes, summed_links
+from twinline.session import ship, written
 
 # Members of a block that one task compares with each other before it is split.
 BLOCK_ROWS = 4096
@@ -42,8 +48,13 @@ def exact_dedup(df: DataFrame, source: str = SOURCE, target: str = TARGET) -> Da
 
 
 def anti_join(df: DataFrame, ids: DataFrame, id_column: str = ID) -> DataFrame:
-    """Rows of ``df`` whose id is not in ``ids``; a null id is always kept."""
-    return df.join(ids.select(id_column), id_column, "left_anti").select(*df.columns)
+    """Rows of ``df`` whose id is not in ``ids``; a null id is always kept.
+
+    Null ids stay out of the join, where they would all be one key's rows.
+    """
+    known = df.filter(F.col(id_column).isNotNull())
+    kept = known.join(ids.filter(F.col(id_column).isNotNull()).select(id_column), id_column, "left_anti")
+    return kept.select(*df.columns).union(df.filter(F.col(id_column).isNull()))
 
 
 # --- token sets and block keys -------------------------------------------------
@@ -59,11 +70,11 @@ def _set_hash(tokens: Column) -> Column:
 
 
 def token_sets(df: DataFrame, text: str = SOURCE, id_column: str = ID) -> DataFrame:
-    """Distinct lower-cased token sets as ``(rep, tokens)``, rep = lowest id."""
+    """Distinct lower-cased token sets as ``(tokens, rep, copies)``: the lowest id, and of how many rows."""
     return (
         df.filter(F.col(id_column).isNotNull() & F.col(text).isNotNull())
         .groupBy(_tokens(text).alias("tokens"))
-        .agg(F.min(id_column).alias("rep"))
+        .agg(F.min(F.col(id_column).cast("long")).alias("rep"), F.count("*").alias("copies"))
     )
 
 
@@ -76,7 +87,7 @@ def copies_of_sets(df: DataFrame, sets: DataFrame, text: str = SOURCE, id_column
     rows = df.filter(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(
         F.col(id_column).alias("copy"), _set_hash(_tokens(text)).alias("set_hash")
     )
-    lowest = sets.select("rep", _set_hash(F.col("tokens")).alias("set_hash"))
+    lowest = sets.select("rep", _set_hash(F.sort_array("tokens")).alias("set_hash"))
     return rows.join(lowest, "set_hash").filter("copy > rep").select("rep", "copy")
 
 
@@ -85,39 +96,103 @@ def _jaccard(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def segment_keys(sets: DataFrame, min_similarity: float) -> DataFrame:
-    """Block keys that any two sets with Jaccard >= ``min_similarity`` share.
+# Groups of tokens, by hash, whose frequencies order them, and size classes within the
+# sizes that a similar smaller set can have.
+FREQUENCIES, SIZE_CLASSES = 1 << 17, 3
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """In how many sets tokens of each group of hashes occur: a table of fixed size.
 
-    Sizes fall into classes so wide that a partner is in the same class or the
-    next one; a set files keys for both. Sets whose larger one has n tokens and
-    which are similar differ in at most d = 2n(1-t)/(1+t) tokens. Tokens are
-    dealt by hash into d+1 segments, hence one segment holds the same tokens in
-    both. A segment holds about (1+t)/(2-2t) tokens, 19 at t = 0.95, so only
-    near-copies and shared templates collide, not frequent words.
+    A rare token in a frequent one's group is filed later than it might be, which costs a
+    little and loses nothing: any order does, as long as it is the same for all sets.
+    """
+    group = F.pmod(F.xxhash64("token"), F.lit(FREQUENCIES)).cast("int")
+    told = sets.select(F.explode("tokens").alias("token")).groupBy(group.alias("at")).agg(F.count("*").alias("n"))
+    counts, rows = np.zeros(FREQUENCIES, np.int64), told.toArrow()
+    counts[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return counts
+
+
+def rarest_first(sets: DataFrame) -> DataFrame:
+    """``sets`` with the tokens of each in the common order, and their ``hashes``."""
+    counts = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, hashes = batch.column("tokens"), batch.column("hashes")
+            sizes = pc.list_value_length(hashes).to_numpy()
+            flat = hashes.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, counts.value[flat % FREQUENCIES], row))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("rep", "copies")),
+                    pa.ListArray.from_arrays(offsets, tokens.flatten().take(pa.array(order))),
+                    pa.ListArray.from_arrays(offsets, pa.array(flat[order])),
+                ],
+                ["rep", "copies", "tokens", "hashes"],
+            )
+
+    hashed = sets.select("rep", "copies", "tokens", F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes"))
+    return hashed.mapInArrow(scan, "rep long, copies long, tokens array<string>, hashes array<long>")
+
+
+def _size_classes(largest: int, min_similarity: float) -> np.ndarray:
+    """The class of each size from 1 to ``largest``; a similar set is SIZE_CLASSES away, or one more."""
+    width = math.log(1 / min_similarity) / SIZE_CLASSES if min_similarity < 1 else 1e-3
+    return np.floor(np.log(np.arange(1, largest + 1)) / width + 1e-9).astype(np.int64)
+
+
+def prefix_keys(ordered: DataFrame, min_similarity: float) -> DataFrame:
+    """Block keys ``(rep, key, side, room)``, of which two sets with Jaccard >= ``min_similarity`` share one.
+
+    Similar sets of n and m tokens share a = (n + m) t / (1 + t) of them at least, so the
+    first n - a + 1 tokens of the one and the first m - a + 1 of the other have one in common.
+    The closer the sizes, the shorter is that prefix, so a set files a prefix for each class
+    of sizes a partner can have; the key names both classes. ``side`` says if the set is
+    the smaller (-1) or the larger one (1) of a key for two classes. ``room`` is how many
+    tokens are left from this one on: if it is the first that is common, no more can be.
+    Sizes at which only equal sets are similar have no keys, as equal sets are folded.
     """
     t = min_similarity
     if not 1 / 3 < t <= 1:
         raise ValueError("min_similarity must lie above 1/3, at most at 1")
-    width = math.log(1 / t) + 1e-9
-    own = F.floor(F.log(F.size("tokens").cast("double")) / F.lit(width))
-    largest = F.floor(F.exp((F.col("size_class") + 1) * F.lit(width)) + 1e-6)
-    differing = F.floor(largest * F.lit(2 * (1 - t) / (1 + t)) + 1e-6).cast("int")
-
-    def key(segment):
-        mine = F.filter("hashes", lambda h: F.pmod(h, F.col("segments").cast("bigint")) == segment)
-        return F.xxhash64(F.col("size_class"), segment, mine)
-
-    return (
-        sets.select(
-            "rep",
-            F.sort_array(F.transform("tokens", lambda x: F.xxhash64(x))).alias("hashes"),
-            F.explode(F.array(own, own + 1)).alias("size_class"),
-        )
-        .withColumn("segments", differing + 1)
-        # One segment would be the whole set, and equal sets are folded already.
-        .filter("segments > 1")
-        .select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.col("segments") - 1), key)).alias("key"))
-    )
+    ship(ordered.sparkSession)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, lists = batch.column("rep").to_numpy(), batch.column("hashes")
+            n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            if not len(n):
+                continue
+            flat, starts = lists.flatten().to_numpy(), np.cumsum(n) - n
+            classes = _size_classes(int(n.max() / t) + 2, t)
+            own, least, most = classes[n - 1], np.ceil(n * t - 1e-9), np.floor(n / t + 1e-9)
+            for away in range(-SIZE_CLASSES - 1, SIZE_CLASSES + 2):
+                low = np.maximum(np.searchsorted(classes, own + away, "left") + 1, least)
+                high = np.minimum(np.searchsorted(classes, own + away, "right"), most)
+                shared = np.ceil((n + low) * (t / (1 + t)) - 1e-9)
+                possible = (low <= high) & (shared <= np.minimum(n, high)) & ~((low == n) & (high == n) & (shared >= n))
+                rows = np.flatnonzero(possible)
+                length = (n[rows] - shared[rows] + 1).astype(np.int64)
+                row = np.repeat(rows, length)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+                both = np.minimum(own[row], own[row] + away), np.maximum(own[row], own[row] + away)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "rep": rep[row],
+                        "small": both[0].astype(np.int32),
+                        "large": both[1].astype(np.int32),
+                        "hash": flat[starts[row] + at],
+                        "side": np.full(len(row), -np.sign(away), np.int32),
+                        "room": (n[row] - at).astype(np.int32),
+                    }
+                )
+
+    filed = ordered.select("rep", "hashes").mapInArrow(scan, "rep long, small int, large int, hash long, side int, room int")
+    return filed.select("rep", F.xxhash64("small", "large", "hash").alias("key"), "side", "room")
 
 
 # The least recall of a similar pair, and the most bands that may be spent on it.
@@ -156,23 +231,27 @@ def minhash_keys(sets: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
 
     values = [least(a, b) for a, b in minhash_draws(bands * rows_per_band)]
     keys = [F.xxhash64(F.lit(i), *values[i * rows_per_band : (i + 1) * rows_per_band]) for i in range(bands)]
-    return sets.withColumn("numbers", numbers).select("rep", F.explode(F.array(*keys)).alias("key"))
+    # Bands say nothing about sizes or places.
+    return sets.withColumn("numbers", numbers).select(
+        "rep", F.explode(F.array(*keys)).alias("key"), F.lit(0).alias("side"), F.size("tokens").alias("room")
+    )
 
 
 # --- from block keys to decisions ----------------------------------------------
 
 
 def _blocks(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """Sets that share a key: ``(key, members, lowest, rep, tokens, bits)``.
+    """Sets that share a key: ``(key, side, room, members, lowest)`` and the columns of ``sets``.
 
-    Most keys of a real corpus are filed by one set. They are thrown out while
-    rows are a key and an id; tokens are then joined to what is left, and that is
+    Most keys of a real corpus are filed by one set, or from one side. They are thrown out
+    while rows are a key and an id; tokens are then joined to what is left, and that is
     written out, as it is read several times.
     """
     counts = (
         keys.groupBy("key")
-        .agg(F.count("*").alias("members"), F.min("rep").alias("lowest"))
-        .filter("members > 1")
+        .agg(F.count("*").alias("members"), F.min("rep").alias("lowest"), F.min("side").alias("first"), F.max("side").alias("last"))
+        .filter("members > 1 and (first = 0 or first < last)")
+        .drop("first", "last")
     )
     blocks = keys.join(counts, "key").join(sets, "rep")
     return written(blocks.withColumn("bits", _bitmap(F.col("tokens"))), "blocks")
@@ -215,12 +294,22 @@ def _similar(a: Column, a_bits: Column, b: Column, b_bits: Column, min_similarit
     return sizes & bits & (F.size(F.array_intersect(a, b)) >= (n + m) * (t / (1 + t)) - 1e-9)
 
 
+def filed_sets(sets: DataFrame, min_similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``sets`` with their tokens in order, and their keys, both written as they are read again."""
+    ordered = written(rarest_first(written(sets, "sets")), "ordered")
+    return ordered.drop("hashes"), written(prefix_keys(ordered, min_similarity), "keys")
+
+
 def _meets_lower(min_similarity: float) -> Column:
-    """Join condition: b is in p's block, has a lower id, and is similar."""
+    """Join condition: b is in p's block, on the other side, has a lower id, and is similar."""
+    both = F.size("p.tokens") + F.size("b.tokens")
+    needed = both * (min_similarity / (1 + min_similarity)) - 1e-9
     return (
         (F.col("p.key") == F.col("b.key"))
         & (F.col("p.salt") == F.col("b.salt"))
         & (F.col("b.rep") < F.col("p.rep"))
+        & ((F.col("p.side") == 0) | (F.col("p.side") != F.col("b.side")))
+        & (F.least("p.room", "b.room") >= needed)
         & _similar(F.col("p.tokens"), F.col("p.bits"), F.col("b.tokens"), F.col("b.bits"), min_similarity)
     )
 
@@ -248,7 +337,7 @@ def _similar_to_lower(sets: DataFrame, keys: DataFrame, min_similarity: float) -
 
     # The others against the rest of their block. A semi join stops at the first
     # similar set and emits a set at most once per key and salt, never pairs.
-    build = others.filter("members > 2").select("key", "members", "rep", "tokens", "bits")
+    build = others.filter("members > 2").select("key", "side", "room", "members", "rep", "tokens", "bits")
     probe = build.join(like_lowest, "rep", "left_anti")
     probe, build = _spread(probe, build)
     like_other = (
@@ -271,7 +360,7 @@ def near_duplicate_ids(
     """
     sets = token_sets(df, text, id_column)
     if method == "exact":
-        keys = segment_keys(sets, min_similarity)
+        sets, keys = filed_sets(sets, min_similarity)
     elif method == "lsh":
         bands, rows = banding(min_similarity)
         keys = minhash_keys(sets, minhash.get("bands", bands), minhash.get("rows_per_band", rows))
@@ -305,28 +394,59 @@ def near_dup_lsh(
 def similarity_self_join(
     df: DataFrame, min_similarity: float = 0.95, text: str = SOURCE, id_column: str = ID
 ) -> DataFrame:
-    """Links ``(id_a, id_b, jaccard_dist)`` with ``id_a < id_b``, one for each ``id_b`` at most.
+    """``(id, class_id, n_links, jaccard_dist)``, a row for each row of ``df``.
+
+    Two rows link if their token sets have a Jaccard similarity of ``min_similarity`` or
+    more. ``class_id`` is the lowest id that links reach, ``n_links`` how many rows the row
+    is linked with, and ``jaccard_dist`` the distance of the nearest one (null without links).
+    So no link is lost, and n near-copies give n rows in place of n(n-1)/2. Every pair
+    of distinct sets is found once, at the first token of their prefixes that both have, and
+    summed up in the task that finds it.
 
-    Rows with equal token sets are linked to the lowest id of their set at distance 0,
-    and the lowest id of a set to the lowest one of all sets that are similar to it.
-    So every row that resembles a lower one is linked, and n near-copies give n - 1
-    links in place of n(n-1)/2. Links are reduced before they are shuffled.
+    A row without an id or a text links with nothing and is its own class. Rows are
+    told apart even if they share an id.
     """
-    sets = token_sets(df, text, id_column)
-    blocks = _blocks(sets, segment_keys(sets, min_similarity)).select("key", "members", "rep", "tokens", "bits")
+    ship(df.sparkSession)
+    sets, keys = filed_sets(token_sets(df, text, id_column), min_similarity)
+    blocks = _blocks(sets, keys)
     probe, build = _spread(blocks, blocks)
-    distance = 1 - _jaccard(F.col("p.tokens"), F.col("b.tokens"))
-    links = (
-        probe.alias("p")
-        .join(build.alias("b"), _meets_lower(min_similarity))
-        .groupBy(F.col("p.rep").alias("id_b"))
-        .agg(F.min(F.struct(F.col("b.rep").alias("id_a"), distance.alias("jaccard_dist"))).alias("link"))
-        .select("link.id_a", "id_b", "link.jaccard_dist")
+
+    def before(side: str) -> Column:
+        return F.slice(f"{side}.tokens", F.lit(1), F.size(f"{side}.tokens") - F.col(f"{side}.room"))
+
+    found = probe.alias("p").join(
+        build.alias("b"), _meets_lower(min_similarity) & ~F.arrays_overlap(before("p"), before("b"))
+    )
+    links = found.select(
+        F.col("p.rep").alias("a"),
+        F.col("b.rep").alias("b"),
+        F.col("p.copies").alias("copies_a"),
+        F.col("b.copies").alias("copies_b"),
+        (1 - _jaccard(F.col("p.tokens"), F.col("b.tokens"))).alias("distance"),
     )
-    copies = copies_of_sets(df, sets, text, id_column).select(
-        F.col("rep").alias("id_a"), F.col("copy").alias("id_b"), F.lit(0.0).alias("jaccard_dist")
+    told = written(summed_links(links), "links")
+    classes = connected_classes(told.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = (
+        told.groupBy("node")
+        .agg(F.sum("links").alias("links"), F.min("nearest").alias("nearest"))
+        .join(classes, "node", "left")
+        .withColumnRenamed("node", "rep")
+    )
+    of_sets = sets.select("rep", "copies", _set_hash(F.sort_array("tokens")).alias("set_hash")).join(linked, "rep", "left")
+    known = F.col(id_column).isNotNull() & F.col(text).isNotNull()
+    ids = F.col(id_column).cast("long").alias("id")
+    rows = df.filter(known).select(ids, _set_hash(_tokens(text)).alias("set_hash"))
+    others = df.filter(~known).select(ids, ids.alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("double").alias("jaccard_dist"))
+    return (
+        rows.join(of_sets, "set_hash")
+        .select(
+            "id",
+            F.coalesce("class_id", "rep").alias("class_id"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.when(F.col("copies") > 1, 0.0).otherwise(F.col("nearest")).alias("jaccard_dist"),
+        )
+        .union(others)
     )
-    return links.union(copies.distinct())
 
 
 def deduplicate(

@@ -144,15 +144,22 @@ def _near_dup_lsh(t: float) -> str:
 
 def _links(t: float) -> str:
     shared = "len(list_intersect(a.tokens, b.tokens))"
-    return _with(
-        f"""SELECT min(a.id) AS id_a, b.id AS id_b,
-          arg_min(1 - {shared} / (a.n + b.n - {shared})::DOUBLE, a.id) AS jaccard_dist
-        FROM reps a JOIN reps b ON a.id < b.id AND {_similar(t)} GROUP BY b.id
-        UNION ALL
-        SELECT reps.id, sets.id, 0::DOUBLE FROM sets JOIN reps ON sets.tokens = reps.tokens AND sets.id > reps.id""",
+    every_pair = _with(
+        """SELECT sets.id, c.class_id, coalesce(l.n, 0)::BIGINT + reps.copies - 1 AS n_links,
+          CASE WHEN reps.copies > 1 THEN 0::DOUBLE ELSE l.dist END AS jaccard_dist
+        FROM sets JOIN reps ON sets.tokens = reps.tokens
+        JOIN (SELECT id, min(root) AS class_id FROM reach GROUP BY id) c ON c.id = reps.id
+        LEFT JOIN (SELECT a, sum(copies) AS n, min(dist) AS dist FROM linked GROUP BY a) l ON l.a = reps.id""",
         SETS.format(rows="uniq"),
-        "reps AS MATERIALIZED (SELECT min(id) AS id, any_value(n) AS n, tokens FROM sets GROUP BY tokens)",
+        """reps AS MATERIALIZED (SELECT min(id) AS id, count(*) AS copies, any_value(n) AS n, tokens
+          FROM sets GROUP BY tokens)""",
+        f"""linked AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.copies,
+            1 - {shared} / (a.n + b.n - {shared})::DOUBLE AS dist
+          FROM reps a JOIN reps b ON a.id <> b.id AND {_similar(t)})""",
+        """reach(id, root) AS (SELECT id, id FROM reps
+          UNION SELECT linked.b, reach.root FROM reach JOIN linked ON linked.a = reach.id)""",
     )
+    return every_pair.replace("WITH", "WITH RECURSIVE", 1)
 
 
 # --- profiles ----------------------------------------------------------------------
