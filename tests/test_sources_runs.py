@@ -111,9 +111,9 @@ def test_whole_run(spark, tmp_path):
 
     done = corpus.run_preprocess(spark, csv, base, config)
     assert done.count() == 90
-    raw = spark.read.json(f"{base}/reports/raw_validation_summary.json").first()
+    raw = spark.read.json(corpus.output(spark, base, "preprocess", "reports/raw_validation_summary.json")).first()
     assert (raw["total_rows"], raw["stage"], raw["valid"]) == (92, "raw", True)
-    clean = spark.read.json(f"{base}/reports/validation_summary.json").first()
+    clean = spark.read.json(corpus.output(spark, base, "preprocess", "reports/validation_summary.json")).first()
     assert (clean["total_rows"], clean["script_coverage"]) == (90, 1.0)
     before = spark.read.json(f"{base}/stages/preprocess.ok").first()["completed_at"]
     corpus.run_preprocess(spark, csv, base, config)
@@ -161,6 +161,96 @@ def test_whole_run(spark, tmp_path):
     assert changed.filter(f"{SOURCE} like 'ধারা%'").count() == changed.count() > 0
 
 
+def story(path, name, n):
+    return lines(path / f"{name}.csv", *(f"{i},{i},{name} নদী {i} বর্ষায় তীর ভাসায়,বর্ষায় নদী {i} তীর ভাসায় {name}" for i in range(n)))
+
+
+def test_a_stage_built_on_a_replaced_one_is_stale(spark, tmp_path):
+    """Encoding with augmented rows depends on two steps before it; neither may be of another input."""
+    base = str(tmp_path / "base")
+    config = CorpusConfig(use_augmented_train=True, max_input_length=8, max_target_length=8, models=(ModelSpec("m", "google/mt5-small"),))
+    status = lambda: {r["stage"]: r["status"] for r in corpus.pipeline_status(spark, base, config).collect()}
+
+    corpus.run_preprocess(spark, story(tmp_path, "a", 60), base, config)
+    corpus.run_augment(spark, base, None, config)
+    first = corpus.run_encode(spark, base, config).count()
+    assert status() == {"preprocess": "DONE", "augmentation": "DONE", "encode": "DONE", "eda_report": "pending", "evaluate": "pending"}
+
+    corpus.run_preprocess(spark, story(tmp_path, "b", 40), base, config)
+    assert status()["preprocess"] == "DONE" and status()["augmentation"] == status()["encode"] == "pending"
+    for force in (False, True):
+        with pytest.raises(stages.StaleStage):
+            corpus.run_encode(spark, base, config, force=force)
+    with pytest.raises(stages.StaleStage):
+        pair_files.split_source(spark, base, "train", True)
+    assert status()["encode"] == "pending"
+
+    train = corpus.run_augment(spark, base, None, config)
+    assert train.filter(f"{SOURCE} like 'a %'").count() == 0
+    second = corpus.run_encode(spark, base, config).count()
+    assert second < first and status()["augmentation"] == status()["encode"] == "DONE"
+    # The same preprocess run again is another run: what hangs on it is, too.
+    corpus.run_preprocess(spark, str(tmp_path / "b.csv"), base, config, force=True)
+    assert status()["preprocess"] == "DONE" and status()["encode"] == "pending"
+
+
+@pytest.mark.parametrize("dies_at", ["write_parquet", "publish"])
+def test_a_run_that_dies_leaves_the_one_before(spark, tmp_path, monkeypatch, dies_at):
+    base = str(tmp_path / "base")
+    config = CorpusConfig(max_input_length=8, max_target_length=8)
+    corpus.run_preprocess(spark, story(tmp_path, "a", 30), base, config)
+    corpus.run_eda(spark, base, config)
+    before = {r["stage"]: (r["status"], r["rows_out"]) for r in corpus.pipeline_status(spark, base, config).collect()}
+
+    class Killed(BaseException):
+        pass
+
+    calls, known = [], getattr(corpus, dies_at)
+
+    def dying(*args, **options):
+        calls.append(1)
+        if len(calls) == (2 if dies_at == "write_parquet" else 1):
+            raise Killed
+        return known(*args, **options)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(corpus, dies_at, dying)
+        with pytest.raises(Killed):
+            corpus.run_preprocess(spark, story(tmp_path, "b", 50), base, config)
+    assert {r["stage"]: (r["status"], r["rows_out"]) for r in corpus.pipeline_status(spark, base, config).collect()} == before
+    train = pair_files.split_source(spark, base, "train")
+    assert train.filter(f"{SOURCE} like 'b %'").count() == 0 < train.count()
+    assert corpus.run_preprocess(spark, str(tmp_path / "b.csv"), base, config).count() == 50
+    assert len(files.children(spark, f"{base}/preprocess")) == 1  # runs before are removed
+
+
+def test_a_process_killed_while_it_writes(spark, tmp_path):
+    """As after kill -9: a folder half written, and a record not yet put in its place."""
+    base = str(tmp_path / "base")
+    corpus.run_preprocess(spark, story(tmp_path, "a", 30), base)
+    half = tmp_path / "base" / "preprocess" / "deadbeef0000" / "processed"
+    half.mkdir(parents=True)
+    (half / "part-0.parquet").write_bytes(b"x")
+    assert pair_files.split_source(spark, base, "train").count() > 0
+    # Killed between the removal of the old record and the renaming of the new one.
+    record = tmp_path / "base" / "stages" / "preprocess.ok"
+    record.rename(record.with_name("preprocess.ok.next-20990101"))
+    assert stages.stage_record(spark, f"{base}/stages", "preprocess")["stage"] == "preprocess"
+    assert corpus.run_preprocess(spark, str(tmp_path / "a.csv"), base).count() == 30  # still done
+    assert {r["status"] for r in corpus.pipeline_status(spark, base).collect() if r["stage"] == "preprocess"} == {"DONE"}
+    stages.mark_done(spark, f"{base}/stages", "preprocess", "again")
+    assert stages.stage_record(spark, f"{base}/stages", "preprocess")["config"] == "again"
+    assert not record.with_name("preprocess.ok.next-20990101").exists()
+
+
+def test_malformed_rows_are_counted(spark, tmp_path):
+    path = lines(tmp_path / "p.csv", "1,7,one two three,four five six", "x,8,one two four,four five seven", "3,9,one two five,four five eight")
+    base = str(tmp_path / "base")
+    assert corpus.run_preprocess(spark, path, base, script="[a-z]").count() == 3
+    record = stages.stage_record(spark, f"{base}/stages", "preprocess")
+    assert json.loads(record["metadata"])["rows"] == {"rows_in": 3, "rows_corrupt": 1, "rows_clean": 3, "rows_out": 3}
+
+
 def test_single_runs_share_a_summary(spark, tmp_path):
     base = str(tmp_path)
     triples = spark.createDataFrame(
@@ -169,7 +259,7 @@ def test_single_runs_share_a_summary(spark, tmp_path):
     )
     for model in ("a", "b", "a"):
         assert [r["model_key"] for r in corpus.run_evaluate(spark, triples, base, model_key=model).collect()] == [model]
-    summary = spark.read.option("header", True).csv(f"{base}/metrics/summary.csv").collect()
+    summary = spark.read.option("header", True).csv(corpus.output(spark, base, "evaluate", "metrics/summary.csv")).collect()
     assert sorted((r["model_key"], float(r["BLEU"])) for r in summary) == [("a", pytest.approx(100)), ("b", 0.0)]
 
 

@@ -271,7 +271,7 @@ def _preprocessed(spark, sf) -> str:
 
 
 def _run_preprocess(spark, sf):
-    return spark.read.parquet(f"{_preprocessed(spark, sf)}/processed")
+    return spark.read.parquet(corpus.output(spark, _preprocessed(spark, sf), "preprocess", "processed"))
 
 
 def _run_eda(spark, sf):
@@ -315,7 +315,8 @@ def _run_evaluate_each(spark, sf):
     triples = written(views.eval_triples(spark, sf), "triples")
     for model in views.RUNS:
         corpus.run_evaluate(spark, triples, base, CONFIG, model, **inputs)
-    summary = spark.read.option("header", True).option("inferSchema", True).csv(f"{base}/metrics/summary.csv")
+    path = corpus.output(spark, base, "evaluate", "metrics/summary.csv")
+    summary = spark.read.option("header", True).option("inferSchema", True).csv(path)
     return _rounded(summary.drop("semsim_bnsbert"))
 
 

@@ -26,6 +26,18 @@ def delete(spark: SparkSession, path: str) -> bool:
     return file_system.delete(location, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    file_system, location = _locate(spark, path)
+    return file_system.rename(location, _locate(spark, to)[1])
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder, as paths that begin as ``folder`` is written; nothing if it isn't there."""
+    file_system, location = _locate(spark, folder)
+    found = file_system.listStatus(location) if file_system.exists(location) else ()
+    return sorted(f"{folder}/{status.getPath().getName()}" for status in found)
+
+
 def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """Name, length and modification time of the files that a path or pattern stands for."""
     file_system, location = _locate(spark, path)

@@ -8,6 +8,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from twinline.columns import ID, SL, SOURCE, TARGET
 from twinline.sources.files import exists, output_ready
+from twinline.sources.stages import STAGES, located, require_sound, stage_record
 
 CORRUPT = "_corrupt_record"
 
@@ -96,15 +97,19 @@ def split_source(
 ) -> DataFrame:
     """One split; for ``train`` the augmented one if asked for.
 
-    Asking for augmented rows that are not there is an error, not a silent
-    return to the plain ones.
+    Tables are those of the runs in force, or lie in ``processed`` and ``augmented`` if
+    they were put there by hand. Asking for augmented rows that are not there is an error,
+    not a silent return to the plain ones, and so is asking for rows that were augmented from
+    an earlier preprocess run.
     """
     if split == "train" and use_augmented_train:
-        path = f"{base}/augmented/train.parquet"
+        path = located(spark, base, "augmentation", "augmented/train.parquet")
         if not output_ready(spark, path):
             raise FileNotFoundError(f"Augmented train split not found or unfinished: {path}")
+        if stage_record(spark, f"{base}/{STAGES}", "augmentation"):
+            require_sound(spark, base, "augmentation")
         return spark.read.parquet(path)
-    path = f"{base}/processed"
+    path = located(spark, base, "preprocess", "processed")
     if not output_ready(spark, path):
         raise FileNotFoundError(f"Splits not found or unfinished: {path}")
     return spark.read.parquet(path).filter(F.col("split") == split).drop("split")
