@@ -85,6 +85,9 @@ def test_input_prefix(pairs):
         features.input_prefix("google/mt5-small"), features.input_prefix("facebook/mBART-large-50")
     )
     assert tuple(df.first()) == ("paraphrase: text", "text")
+    codes = [features.language_columns(m) for m in ("google/mt5-small", "facebook/mBART-large-50")]
+    row = df.select(*[c.alias(f"{k}{i}") for i, own in enumerate(codes) for k, c in own.items()]).first()
+    assert tuple(row) == (None, None, "bn_IN", "bn_IN")
 
 
 def test_normalising_is_not_repeated_by_later_filters(pairs):

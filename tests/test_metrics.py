@@ -7,9 +7,10 @@ import sys
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinline.config import ModelSpec
-from twinline.operators import encode, metrics, split
+from twinline.operators import encode, metrics, selection, split
 
 
 @pytest.fixture(scope="module")
@@ -152,8 +153,48 @@ def test_encoding(pairs):
     assert rows[2]["input_ids"] == [2, 3, 1, 0, 0]
     cut = encode.encode_pairs(df, vocab, "", 2, 1).filter("id = 1").first()
     assert cut["input_ids"] == [4, 3] and cut["labels"] == [3]
-    with pytest.raises(ValueError):
-        encode.encode_pairs(df, vocab, "", max_vocab=1)
+
+
+def test_a_vocabulary_of_any_size(spark, pairs):
+    """Beyond the broadcast limit ids come from a join, and are the same."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 40))), "\u2003".join(rng.choices(words, k=9))) for i in range(300)]
+    df = pairs(*rows, (300, None, "w1 w1"), (301, "w5 paraphrase: w6", None), (301, "w5 paraphrase: w6", None), (None, "the " * 50, ""))
+    vocab = encode.build_vocab(df, 2000)
+    assert vocab.count() == 2000
+    for prefix in ("paraphrase: ", ""):
+        ways = [encode.encode_pairs(df, vocab, prefix, 20, 8, dictionary_rows=n) for n in (2000, 1999)]
+        plans = [way._jdf.queryExecution().executedPlan().toString() for way in ways]
+        assert "Python" in plans[0] and "Python" not in plans[1]
+        small, large = (sorted(way.collect(), key=str) for way in ways)
+        assert small == large and len(small) == 304
+    specs = (ModelSpec("t5", "google/mt5-small"), ModelSpec("bart", "facebook/mbart-large-50"))
+    dealt = df.withColumn("split", F.lit("train"))
+    ways = [encode.encode_all(dealt, vocab, specs, None, 20, 8, dictionary_rows=n) for n in (10**5, 0)]
+    assert sorted(ways[0].collect(), key=str) == sorted(ways[1].collect(), key=str)
+    assert encode.encode_pairs(df.limit(0), vocab, "", dictionary_rows=0).count() == 0
+
+
+def test_top_counts(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"t{i:05d}", rng.choice([1, 1, 1, 1, 2, 3, rng.randint(1, 10**6), 2**40 + i])) for i in range(4000)]
+    counted = spark.createDataFrame(rows, "token string, count long").repartition(7).cache()
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    monkeypatch.setattr(selection, "FEW_ROWS", 40)
+    monkeypatch.setattr(selection, "RANGES", 8)
+    monkeypatch.setattr(selection, "LOOKED_AT", 200)
+    for k in (0, 1, 7, 900, 1777, 3999, 4000, 5000):
+        got = sorted((tuple(r) for r in selection.top_counts(counted, k).collect()), key=lambda r: (-r[1], r[0]))
+        assert got == want[:k]
+    assert selection.top_counts(counted.limit(0), 5).count() == 0
+
+
+def test_groups_of_counts_keep_their_order(spark):
+    counts = sorted({1, 2, 3, *(2**n + d for n in range(1, 62) for d in (-1, 0, 1)), 2**63 - 1})
+    rows = spark.createDataFrame([(c,) for c in counts], "count long").select("count", selection._group(F.col("count")).alias("g")).collect()
+    groups = [r["g"] for r in sorted(rows)]
+    assert groups == sorted(groups) and max(groups) < 60 * 2048 and len(set(groups[:200])) > 20
 
 
 def test_encode_all(pairs):
@@ -163,6 +204,8 @@ def test_encode_all(pairs):
     assert encoded.count() == 40
     first = {r["model_key"]: r["input_ids"] for r in encoded.filter("id = 7").collect()}
     assert first["t5"][0] == 2 and first["t5"][1:5] == first["bart"][:4]
+    codes = {(r["model_key"], r["src_lang"], r["tgt_lang"]) for r in encoded.collect()}
+    assert codes == {("t5", None, None), ("bart", "bn_IN", "bn_IN")}
     assert encode.encode_all(df, encode.build_vocab(df, 10), specs, "bart").count() == 20
     with pytest.raises(ValueError):
         encode.encode_all(df, encode.build_vocab(df, 10), specs, "other")

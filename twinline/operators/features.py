@@ -74,12 +74,29 @@ def add_features(
 
 
 PREFIX_TOKEN = "paraphrase:"
+# The code of the corpus's language among those of mBART models.
+LANGUAGE = "bn_IN"
+
+
+def _is_mbart(model_name: str) -> bool:
+    return "mbart" in model_name.lower()
 
 
 def model_prefix(model_name: str) -> str:
-    """Task prefix of a model; mBART models use language codes instead."""
-    return "" if "mbart" in model_name.lower() else f"{PREFIX_TOKEN} "
+    """Task prefix of a model; mBART models take language codes instead."""
+    return "" if _is_mbart(model_name) else f"{PREFIX_TOKEN} "
+
+
+def language_code(model_name: str, language: str = LANGUAGE) -> str | None:
+    """The code of source and target that a model is given, if it takes one."""
+    return language if _is_mbart(model_name) else None
 
 
 def input_prefix(model_name: str, source: str = SOURCE) -> Column:
     return F.concat(F.lit(model_prefix(model_name)), F.col(source))
+
+
+def language_columns(model_name: str, language: str = LANGUAGE) -> dict[str, Column]:
+    """``src_lang`` and ``tgt_lang``, the codes that go with an mBART model's texts; null for others."""
+    code = F.lit(language_code(model_name, language)).cast("string")
+    return {"src_lang": code, "tgt_lang": code}

@@ -279,9 +279,9 @@ def _encodings(rows: str) -> tuple[str, ...]:
 
 def _encode_models(rows: str, split_of: str) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{key}' AS model_key, d.split, c.sl, c.id, {ENCODED_COLUMNS}
+        f"""SELECT '{key}' AS model_key, d.split, c.sl, c.id, {code} AS src_lang, {code} AS tgt_lang, {ENCODED_COLUMNS}
         FROM {rows} c JOIN {split_of} d ON d.sl = c.sl JOIN {ids} i ON i.sl = c.sl JOIN targets t ON t.sl = c.sl"""
-        for key, ids in (("mt5", "prefixed"), ("mbart", "plain"))
+        for key, ids, code in (("mt5", "prefixed", "NULL"), ("mbart", "plain", "'bn_IN'"))
     )
 
 
@@ -441,7 +441,10 @@ ORACLES: dict[str, str] = {
     "token_count": _with(f"SELECT sl, {_count(S)} AS src_tokens, {_count(T)} AS tgt_tokens FROM pairs"),
     **{name: _with(f"SELECT sl, {sql} AS {name} FROM clean") for name, sql in FEATURE_SQL.items()},
     "add_features": _with(f"SELECT sl, {', '.join(FEATURE_SQL)} FROM feat"),
-    "input_prefix": _with(f"SELECT sl, concat('paraphrase: ', {S}) AS mt5_input, {S} AS mbart_input FROM clean"),
+    "input_prefix": _with(
+        f"""SELECT sl, concat('paraphrase: ', {S}) AS mt5_input, NULL AS mt5_src_lang, NULL AS mt5_tgt_lang,
+        {S} AS mbart_input, 'bn_IN' AS mbart_src_lang, 'bn_IN' AS mbart_tgt_lang FROM clean"""
+    ),
     "clean_pairs": _with(f"SELECT {ROWS} FROM clean"),
     "drop_null_or_empty": _with(f"SELECT {ROWS} FROM pairs WHERE {S} <> '' AND {T} <> ''"),
     "drop_trivial": _with(

@@ -132,8 +132,9 @@ def _token_count(spark, sf):
 
 
 def _input_prefix(spark, sf):
+    columns = [{"input": features.input_prefix(m.name)} | features.language_columns(m.name) for m in MODELS]
     return views.clean_docs(spark, sf).select(
-        SL, *[features.input_prefix(m.name).alias(f"{m.key}_input") for m in MODELS]
+        SL, *[column.alias(f"{m.key}_{name}") for m, own in zip(MODELS, columns) for name, column in own.items()]
     )
 
 
