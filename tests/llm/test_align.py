@@ -1,6 +1,9 @@
 """Alignment of two tokenizers against a plain version."""
 
 import hashlib
+import json
+import pathlib
+import random
 from collections import Counter
 
 import pytest
@@ -81,6 +84,27 @@ def test_given_documents(spark):
     assert [tuple(r[c] for c in COLUMNS) for r in got] == with_counts(texts)
 
 
+def test_the_quicker_library_gives_the_same_ids():
+    known = al.vocabularies(tokenizer_path(), piece_path())
+    assert known.ranks and len(known.ranks) == 50256
+    quick, usual = al.byte_level_encoder(known), al.byte_level_encoder(known._replace(ranks=None))
+    rng = random.Random(2)
+    texts = [t for t in TEXTS if t] + [f" a{c}b 1{c}2 {c} {c}{c}!{c} x" for c in map(chr, rng.sample(range(1, 0xD800), 3000))]
+    texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz'  \n0123.", k=rng.randint(1, 300))) for _ in range(500)]
+    texts += [b"".join(rng.choices(known.a, k=12)).decode("utf-8", "ignore") for _ in range(2000)]
+    assert quick(texts) == usual(texts)
+
+
+def test_a_file_of_another_kind_is_run_as_it_is(tmp_path, docs_of):
+    data = json.loads(pathlib.Path(tokenizer_path()).read_text("utf-8"))
+    data["pre_tokenizer"]["add_prefix_space"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(data))
+    assert al.vocabularies(str(other), piece_path()).ranks is None
+    rows = {r.doc_id: r.n_a for r in al.align(docs_of(TEXTS), str(other), piece_path()).collect()}
+    assert rows[4] > 0
+
+
 def test_tasks_that_count_in_turns(docs_of, monkeypatch):
     known = al.vocabularies(tokenizer_path(), piece_path())
     ids = al.token_ids(docs_of(TEXTS, 2).select("doc_id", "text"), known)

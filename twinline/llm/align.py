@@ -6,14 +6,16 @@ The ends are keys of two dictionaries, and the keys that both hold are the cuts.
 group, tokens whose bytes overlap are linked. How many documents link a pair of ids says
 which token of the other vocabulary an id stands for.
 
-Texts are tokenized once; the ids, two or four bytes each, are written to the shared
-folder, and links are made from them anew wherever they are needed, as that is cheap.
+Texts are tokenized and cut once; the ids, two or four bytes each, and the sizes of the
+groups are written to the shared folder, and links are made from them anew wherever they
+are needed, as that is cheap.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import NamedTuple
 
@@ -35,6 +37,14 @@ COUNTED_PAIRS = 1 << 20
 BROADCAST_PAIRS = 1 << 21
 
 
+# Fixed value: the public pattern of byte-level vocabularies, as the quicker library spells it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: how a byte-level file says that it cuts texts by the public pattern and merges
+# in the order of its ids, in its settings and those of its model.
+USUAL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+USUAL_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False}
+
+
 class Vocabularies(NamedTuple):
     """Bytes of each token of both tokenizers, and their files' contents."""
 
@@ -42,11 +52,26 @@ class Vocabularies(NamedTuple):
     b: list[bytes]
     byte_level: str
     pieces: bytes
+    ranks: dict[bytes, int] | None
 
     def dtype(self) -> str:
         return "<u2" if max(len(self.a), len(self.b)) <= 1 << 16 else "<u4"
 
 
+def _ranks(text: str, a: list[bytes]) -> dict[bytes, int] | None:
+    """Ids by bytes, if merging in the order of ids by the public pattern is what the file says."""
+    data = json.loads(text)
+    cut, model, added = data["pre_tokenizer"] or {}, data["model"], {t["id"] for t in data["added_tokens"]}
+    usual = all(cut.get(k, v) == v for k, v in USUAL.items()) and all(model.get(k, v) == v for k, v in USUAL_MODEL.items())
+    if not usual or data["normalizer"] or not cut:
+        return None
+    merged = [model["vocab"]["".join(pair.split(" ") if isinstance(pair, str) else pair)] for pair in model["merges"]]
+    words = {i for i in model["vocab"].values() if i not in added}
+    if merged != sorted(set(merged)) or len(words) != len(merged) + 256:
+        return None
+    return {a[i]: i for i in words}
+
+
 def vocabularies(byte_level_path: str, piece_path: str) -> Vocabularies:
     """Of a byte-level tokenizers file (A) and a sentencepiece model (B), read where the job starts."""
     from sentencepiece import SentencePieceProcessor
@@ -62,7 +87,28 @@ def vocabularies(byte_level_path: str, piece_path: str) -> Vocabularies:
     pieces = SentencePieceProcessor(model_proto=model)
     names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
     b = [bytes((int(t[1:-1], 16),)) if pieces.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(names)]
-    return Vocabularies(a, b, text, model)
+    return Vocabularies(a, b, text, model, _ranks(text, a))
+
+
+def byte_level_encoder(known: Vocabularies) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of texts without special tokens, whose strings are plain text.
+
+    A file of the usual kind is run by a quicker library that gives the same ids.
+    """
+    if known.ranks:
+        from tiktoken import Encoding
+
+        quick = Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=known.ranks, special_tokens={})
+        return lambda texts: [quick.encode_ordinary(t) for t in texts]
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_str(known.byte_level)
+    own.encode_special_tokens = True
+    own.no_truncation()
+    own.no_padding()
+    return lambda texts: [c.ids for c in own.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -77,34 +123,45 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+IDS = "doc_id long, a binary, b binary, n_groups long, in_a binary, in_b binary"
+
+
+def _narrow(sizes: np.ndarray) -> bytes:
+    return sizes.astype("<u1" if sizes.max(initial=0) < 1 << 8 else "<u4").tobytes()
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{len(packed) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
 def token_ids(docs: DataFrame, known: Vocabularies) -> DataFrame:
-    """``(doc_id, a, b)``: ids of both tokenizers, packed; none where they don't give back the text."""
+    """Ids of both tokenizers, packed, and how many of each every group has.
+
+    None where a tokenizer doesn't give back the text.
+    """
     dtype = known.dtype()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        first, second = Tokenizer.from_str(known.byte_level), SentencePieceProcessor(model_proto=known.pieces)
-        first.encode_special_tokens = True
-        first.no_truncation()
-        first.no_padding()
+        first, second = byte_level_encoder(known), SentencePieceProcessor(model_proto=known.pieces)
+        aligner = Aligner(known)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for start, stop in _slices(list(map(len, texts)), BATCH_CHARS):
-                part = texts[start:stop]
-                coded = first.encode_batch_fast([" " + t for t in part], add_special_tokens=False)
-                a, b = [], []
-                for text, x, y in zip(part, (c.ids for c in coded), second.encode(part, num_threads=1)):
+                part, rows = texts[start:stop], []
+                for text, x, y in zip(part, first([" " + t for t in part]), second.encode(part, num_threads=1)):
                     whole = b" " + text.encode()
                     same = text and b"".join(map(known.a.__getitem__, x)) == whole == b"".join(map(known.b.__getitem__, y))
-                    a.append(np.array(x if same else [], dtype).tobytes())
-                    b.append(np.array(y if same else [], dtype).tobytes())
+                    x, y = (np.array(ids if same else [], dtype) for ids in (x, y))
+                    in_a, in_b = aligner.cut(x, y)
+                    rows.append((x.tobytes(), y.tobytes(), len(in_a), _narrow(in_a), _narrow(in_b)))
                 ids = batch.column(0).slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["doc_id", "a", "b"])
+                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                columns = [ids, *(pa.array(values, kind) for values, kind in zip(zip(*rows), kinds))]
+                yield pa.RecordBatch.from_arrays(columns, [part.split()[0] for part in IDS.split(", ")])
 
-    return docs.mapInArrow(scan, "doc_id long, a binary, b binary")
+    return docs.mapInArrow(scan, IDS)
 
 
 def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
@@ -124,33 +181,24 @@ class Groups(NamedTuple):
     in_b: np.ndarray
 
 
-def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> Groups:
-    stop_a, stop_b = (np.array(x, np.int64) for x in cuts(ends_a.tolist(), ends_b.tolist()))
-    in_a, in_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
-    return Groups(stop_a - in_a, stop_b - in_b, in_a, in_b)
-
-
 def links_of(groups: Groups, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in A, in B) of all tokens that share bytes, group by group.
+    """Places (in A, in B) of all tokens that share bytes.
 
-    A token alone on its side shares bytes with all of the other side. Where both sides
-    have several, no end is common within the group, so whichever token ends first is left.
+    A token alone on its side of a group shares bytes with all of the other side. Where both
+    sides have several, each end of a token of either closes a link: that of the tokens
+    which cover the byte before it.
     """
     one = (groups.in_a == 1) | (groups.in_b == 1)
-    size = np.maximum(groups.in_a, groups.in_b)[one]
+    several_a, several_b = groups.in_a[one] > 1, groups.in_b[one] > 1
+    size = np.maximum(groups.in_a[one], groups.in_b[one])
     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    a = np.repeat(groups.start_a[one], size) + np.where(np.repeat(groups.in_a[one] > 1, size), step, 0)
-    b = np.repeat(groups.start_b[one], size) + np.where(np.repeat(groups.in_b[one] > 1, size), step, 0)
-    more_a, more_b = [], []
-    for g in np.flatnonzero(~one).tolist():
-        i, j = int(groups.start_a[g]), int(groups.start_b[g])
-        own, other = ends_a[i : i + groups.in_a[g]].tolist(), ends_b[j : j + groups.in_b[g]].tolist()
-        p = q = 0
-        while p < len(own) and q < len(other):
-            more_a.append(i + p)
-            more_b.append(j + q)
-            p, q = p + (own[p] <= other[q]), q + (other[q] <= own[p])
-    return np.concatenate([a, np.array(more_a, np.int64)]), np.concatenate([b, np.array(more_b, np.int64)])
+    a = np.repeat(groups.start_a[one], size) + step * np.repeat(several_a, size)
+    b = np.repeat(groups.start_b[one], size) + step * np.repeat(several_b, size)
+    if one.all():
+        return a, b
+    ends = [e[np.repeat(~one, size)] for e, size in ((ends_a, groups.in_a), (ends_b, groups.in_b))]
+    ends = np.unique(np.concatenate(ends))
+    return tuple(np.concatenate([found, np.searchsorted(e, ends)]) for found, e in ((a, ends_a), (b, ends_b)))
 
 
 def _decimals(count: int) -> np.ndarray:
@@ -176,21 +224,33 @@ def described(groups: Groups, a: np.ndarray, b: np.ndarray, digits: np.ndarray)
 
 
 class Aligner:
-    """Aligns packed ids, a document at a time."""
+    """Aligns ids, a document at a time."""
 
     def __init__(self, known: Vocabularies):
         self.dtype, self.other = known.dtype(), len(known.b)
         self.bytes_a, self.bytes_b = (np.array(list(map(len, x)), np.int64) for x in (known.a, known.b))
 
-    def read(self, a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, Groups, np.ndarray]:
-        """Ids of both, the groups, and a number for each link's pair of ids."""
+    def cut(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many tokens of each every group has."""
+        stops = cuts(np.cumsum(self.bytes_a[a]).tolist(), np.cumsum(self.bytes_b[b]).tolist())
+        return tuple(np.diff(np.array(stop, np.int64), prepend=0) for stop in stops)
+
+    def read(self, a: bytes, b: bytes, n: int, in_a: bytes, in_b: bytes) -> tuple[np.ndarray, np.ndarray, Groups, np.ndarray]:
+        """Ids of both, the groups, and a number for each link's pair of ids, from packed rows."""
         a, b = np.frombuffer(a, self.dtype).astype(np.int64), np.frombuffer(b, self.dtype).astype(np.int64)
-        ends_a, ends_b = np.cumsum(self.bytes_a[a]), np.cumsum(self.bytes_b[b])
-        groups = groups_of(ends_a, ends_b)
-        at_a, at_b = links_of(groups, ends_a, ends_b)
+        in_a, in_b = _wide(in_a, n), _wide(in_b, n)
+        groups = Groups(np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b, in_a, in_b)
+        at_a, at_b = links_of(groups, np.cumsum(self.bytes_a[a]), np.cumsum(self.bytes_b[b]))
         return a, b, groups, a[at_a] * self.other + b[at_b]
 
 
+PACKED = ("a", "b", "n_groups", "in_a", "in_b")
+
+
+def _packed(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(batch.column(c).to_pylist() for c in PACKED)))
+
+
 def pair_counts(ids: DataFrame, known: Vocabularies) -> DataFrame:
     """``(pair, n, best)``: in how many documents a pair is linked, and if no pair of its A id has more.
 
@@ -210,8 +270,8 @@ def pair_counts(ids: DataFrame, known: Vocabularies) -> DataFrame:
             return every[order][first], np.add.reduceat(weights[order], first) if len(first) else weights
 
         for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                found = np.unique(aligner.read(a.as_py(), b.as_py())[3])
+            for row in _packed(batch):
+                found = np.unique(aligner.read(*row)[3])
                 held.append(found)
                 count += len(found)
                 if count > COUNTED_PAIRS:
@@ -223,7 +283,7 @@ def pair_counts(ids: DataFrame, known: Vocabularies) -> DataFrame:
         pairs, numbers = merged()
         yield pa.RecordBatch.from_pydict({"pair": pairs, "n": numbers})
 
-    counts = ids.select("a", "b").mapInArrow(scan, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = ids.select(*PACKED).mapInArrow(scan, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     own = Window.partitionBy(F.floor(F.col("pair") / F.lit(len(known.b))))
     return counts.select("pair", "n", (F.col("n") == F.max("n").over(own)).alias("best"))
 
@@ -239,11 +299,11 @@ def aligned(ids: DataFrame, known: Vocabularies, looked_up=None) -> DataFrame:
         aligner = Aligner(known)
         digits = _decimals(max(len(known.a), len(known.b)))
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            for start, stop in _slices([len(x) + len(y) for x, y in zip(a, b)], BATCH_CHARS):
+            packed = _packed(batch)
+            for start, stop in _slices([len(a) + len(b) for a, b, *_ in packed], BATCH_CHARS):
                 rows = []
-                for x, y in zip(a[start:stop], b[start:stop]):
-                    x, y, groups, links = aligner.read(x, y)
+                for own in packed[start:stop]:
+                    x, y, groups, links = aligner.read(*own)
                     row = [len(x), len(y), len(groups.in_a), len(links), described(groups, x, y, digits)]
                     if looked_up:
                         pairs, n, best = looked_up.value
@@ -263,8 +323,8 @@ def linked_pairs(ids: DataFrame, known: Vocabularies) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(known)
         for batch in batches:
-            for key, a, b in zip(batch.column("key").to_pylist(), batch.column("a"), batch.column("b")):
-                links = np.sort(aligner.read(a.as_py(), b.as_py())[3])
+            for key, row in zip(batch.column("key").to_pylist(), _packed(batch)):
+                links = np.sort(aligner.read(*row)[3])
                 first = runs(links)
                 keys = np.full(len(first), key, np.int64)
                 yield pa.RecordBatch.from_pydict({"key": keys, "pair": links[first], "times": run_lengths(first, len(links))})
