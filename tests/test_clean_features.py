@@ -1,5 +1,10 @@
+import random
+
 import pytest
-from twinline.columns import FEATURES, SL, SOURCE
+from pyspark.sql import functions as F
+
+from twinline.columns import FEATURES, SL, SOURCE, TARGET
+from twinline.functions import editing
 from twinline.operators import clean, features
 
 
@@ -93,3 +98,51 @@ def test_input_prefix(pairs):
 def test_normalising_is_not_repeated_by_later_filters(pairs):
     plan = clean.clean_pairs(pairs((1, "a b c", "d e f")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 4
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_edit_distances():
+    rng = random.Random(7)
+    left, right = [], []
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdeé漢🙂", "".join(map(chr, range(0x4E00, 0x4F00)))])
+        a = rng.choices(letters, k=rng.choice([0, 1, 7, 63, 64, 65, 127, 128, 129, 180]))
+        b = list(a)
+        for _ in range(rng.randint(0, 25)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choices(letters, k=rng.randint(0, 2))
+        left.append("".join(a))
+        right.append("".join(b) if rng.random() < 0.8 else "".join(rng.choices(letters, k=rng.randint(0, 150))))
+    assert editing.distances(left, right).tolist() == [plain_distance(a, b) for a, b in zip(left, right)]
+    assert editing.distances([], []).tolist() == []
+
+
+def test_edit_distances_of_long_texts_and_many_characters(monkeypatch):
+    rng = random.Random(8)
+    a = "".join(rng.choices("abcd ", k=1500))
+    b = a[:400] + "".join(rng.choices("abcd ", k=90)) + a[450:]
+    assert editing.distances([a, a, b], [b, a, ""]).tolist() == [plain_distance(a, b), 0, len(b)]
+    monkeypatch.setattr(editing, "MOST_BLOCKS", 1)  # now each longer pair by itself
+    assert editing.distances([a[:200], "x"], [b[150:400], "y"]).tolist() == [plain_distance(a[:200], b[150:400]), 1]
+    monkeypatch.setattr(editing, "MOST_BLOCKS", 16)
+    monkeypatch.setattr(editing, "TABLE_WORDS", 64)
+    texts = ["".join(rng.choices([chr(c) for c in range(0x3000, 0x9000)], k=rng.randint(60, 140))) for _ in range(30)]
+    assert editing.distances(texts, texts[::-1]).tolist() == [plain_distance(x, y) for x, y in zip(texts, texts[::-1])]
+
+
+def test_char_overlap_agrees_with_levenshtein(spark, pairs):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices("abü ", k=rng.randint(0, 90))), "".join(rng.choices("abü ", k=rng.randint(0, 90)))) for i in range(200)]
+    long = "".join(rng.choices("abcdefgh", k=100_000))
+    rows += [(900, None, "x"), (901, "x", None), (902, "", ""), (903, long, long[:99_990] + "zzzz")]
+    df = pairs(*rows).select("id", features.char_overlap().alias("got"), (F.levenshtein(SOURCE, TARGET) / F.greatest(F.length(SOURCE), F.length(TARGET), F.lit(1))).alias("want"))
+    assert all(r.got == r.want for r in df.filter("id < 903").collect())
+    assert df.filter("id = 903").first()["got"] == 10 / 100_000

@@ -47,39 +47,54 @@ def _one(pattern: str, text: str) -> int:
     return distance
 
 
-def _together(pattern, starts, lengths, text, from_, sizes, blocks: int) -> np.ndarray:
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
+def _together(codes: np.ndarray, starts, lengths, from_, sizes, blocks: int, alphabet: int) -> np.ndarray:
     """Distances of pairs whose patterns take ``blocks`` words each; pairs by falling size of text.
 
     A column of the distance table is kept as the steps down it: a bit where it rises and
     one where it falls, for every place of the pattern, all pairs at once.
     """
     n = len(starts)
-    known, codes = np.unique(np.concatenate([p[a : a + k] for p, a, k in ((pattern, s, k) for s, k in zip(starts, lengths))] or [pattern[:0]]), return_inverse=True)
     row = np.repeat(np.arange(n), lengths)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    table = np.zeros((n, len(known) + 1, blocks), np.uint64)  # the last character is none of the patterns'
-    np.bitwise_or.at(table, (row, codes, at // WORD), ONE << (at % WORD).astype(np.uint64))
-    place = np.full(int(max(text.max(initial=0), known.max(initial=0))) + 1, len(known), np.int64)
-    place[known] = np.arange(len(known))
-    coded = place[text]
+    at = _spans(np.zeros(n, np.int64), lengths)
+    table = np.zeros((blocks, n * alphabet), np.uint64)  # where in its pattern each pair has each character
+    np.bitwise_or.at(table, (at // WORD, row * alphabet + codes[_spans(starts, lengths)]), ONE << (at % WORD).astype(np.uint64))
     up, down = np.full((blocks, n), ALL), np.zeros((blocks, n), np.uint64)
     last = ONE << ((lengths - 1) % WORD).astype(np.uint64)
-    distance, rows, zero = lengths.copy(), np.arange(n), np.uint64(0)
+    shift = ((lengths - 1) % WORD).astype(np.uint64)
+    distance, base = lengths.copy(), np.arange(n) * alphabet
     active = np.searchsorted(-sizes, -np.arange(sizes.max(initial=0)), "left")  # pairs with more than j characters
     for j, m in enumerate(active.tolist()):
-        matches = table[rows[:m], coded[from_[:m] + j]]
-        rise_in, fall_in = np.ones(m, np.uint64), np.zeros(m, np.uint64)
+        seen = base[:m] + codes[from_[:m] + j]
+        rise_in, fall_in = ONE, None
         for b in range(blocks):
-            u, d, equal = up[b, :m], down[b, :m], matches[:, b]
+            u, d, equal = up[b, :m], down[b, :m], table[b].take(seen)
             vertical = equal | d
-            equal = equal | fall_in
-            across = (((equal & u) + u) ^ u) | equal
-            rises, falls = d | ~(across | u), u & across
+            if fall_in is not None:
+                equal |= fall_in
+            across = ((equal & u) + u) ^ u
+            across |= equal
+            falls = u & across
+            across |= u
+            rises = ~across
+            rises |= d
             if b == blocks - 1:
-                distance[:m] += ((rises & last[:m]) != zero).astype(np.int64) - ((falls & last[:m]) != zero)
-            rise_out, fall_out = rises >> np.uint64(63), falls >> np.uint64(63)
-            rises, falls = (rises << ONE) | rise_in, (falls << ONE) | fall_in
-            up[b, :m], down[b, :m] = falls | ~(vertical | rises), rises & vertical
+                distance[:m] += ((rises & last[:m]) >> shift[:m]).astype(np.int64) - ((falls & last[:m]) >> shift[:m]).astype(np.int64)
+                rise_out = fall_out = None
+            else:
+                rise_out, fall_out = rises >> np.uint64(63), falls >> np.uint64(63)
+            rises <<= ONE
+            rises |= rise_in
+            falls <<= ONE
+            if fall_in is not None:
+                falls |= fall_in
+            np.bitwise_and(rises, vertical, out=d)
+            vertical |= rises
+            np.bitwise_or(falls, ~vertical, out=u)
             rise_in, fall_in = rise_out, fall_out
     return distance
 
@@ -87,6 +102,9 @@ def _together(pattern, starts, lengths, text, from_, sizes, blocks: int) -> np.n
 def distances(left: list[str], right: list[str]) -> np.ndarray:
     """The number of characters to insert, delete or replace to make each right text of the left one."""
     flat, starts = _codes([*left, *right])
+    seen = np.zeros(int(flat.max(initial=0)) + 1, bool)
+    seen[flat] = True
+    codes = (np.cumsum(seen) - 1)[flat]
     count, size = len(left), np.diff(starts)
     swap = size[:count] > size[count:]
     short = np.where(swap, np.arange(count) + count, np.arange(count))
@@ -101,13 +119,15 @@ def distances(left: list[str], right: list[str]) -> np.ndarray:
         rows = np.flatnonzero(blocks == b)
         rows = rows[np.argsort(-m[rows], kind="stable")]
         while len(rows):
-            some, alphabet = rows[:TOGETHER], 0
-            while True:
-                at = np.concatenate([flat[a : a + k] for a, k in zip(starts[short[some]], n[some])])
-                alphabet = len(np.unique(at)) + 1
-                if len(some) == 1 or len(some) * alphabet * b <= TABLE_WORDS:
-                    break
-                some = some[: len(some) // 2]
-            found[some] = _together(flat, starts[short[some]], n[some], flat, starts[long[some]], m[some], b)
+            some, own, alphabet = rows[:TOGETHER], codes, int(seen.sum())
+            if len(some) * alphabet * b > TABLE_WORDS:
+                # Many different characters: count those of these pairs alone, and take fewer pairs.
+                some = some[: max(1, min(len(some), TABLE_WORDS // (256 * b)))]
+                here = np.zeros(alphabet, bool)
+                for side in (short, long):
+                    here[codes[_spans(starts[side[some]], size[side[some]])]] = True
+                own, alphabet = (np.cumsum(here) - 1)[codes], int(here.sum())
+                some = some[: max(1, TABLE_WORDS // (alphabet * b))]
+            found[some] = _together(own, starts[short[some]], n[some], starts[long[some]], m[some], b, alphabet)
             rows = rows[len(some) :]
     return found
