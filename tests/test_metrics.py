@@ -113,6 +113,11 @@ def test_semantic_similarity(spark):
     b = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0, 0.0])], schema)
     assert metrics.semantic_similarity(a, b).first()[0] == pytest.approx(0.70710678 / 2)
     assert metrics.semantic_similarity(a.limit(0), b).first()[0] == 0.0
+    assert tuple(metrics.semantic_similarity(a, b).first())[1] == 1  # 3 has no prediction
+    assert tuple(metrics.semantic_similarity(b, a, name="x").first())[1] == 1 and metrics.semantic_similarity(a, a).first()[1] == 0
+    c = spark.createDataFrame([("m", 1, [1.0]), ("n", 2, None)], "model string, pair_id int, embedding array<float>")
+    by = metrics.semantic_similarity(c, c, ("model", "pair_id"), ("model",)).collect()
+    assert sorted(map(tuple, by)) == [("m", 1.0, 0), ("n", 0.0, 1)]
 
 
 def test_greedy_match(spark):

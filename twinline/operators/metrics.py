@@ -6,8 +6,6 @@ aggregate over the rows, taken per group when several runs share a table.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,29 +48,67 @@ def spaced_13a(text: Column) -> Column:
     return text
 
 
-def _ngram_counts(tokens, n: int) -> Counter:
-    return Counter(zip(*(tokens[i:] for i in range(n))))
+BLEU_COLUMNS = ("sys_len", "ref_len") + tuple(f"{kind}_{n}" for n in ORDERS for kind in ("match", "total"))
+
 
+def _numbered(texts: list[list[str]], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each token of all texts, the same for equal tokens, and each text's size."""
+    flat = [numbers.setdefault(t, len(numbers)) for tokens in texts for t in tokens]
+    return np.array(flat, np.int64), np.fromiter(map(len, texts), np.int64, len(texts))
 
-BLEU_COLUMNS = ("sys_len", "ref_len") + tuple(f"{kind}_{n}" for n in ORDERS for kind in ("match", "total"))
+
+def clipped_matches(predictions: list[list[str]], references: list[list[str]]) -> np.ndarray:
+    """For each row and order, how many n-grams match, each no more often than the reference has it.
+
+    All rows of a batch are counted in flat arrays. An n-gram is the number of its first
+    n - 1 tokens' n-gram and that of its last token, numbered anew for each order, so that
+    equal n-grams of a row, and no others, have one number.
+    """
+    numbers: dict[str, int] = {}
+    sides = [_numbered(texts, numbers) for texts in (predictions, references)]
+    tokens = np.concatenate([flat for flat, _ in sides])
+    sizes = np.concatenate([size for _, size in sides])
+    rows, count = len(predictions), max(1, len(numbers))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(tokens))  # tokens from here to the text's end
+    found = np.zeros((rows, len(ORDERS)), np.int64)
+    # A gram of a row: rows are told apart from the first order on, so none meets another's.
+    grams = (text % max(1, rows)) * count + tokens
+    for n in ORDERS:
+        if n > 1:
+            here = np.flatnonzero(left >= n)
+            grams = grams[here] * count + tokens[at[here] + n - 1] if len(here) else grams[:0]
+            text, left, at = text[here], left[here], at[here]
+        else:
+            at = np.arange(len(tokens))
+        if not len(grams):
+            break
+        order = np.argsort(grams, kind="stable")  # predictions stand before references
+        ranked = grams[order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        group = np.cumsum(new) - 1
+        by_reference = text[order] >= rows
+        in_reference = np.bincount(group, by_reference)
+        in_prediction = np.bincount(group, ~by_reference)
+        matched = np.minimum(in_reference, in_prediction)
+        found[:, n - 1] = np.bincount(text[order][new] % rows, matched, rows).astype(np.int64)
+        grams = np.empty_like(grams)
+        grams[order] = group
+    return found
 
 
 @F.pandas_udf(StructType([StructField(c, IntegerType()) for c in BLEU_COLUMNS]))
 def ngram_statistics(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
     """Lengths, and per order the n-grams and those matched, each counted no more
-    often than the reference has it.
-
-    Counting takes time in proportion to the text. Array expressions have no
-    multiset intersection, and emulating it took several times as long.
-    """
-    rows = []
-    for p, r in zip(prediction, reference):
-        p, r = (p or "").split(), (r or "").split()
-        row = [len(p), len(r)]
-        for n in ORDERS:
-            row += [(_ngram_counts(p, n) & _ngram_counts(r, n)).total(), max(len(p) - n + 1, 0)]
-        rows.append(row)
-    return pd.DataFrame(rows, columns=BLEU_COLUMNS)
+    often than the reference has it."""
+    p, r = ([(t or "").split() for t in side] for side in (prediction, reference))
+    sizes = [np.fromiter(map(len, side), np.int64, len(side)) for side in (p, r)]
+    matches = clipped_matches(p, r)
+    columns = {"sys_len": sizes[0], "ref_len": sizes[1]}
+    for n in ORDERS:
+        columns |= {f"match_{n}": matches[:, n - 1], f"total_{n}": np.maximum(sizes[0] - n + 1, 0)}
+    return pd.DataFrame(columns, index=prediction.index)
 
 
 def bleu_columns(df: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
@@ -203,9 +239,9 @@ def _dot(a: str, b: str) -> Column:
 
 
 def cosine(a: str, b: str) -> Column:
-    """Cosine of two vector columns; 0 if one is all zero."""
+    """Cosine of two vector columns; 0 if one is all zero, null if one is null."""
     norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    return F.when(norms > 0, _dot(a, b) / norms).otherwise(0.0)
+    return F.when(norms > 0, _dot(a, b) / norms).when(norms == 0, 0.0)
 
 
 def semantic_similarity(
@@ -217,15 +253,18 @@ def semantic_similarity(
 ) -> DataFrame:
     """Mean cosine of the source's and the prediction's embedding, row by row.
 
-    Both tables are ``(*key, embedding)``; ``by`` are columns of the key.
+    Both tables are ``(*key, embedding)``; ``by`` are columns of the key. A key that one
+    table lacks, or whose embedding is null, can't be scored: ``<name>_unmatched`` says how
+    many there are, so a mean over part of the rows is not taken for one over all.
     """
     pairs = sources.select(*key, F.col("embedding").alias("_a")).join(
-        predictions.select(*key, F.col("embedding").alias("_b")), list(key)
+        predictions.select(*key, F.col("embedding").alias("_b")), list(key), "full"
     )
+    unmatched = F.count_if(F.col("_a").isNull() | F.col("_b").isNull())
     return (
         pairs.withColumn("_cosine", cosine("_a", "_b"))
         .groupBy(*by)
-        .agg(F.coalesce(F.avg("_cosine"), F.lit(0.0)).alias(name))
+        .agg(F.coalesce(F.avg("_cosine"), F.lit(0.0)).alias(name), unmatched.alias(f"{name}_unmatched"))
     )
 
 
@@ -287,8 +326,8 @@ def evaluate_all(
     ``triples`` is ``(model_key, id, source, prediction, reference)``. The other
     inputs are optional: names per model, token vectors for BERTScore, and under the
     name of the column that their similarity gets, the source and prediction
-    embeddings of an encoder, keyed by model and pair. What is joined here has one
-    row per model.
+    embeddings of an encoder, keyed by model and pair; how many of these could not be scored
+    is told beside it. What is joined here has one row per model.
     """
     scores = text_scores(triples, ("model_key",), tokenizer)
     if models is not None:
@@ -299,7 +338,7 @@ def evaluate_all(
         similarity = semantic_similarity(sources, predictions, ("model_key", "pair_id"), ("model_key",), name)
         scores = scores.join(similarity, "model_key", "left")
     order = ("model_key", "model_name", *METRICS)
-    others = [c for c in scores.columns if c not in order]
+    others = sorted((c for c in scores.columns if c not in order), key=lambda c: not c.endswith("_unmatched"))
     return scores.select(*[f"`{c}`" for c in (*order, *others) if c in scores.columns])
 
 
