@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 
 from twinline.columns import ID, SL, SOURCE, TARGET
 from twinline.config import CorpusConfig, ModelSpec
 from twinline.plans import corpus
-from twinline.sources import files, pairs as pair_files, records, stages
+from twinline.sources import files, pairs as pair_files, records, split_csv, stages
 
 
 def lines(path, *rows):
@@ -26,6 +27,55 @@ def test_read_pairs(spark, tmp_path):
         pair_files.read_pairs(spark, str(tmp_path / "none.csv"))
 
 
+def whole_file(spark, path):
+    reader = spark.read.option("header", True).option("multiLine", True).option("columnNameOfCorruptRecord", pair_files.CORRUPT)
+    return reader.schema(pair_files.pair_schema(True, True)).csv(path)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quoted_line_breaks_in_many_splits(spark, tmp_path, seed):
+    """The rows of Spark's whole-file reader, from several tasks, wherever splits begin."""
+    rng = random.Random(seed)
+
+    def field():
+        text = "".join(rng.choice(["a", "b ", "é", "\n", "\n\n", ",", '\\"', "x", "\\\\", "漢"]) for _ in range(rng.randint(0, 30)))
+        return f'"{text}"' if rng.random() < 0.9 else rng.choice(["plain", "", 'in"side', "a b", '"shut"tail'])
+
+    for n in range(2):
+        rows = [f"{i if rng.random() < 0.95 else 'x'},{i},{field()},{field()}" for i in range(150)]
+        ends = "\n" if n else ""
+        (tmp_path / f"{n}.csv").write_text("sl,id,source_sentence,paraphrased_sentence\n" + "\n".join(rows) + ends, encoding="utf-8", newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = sorted(whole_file(spark, str(tmp_path)).collect(), key=str)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = pair_files.read_pairs(spark, str(tmp_path), long_ids=True, multi_line=True, corrupt=True)
+        lines_ = split_csv._lines(spark, str(tmp_path))
+        assert lines_.select("file", "split").distinct().count() > 8
+        assert df.rdd.getNumPartitions() > 8
+        assert 0 < len(split_csv.begun_inside(lines_))
+        assert sorted(df.collect(), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(want) == 300
+
+
+def test_line_breaks_round_trip(spark, pairs, tmp_path):
+    df = pairs((1, 'two\nlines and "quotes"\n', "a\r\nb"), (2, "\n", None), (3, "plain", "x,\ny"))
+    path = pair_files.write_pairs_csv(df, str(tmp_path / "out"))
+    again = pair_files.read_pairs(spark, path, long_ids=True, multi_line=True)
+    assert sorted(again.collect()) == sorted(df.collect())
+    empty = lines(tmp_path / "empty.csv")
+    assert pair_files.read_pairs(spark, empty, multi_line=True).count() == 0
+    windows = tmp_path / "w.csv"
+    windows.write_text('sl,id,source_sentence,paraphrased_sentence\r\n1,2,"a\r\nb",c\r\n\r\n3,4,d,e\r\n', newline="")
+    got = pair_files.read_pairs(spark, str(windows), multi_line=True).collect()
+    assert [tuple(r) for r in got] == [(1, 2, "a\nb", "c"), (3, 4, "d", "e")]
+    assert sorted(got) == sorted(whole_file(spark, str(windows)).drop(pair_files.CORRUPT).collect())
+
+
 def test_csv_round_trip(spark, pairs, tmp_path):
     df = pairs((1, ' lead "quoted", comma ', "tail "), (2, "back\\slash", None), (2**40, "é", "x"))
     path = pair_files.write_pairs_csv(df, str(tmp_path / "out"))

@@ -8,6 +8,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from twinline.columns import ID, SL, SOURCE, TARGET
 from twinline.sources.files import exists, output_ready
+from twinline.sources.split_csv import read_split_csv
 from twinline.sources.stages import STAGES, located, require_sound, stage_record
 
 CORRUPT = "_corrupt_record"
@@ -37,15 +38,16 @@ def read_pairs(
     """Pairs from CSV with a header, UTF-8, schema declared.
 
     A malformed number becomes null; ``corrupt`` keeps the offending line in
-    ``_corrupt_record``. ``multi_line`` allows line breaks inside quotes but
-    makes each file one task.
+    ``_corrupt_record``. ``multi_line`` allows line breaks inside quotes; the lines are
+    then read twice, still by a task for each split (:mod:`twinline.sources.split_csv`).
     """
     if "*" not in path and not exists(spark, path):
         raise FileNotFoundError(f"there is no pair file at {path}")
+    if multi_line:
+        return read_split_csv(spark, path, pair_schema(long_ids, corrupt), CORRUPT)
     return (
         spark.read.option("header", True)
         .option("encoding", "UTF-8")
-        .option("multiLine", multi_line)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .schema(pair_schema(long_ids, corrupt))
         .csv(path)
