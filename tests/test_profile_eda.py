@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from twinline.columns import SOURCE, TARGET
 from twinline.functions.text import BENGALI
 from twinline.operators import eda, profile
+from twinline.operators.clean import clean_pairs
+from twinline.operators.dedup import exact_dedup
 from twinline.operators.features import add_features
 
 
@@ -87,3 +89,30 @@ def test_eda_record(pairs):
     assert record["total_rows"] == 2 and record["vocab_size"] == 3
     assert [tuple(t) for t in record["top_tokens"]] == [("a", 2), ("b", 2)]
     assert record["src_len_mean"] == 2.5
+
+
+def test_before_after_counts(pairs):
+    df = pairs(
+        (1, "one two three", "four five six"), (2, " one  two three ", "four five\x00 six"), (3, "one two three", "one two three"),
+        (4, None, "four five six"), (5, "one two", "four five six"), (6, "", ""), (7, "seven eight nine", "four five six"),
+    )
+    row = profile.before_after_counts(df).first()
+    cleaned = clean_pairs(df)
+    assert tuple(row) == (7, cleaned.count(), exact_dedup(cleaned).count()) == (7, 3, 2)
+    assert tuple(profile.before_after_counts(df.limit(0)).first()) == (0, 0, 0)
+    plan = profile.before_after_counts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Subquery" not in plan  # one pass
+
+
+def test_vocabulary_sketches(spark, pairs):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 30_000}" for j in range(40)), "x") for i in range(5000)]
+    df = pairs(*rows).withColumn("part", F.col("id") % 5)
+    exact = eda.vocab_size(eda.token_frequency(df)).first()[0]
+    kept = [eda.token_sketches(df.filter(F.col("part") == p)) for p in range(5)]
+    merged = eda.estimated_vocab_size(kept[0].union(kept[1]).union(kept[2]).union(kept[3]).union(kept[4])).first()[0]
+    assert abs(merged - exact) <= 0.02 * exact
+    by_part = {r["part"]: r["vocab_size"] for r in eda.estimated_vocab_size(eda.token_sketches(df, ("part",)), ("part",)).collect()}
+    for p in range(5):
+        own = eda.vocab_size(eda.token_frequency(df.filter(F.col("part") == p))).first()[0]
+        assert abs(by_part[p] - own) <= 0.02 * own
+    assert eda.estimated_vocab_size(eda.token_sketches(df.limit(0))).first()[0] == 0

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinline.columns import SOURCE, TARGET
-from twinline.functions.text import ASCII_SPACE, BLANK, has_script, normalize, token_count
+from twinline.functions.text import ASCII_SPACE, BLANK, has_script, let, normalize, token_count
 
 
 def normalize_text(df: DataFrame, columns=(SOURCE, TARGET)) -> DataFrame:
@@ -49,6 +51,19 @@ def length_band(
     )
 
 
+def is_clean(source: Column, target: Column, min_tokens: int = 3, max_tokens: int = 256) -> Column:
+    """Whether :func:`clean_pairs` keeps a pair of normalised texts; never null."""
+    filled = (F.length(source) > 0) & (F.length(target) > 0) & (source != target)
+    bearable = _count_within(source, min_tokens, max_tokens, BLANK) & _count_within(target, min_tokens, max_tokens, BLANK)
+    return F.coalesce(filled & bearable, F.lit(False))
+
+
+def of_normalized(body: Callable[[Column, Column], Column], source: str = SOURCE, target: str = TARGET) -> Column:
+    """An expression of both normalised texts, which are made once however often it mentions them."""
+    texts = F.struct(normalize(F.col(source)).alias("source"), normalize(F.col(target)).alias("target"))
+    return let(texts, lambda t: body(t["source"], t["target"]))
+
+
 def clean_pairs(df: DataFrame, min_tokens: int = 3, max_tokens: int = 256) -> DataFrame:
     """Normalise, then keep non-empty, non-trivial pairs of bearable length."""
     kept = drop_trivial(drop_null_or_empty(normalize_text(df)))

@@ -33,7 +33,7 @@ from twinline.session import ship, written
 BLOCK_ROWS = 4096
 
 
-def pair_hash(source: str = SOURCE, target: str = TARGET) -> Column:
+def pair_hash(source: str | Column = SOURCE, target: str | Column = TARGET) -> Column:
     return F.sha2(F.concat_ws("||", source, target), 256)
 
 

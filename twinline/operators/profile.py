@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinline.columns import ID, SOURCE, TARGET
 from twinline.functions.text import BENGALI, has_script
-from twinline.operators.clean import clean_pairs
+from twinline.operators.clean import is_clean, of_normalized
 from twinline.operators.dedup import pair_hash
 
 
@@ -82,19 +82,15 @@ def validate_clean(df: DataFrame, script: str = BENGALI) -> DataFrame:
 def before_after_counts(df: DataFrame, min_tokens: int = 3, max_tokens: int = 256) -> DataFrame:
     """Rows before cleaning, after cleaning and after exact deduplication.
 
-    Deduplicated rows are the distinct pair hashes of the clean ones, so one
-    aggregate over the clean rows gives both later counts.
+    One scan and one shuffle of hashes: a row that cleaning drops has no hash, and all of
+    these are one group, which tasks count before the shuffle. Counts are of the data, not
+    of what tasks have seen, so a task that is run again counts nothing twice.
     """
-    per_pair = (
-        clean_pairs(df, min_tokens, max_tokens)
-        .groupBy(pair_hash().alias("pair"))
-        .agg(F.count("*").alias("n"))
-    )
+    pair = of_normalized(lambda s, t: F.when(is_clean(s, t, min_tokens, max_tokens), pair_hash(s, t)))
+    per_pair = df.select(pair.alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    clean = F.sum(F.when(F.col("pair").isNotNull(), F.col("n")))
     return per_pair.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("after_clean"),
-        F.count("*").alias("after_dedup"),
-    ).select(
-        df.agg(F.count("*")).scalar().alias("before_clean"),
-        "after_clean",
-        "after_dedup",
+        F.coalesce(F.sum("n"), F.lit(0)).alias("before_clean"),
+        F.coalesce(clean, F.lit(0)).alias("after_clean"),
+        F.count("pair").alias("after_dedup"),
     )

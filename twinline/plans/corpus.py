@@ -36,7 +36,7 @@ from twinline.columns import ID, SL, SOURCE, TARGET
 from twinline.config import CorpusConfig
 from twinline.functions.text import BENGALI
 from twinline.operators.augment import augment_train
-from twinline.operators.clean import clean_pairs
+from twinline.operators.clean import clean_pairs, is_clean, of_normalized
 from twinline.operators.dedup import deduplicate
 from twinline.operators.eda import eda_record, histogram
 from twinline.operators.encode import build_vocab, encode_all
@@ -140,17 +140,22 @@ def run_preprocess(
     args = {"paths": [csv], "long_ids": long_ids, "script": script, "multi_line": multi_line}
     if not _skip(spark, base, "preprocess", config, force, args):
         with _run(spark, base, "preprocess", config, args) as (folder, rows):
-            seen, cleaned = Observation("seen"), Observation("cleaned")
+            # Counted by the tasks that write: only the attempt that counts as done is counted.
+            seen = Observation("seen")
             raw = dev_subset(read_pairs(spark, csv, long_ids, multi_line, corrupt=True), config.dev_subset)
-            malformed = F.count_if(F.col(CORRUPT).isNotNull()).alias("rows_corrupt")
-            raw = raw.observe(seen, F.count(F.lit(1)).alias("rows_in"), malformed).drop(CORRUPT)
+            kept = of_normalized(lambda s, t: is_clean(s, t, config.min_tokens, config.max_tokens))
+            counts = [
+                F.count(F.lit(1)).alias("rows_in"),
+                F.count_if(F.col(CORRUPT).isNotNull()).alias("rows_corrupt"),
+                F.count_if("_kept").alias("rows_clean"),
+            ]
+            raw = raw.withColumn("_kept", kept).observe(seen, *counts).drop(CORRUPT, "_kept")
             raw = write_parquet(raw, f"{folder}/raw/raw.parquet")
             record = validation_record(raw, "raw", script)
             json_summary_sink(record, f"{folder}/reports/raw_validation_summary.json")
             require_valid(spark.read.json(f"{folder}/reports/raw_validation_summary.json"))
 
             pairs = clean_pairs(raw, config.min_tokens, config.max_tokens)
-            pairs = pairs.observe(cleaned, F.count(F.lit(1)).alias("rows_clean"))
             pairs = deduplicate(pairs, config.near_dup_method, config.near_dup_min_similarity)
             featured = write_parquet(add_features(pairs, script=script), f"{folder}/interim/featured.parquet")
             record = validation_record(featured, "clean", script)
@@ -159,7 +164,7 @@ def run_preprocess(
 
             split = split_rows(featured, config.train_split, config.validation_split, config.seed)
             write_parquet(split, f"{folder}/processed", ("split",))
-            rows |= seen.get | cleaned.get | {"rows_out": summary.first()["total_rows"]}
+            rows |= seen.get | {"rows_out": summary.first()["total_rows"]}
     return spark.read.parquet(output(spark, base, "preprocess", "processed"))
 
 

@@ -384,7 +384,8 @@ VECTORS = f"""vec_pairs AS (
   SELECT m.model_key, a.vec_id AS pair_id, a.embedding::DOUBLE[] AS s, b.embedding::DOUBLE[] AS p
   FROM (VALUES {_offsets}) m(model_key, shift) CROSS JOIN embeddings a
   JOIN embeddings b ON b.vec_id = a.vec_id + m.shift)"""
-SEMSIM = f"""semsim AS (SELECT model_key, round(avg(list_cosine_similarity(s, p)), 6) AS similarity
+SEMSIM = f"""semsim AS (SELECT model_key, round(avg(list_cosine_similarity(s, p)), 6) AS similarity,
+    2 * ((SELECT count(*) FROM embeddings) - count(*)) AS unmatched
   FROM vec_pairs GROUP BY model_key)"""
 GREEDY = """cosines AS (
   SELECT model_key, pair_id, i, j,
@@ -407,6 +408,9 @@ SCORES = """scores AS (
     JOIN greedy USING (model_key) JOIN semsim USING (model_key))"""
 
 
+SCORED = "SELECT scores.*, unmatched AS semsim_mpnet_unmatched FROM scores JOIN semsim USING (model_key)"
+
+
 def _scores(body: str) -> str:
     return _with(body, *SCORE_PARTS, SCORES)
 
@@ -451,7 +455,7 @@ ORACLES: dict[str, str] = {
         f"SELECT {ROWS} FROM (SELECT {ROWS} FROM pairs UNION ALL SELECT {ROWS} FROM conv) WHERE {S} <> {T}"
     ),
     "length_band": _with(f"SELECT {ROWS} FROM pairs WHERE {LENGTHS_5_40}"),
-    "script_match": _with(f"SELECT sl, regexp_matches({S}, '{SCRIPT}') AS in_script FROM pairs"),
+    "script_match": _with(f"SELECT {ROWS} FROM pairs WHERE regexp_matches({S}, '{SCRIPT}')"),
     "exact_dedup": _with(f"SELECT {ROWS} FROM uniq"),
     "near_dup_exact": _near_dup(0.95),
     "near_dup_lsh": _near_dup_lsh(0.95),
@@ -477,6 +481,7 @@ ORACLES: dict[str, str] = {
     "token_frequency": _with("SELECT * FROM freq"),
     "top_tokens": _with('SELECT * FROM freq ORDER BY "count" DESC, token LIMIT 50'),
     "vocab_size": _with("SELECT count(*) AS vocab_size FROM freq"),
+    "vocab_size_merged": _with("SELECT count(*) AS vocab_size, true AS within_2_percent FROM freq"),
     "histogram": HISTOGRAM,
     "split_counts": _with('SELECT split, count(*) AS "count" FROM dealt GROUP BY split'),
     "before_after_counts": _with(
@@ -522,11 +527,13 @@ ORACLES: dict[str, str] = {
     "rouge_l_ascii": _with("SELECT * FROM rouge", *ASCII_ROUGE),
     "distinct_n": _with("SELECT * FROM dist", DISTINCT),
     "semantic_similarity": _with(
-        "SELECT model_key, similarity AS semantic_similarity FROM semsim", VECTORS, SEMSIM
+        "SELECT model_key, similarity AS semantic_similarity, unmatched AS semantic_similarity_unmatched FROM semsim",
+        VECTORS,
+        SEMSIM,
     ),
     "greedy_match_f1": _with("SELECT * FROM greedy", VECTORS, GREEDY),
-    "evaluate_run": _scores("SELECT * FROM scores WHERE model_key = 'clipped'"),
-    "evaluate_all": _scores("SELECT * FROM scores"),
+    "evaluate_run": _scores(f"{SCORED} WHERE model_key = 'clipped'"),
+    "evaluate_all": _scores(SCORED),
     "compare_runs": _scores(
         " UNION ALL ".join(
             f"""SELECT '{m}' AS metric, max("{m}") FILTER (model_key = 'copy_source') AS copy_source,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinline.columns import FEATURES, SL, SOURCE, TARGET
 from twinline.config import CorpusConfig, ModelSpec
-from twinline.functions.text import has_script, token_count, words
+from twinline.functions.text import token_count, words
 from twinline.operators import augment, clean, dedup, eda, encode, features, metrics, profile, split
 from twinline.plans import corpus
 from twinline.registry import views
@@ -155,7 +155,17 @@ def _near_dup(operator: Callable, min_similarity: float) -> Query:
 
 
 def _script_match(spark, sf):
-    return views.pairs_docs(spark, sf).select(SL, has_script(F.col(SOURCE), SCRIPT).alias("in_script"))
+    return clean.script_match(views.pairs_docs(spark, sf), SCRIPT)
+
+
+def _vocab_size_merged(spark, sf):
+    """The estimate from a sketch for each split, and how it compares with the exact size."""
+    rows = split.split_rows(views.unique_docs(spark, sf))
+    sketches = written(eda.token_sketches(rows, ("split",)), "sketches")
+    exact = eda.vocab_size(eda.token_frequency(rows)).scalar()
+    near = F.abs(F.col("vocab_size") - F.col("exact")) <= 0.02 * F.col("exact")
+    estimate = eda.estimated_vocab_size(sketches).withColumn("exact", exact)
+    return estimate.select(F.col("exact").alias("vocab_size"), near.alias("within_2_percent"))
 
 
 def _histogram(spark, sf):
@@ -368,6 +378,7 @@ QUERIES: dict[str, Query] = {
     "token_frequency": lambda spark, sf: eda.token_frequency(views.unique_docs(spark, sf)),
     "top_tokens": lambda spark, sf: eda.top_tokens(eda.token_frequency(views.unique_docs(spark, sf))),
     "vocab_size": lambda spark, sf: eda.vocab_size(eda.token_frequency(views.unique_docs(spark, sf))),
+    "vocab_size_merged": _vocab_size_merged,
     "histogram": _histogram,
     "split_counts": lambda spark, sf: split.split_counts(split.split_rows(views.unique_docs(spark, sf))),
     "before_after_counts": lambda spark, sf: profile.before_after_counts(views.pairs_docs(spark, sf)),
