@@ -1,6 +1,8 @@
 """Every registered query against its SQL, and what its plan must not hold."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -42,3 +44,11 @@ def test_query(spark, connection, name):
 def test_entry(spark, connection):
     row = entry(spark).first()
     assert row["total_rows"] > 0 and row["source_sentence_nulls"] == 0
+
+
+def test_queries_are_there_without_the_libraries_of_the_other_part():
+    """The operators for training data may be taken out, or lack a library: all other queries stay."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['regex'] = sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    told = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert told.split() == [str(len(QUERIES)), str(len(ORACLES))]
