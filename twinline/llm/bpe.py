@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from twinline.llm.flat import give_back
 from twinline.session import ship
 
 # Fixed value: the pattern of byte-level vocabularies; white space is Unicode's White_Space.
@@ -181,18 +182,6 @@ class Vocabulary:
         return b"".join(map(bytes_of, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, Vocabulary] = {}
-
-
-def _loaded(content: bytes) -> Vocabulary:
-    """One vocabulary for all tasks of a worker."""
-    key = hash(content)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(content)
-    return _LOADED[key]
-
-
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about SLICE_BYTES, and at least a row."""
     sizes = np.fromiter((len(v.as_buffer()) if v.is_valid else 0 for v in batch.column(column).cast(pa.large_binary())), np.int64, batch.num_rows)
@@ -214,12 +203,17 @@ def _run(df: DataFrame, vocabulary: str, source: str, new: list[StructField], st
     schema = StructType([*df.select(*kept).schema.fields, *new])
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _loaded(content.value)
-        for batch in batches:
-            for part in _slices(batch, source):
-                made = step(words, part.column(source).to_pylist())
-                columns = [part.column(c) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*kept, *(n.name for n in new)])
+        # A task's own: tables of words and of beginnings of tokens take over 100 MB.
+        words = Vocabulary(content.value)
+        try:
+            for batch in batches:
+                for part in _slices(batch, source):
+                    made = step(words, part.column(source).to_pylist())
+                    columns = [part.column(c) for c in kept]
+                    yield pa.RecordBatch.from_arrays([*columns, *made], names=[*kept, *(n.name for n in new)])
+        finally:
+            del words
+            give_back()
 
     return df.mapInArrow(convert, schema)
 
