@@ -4,7 +4,7 @@ A stage takes (spark, docs, sf_dir), docs with the columns of ``documents``, and
 a DataFrame of the same columns; the last returns what training reads. Each is written
 as Parquet and read again before the next. A stage runs its operator over the documents
 it is given and acts on what the operator says; a document without an id takes part in
-no pair and is kept by the stages that compare documents.
+no pair and is kept by the stages that compare documents with each other.
 """
 
 from __future__ import annotations
@@ -33,12 +33,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word n-grams connect, the smallest doc_id stays.
 
-    Repeated rows of a document that stays count as copies of it: one stays.
+    Equal rows of a document that stays are copies of it: one stays. Rows that share an id and
+    differ in text are one document, so all its texts stay.
     """
     classes = ngram_join.similar_documents(docs, GRAM_WORDS, SIMILAR_PERCENT)
     gone = classes.filter("component_id < doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null")).select(*COLUMNS)
+    known = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return known.union(kept.filter("doc_id is null")).select(*COLUMNS)
 
 
 def repeated_bytes_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +60,15 @@ def repeated_bytes_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go.
+
+    A row is known by a hash of its id and text, so rows without an id and those that share
+    one are told apart.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = decontaminate.leaks(docs, items).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    leaked = decontaminate.leaks(rows.select(F.col("_row").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_row"))
+    return rows.join(leaked.distinct(), "_row", "left_anti").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
