@@ -109,7 +109,9 @@ def plain_distance(a, b):
     return row[-1]
 
 
-def test_edit_distances():
+@pytest.mark.parametrize("enough", [1, 16, 10**6])
+def test_edit_distances(monkeypatch, enough):
+    monkeypatch.setattr(editing, "ENOUGH", enough)
     rng = random.Random(7)
     left, right = [], []
     for _ in range(300):
@@ -134,6 +136,7 @@ def test_edit_distances_of_long_texts_and_many_characters(monkeypatch):
     assert editing.distances([a[:200], "x"], [b[150:400], "y"]).tolist() == [plain_distance(a[:200], b[150:400]), 1]
     monkeypatch.setattr(editing, "MOST_BLOCKS", 16)
     monkeypatch.setattr(editing, "TABLE_WORDS", 64)
+    monkeypatch.setattr(editing, "ENOUGH", 1)
     texts = ["".join(rng.choices([chr(c) for c in range(0x3000, 0x9000)], k=rng.randint(60, 140))) for _ in range(30)]
     assert editing.distances(texts, texts[::-1]).tolist() == [plain_distance(x, y) for x, y in zip(texts, texts[::-1])]
 

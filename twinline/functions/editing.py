@@ -6,8 +6,9 @@ import numpy as np
 
 WORD = 64
 ALL, HIGH, ONE = np.uint64(2**64 - 1), np.uint64(1 << 63), np.uint64(1)
-# Words of a shorter text up to which pairs are worked on together; longer ones one by one.
-MOST_BLOCKS = 16
+# Words of a shorter text up to which pairs are worked on together, if there are enough with as
+# many words (so many for each word); the others one by one, which costs a little for each step.
+MOST_BLOCKS, ENOUGH = 16, 16
 # Words that the table of matching places may take, and pairs worked on together.
 TABLE_WORDS, TOGETHER = 1 << 21, 4096
 
@@ -112,11 +113,13 @@ def distances(left: list[str], right: list[str]) -> np.ndarray:
     n, m = size[short], size[long]
     found = m.copy()  # right where the shorter text is empty
     blocks = -(-n // WORD)
-    for row in np.flatnonzero(blocks > MOST_BLOCKS).tolist():
+    many = np.bincount(blocks, minlength=MOST_BLOCKS + 1)[: MOST_BLOCKS + 1] >= ENOUGH * np.arange(MOST_BLOCKS + 1)
+    alone = (blocks > MOST_BLOCKS) | ((blocks > 0) & ~many[np.minimum(blocks, MOST_BLOCKS)])
+    for row in np.flatnonzero(alone).tolist():
         pair = (left[row], right[row])
         found[row] = 0 if pair[0] == pair[1] else _one(*sorted(pair, key=len))
     for b in range(1, MOST_BLOCKS + 1):
-        rows = np.flatnonzero(blocks == b)
+        rows = np.flatnonzero((blocks == b) & ~alone)
         rows = rows[np.argsort(-m[rows], kind="stable")]
         while len(rows):
             some, own, alphabet = rows[:TOGETHER], codes, int(seen.sum())
