@@ -1,6 +1,7 @@
 """HTML extraction and toxicity."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ PAGE = (
     ],
 )
 def test_main_text(source, text):
-    assert html_text.main_text(html_text.parse(source), set()) == text
+    assert html_text.main_text(html_text.parse(source), set()).text == text
 
 
 def test_templates_go_by_host(spark):
@@ -157,3 +158,82 @@ def test_gradient_is_observed_less_expected():
     for i in range(len(weights)):
         step = np.eye(len(weights))[i] * 1e-5
         assert abs((likelihood(weights + step) - likelihood(weights - step)) / 2e-5 - slope[i]) < 1e-6
+
+
+BROKEN = {
+    "quotes that don't end": "<a '" * 200_000,
+    "a quote at the end": "<a " * 300_000 + "'",
+    "ends of nothing": "<div>" * 100_000 + "</x></span>" * 80_000,
+    "articles in articles": "<article>" * 150_000 + "text",
+    "headings in bold": "<p><div>" + "<b><h1>" * 100_000,
+    "deep headers": "<div>" * 80_000 + "<header>x</header>" * 40_000,
+    "items": "<ul>" + "<li><span>" * 100_000,
+    "classes": "<div " + "class='a' " * 100_000 + ">x",
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_take_linear_time(name):
+    source = BROKEN[name]
+    start = time.process_time()
+    html_text.main_text(html_text.parse(source), {1}, outside=True)
+    whole = time.process_time() - start
+    start = time.process_time()
+    html_text.main_text(html_text.parse(source[: len(source) // 4]), {1}, outside=True)
+    assert whole < 60 and whole < 12 * (time.process_time() - start) + 1
+
+
+def test_tags_with_odd_quotes():
+    parse = lambda s: html_text.main_text(html_text.parse(s), set()).text
+    assert parse("<p title='a>b' class=\"c>d\">x</p>y") == "x y"
+    assert parse("a <b 'c>d</b> e") == "a <b 'c>d e"  # the quote never ends: no tag
+    assert parse("<p a='1' b=\"2\" c='>' d>x<p e='>y") == "x<p e='>y"
+    assert parse("x<div") == "x"
+
+
+def test_template_goes_by_count_whatever_it_is_called(spark):
+    """No tag, class, id or role gives it away; one common line of prose stays."""
+    common = "<p>All rights to the truth are reserved.</p>"
+
+    def page(i):
+        top = "<div class=q1><span>Home</span><span>World</span></div>"
+        bottom = "<div id=z9><div>Imprint</div><div>Contact us</div></div>"
+        story = f"<p>Story {i} begins here.</p>" + (common if i % 4 == 0 else "") + f"<p>And ends at {i}.</p>"
+        return f"<body>{top}<div class=k3>{story}</div>{bottom}</body>"
+
+    rows = [(i, f"http://a.com/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://b.com/{i}", page(i)) for i in range(3)]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), share=0.5).collect()}
+    line = " All rights to the truth are reserved."
+    for i in range(40):
+        assert got[i].main_text == f"Story {i} begins here.{line if i % 4 == 0 else ''} And ends at {i}."
+        assert (got[i].by_count, got[i].by_hint) == (2, 0)
+    assert got[100].main_text.startswith("HomeWorld Story 0")  # too few pages to tell, and nothing says so
+
+
+def test_counts_by_host_against_brute_force(spark):
+    """What is found as template is what recurs, counted one page after the other."""
+    nav = "<nav><a>Home</a><a>Shop</a></nav>"
+    pages = [(f"h{i % 3}", f"{nav if i % 3 else ''}<div>{'Same' if i % 2 else i}</div><article><p>Text {i}</p><p>{'Block' if i % 4 else i}</p></article>") for i in range(60)]
+    found = {(r.host, r.digest) for r in html_text.templates(spark.createDataFrame(pages, "host string, html string"), 5, 0.1, 0.5).collect()}
+    outside, inside, articles = {}, {}, {}
+    for host, source in pages:
+        root = html_text.parse(source)
+        html_text._articles(root)
+        subtrees, own = html_text.subtree_hashes(root)
+        articles.setdefault(host, set()).update(a for a, _ in own)
+        for digest in {d for _, d, article, _ in subtrees if article is None}:
+            outside[host, digest] = outside.get((host, digest), 0) + 1
+        for _, digest, article, _ in subtrees:
+            if article is not None:
+                inside.setdefault((host, digest), set()).add(article)
+    want = {k for k, n in outside.items() if n >= max(5, 2)}
+    want |= {k for k, own in inside.items() if len(own) >= max(5, len(articles[k[0]]) / 2)}
+    assert found == want and len(want) > 5
+
+
+def test_a_common_line_of_articles_stays(spark):
+    """A paragraph of a third of the articles is prose; one of nearly all is template."""
+    block = "<p>Join our list of readers</p>"
+    page = lambda i: f"<article><p>Story {i} of its own and longer than the rest of it</p>{'<p>Time will tell.</p>' if i % 3 == 0 else ''}{block}</article>"
+    want = [f"Story {i} of its own and longer than the rest of it{' Time will tell.' if i % 3 == 0 else ''}" for i in range(30)]
+    assert extracted(spark, [page(i) for i in range(30)]) == want

@@ -1,19 +1,25 @@
 """Main text of web pages: site templates are found by counting subtrees, and removed.
 
 Each page is parsed into a tree, and its elements are hashed with the tags and texts below
-them. The hashes are counted for each host in Spark, and subtrees that recur on many of the
-host's pages are template: they go, with all below them. Then go elements that say what they
-are (navigation, footers, forms, adverts, comments and the like, by tag, role, class or id),
-which need not recur. An article that a page marks (``article`` or ``main``) is never template
-as a whole, and its blocks only if they recur in different articles; single words, headings,
-cells and items in it are no blocks. Text outside of articles stays if it is neither.
+them, whatever they are called. The hashes are counted for each host in Spark, and subtrees
+that recur on many of the host's pages are template: they go first, with all below them.
+Of what is left, elements go that say what they are (navigation, footers, forms, adverts,
+comments and the like, by tag, role, class or id), as these need not recur or a host may
+have too few pages to tell. An article that a page marks (``article`` or ``main``) is never
+template as a whole, and its blocks only if they recur in most of the host's different
+articles; single words, headings, cells and items in it are no blocks. Text outside of
+articles stays if it is neither.
+
+Parsing takes time in proportion to a page, however broken its markup is.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -66,9 +72,10 @@ PARTS_OF_TEXT = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot
 IN_ARTICLE = 0x5BD1E995
 TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)",
     re.S,
 )
+SPECIAL = re.compile(r"[>\"']")
 HINTS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true)", re.I)
 SPACES = re.compile(r"\s+")
@@ -105,69 +112,123 @@ def _says_dropped(tag: str, attributes: str) -> int:
     return 0 if tag in ARTICLE else level
 
 
+class TagEnds:
+    """Where a tag ends: at the first ``>`` that is in no quotes.
+
+    The places of quotes and ends are listed once. Where the search has once come to a quote
+    without an end, it is not made again, so all tags of a page take time in proportion to it.
+    """
+
+    def __init__(self, source: str):
+        self.size = len(source)
+        self.places = [m.start() for m in SPECIAL.finditer(source)]
+        self.letters = [source[p] for p in self.places]
+        last: dict[str, int] = {}
+        self.partner = [0] * len(self.places)  # the next one of the same kind
+        for i in range(len(self.places) - 1, -1, -1):
+            self.partner[i] = last.get(self.letters[i], -1)
+            last[self.letters[i]] = i
+        self.failed: set[int] = set()
+
+    def after(self, at: int) -> int:
+        """The place after the end of the tag whose attributes begin at ``at``; -1 if quotes don't end."""
+        i, seen = bisect_left(self.places, at), []
+        while i < len(self.places):
+            if self.letters[i] == ">":
+                return self.places[i] + 1
+            seen.append(i)
+            if i in self.failed or self.partner[i] < 0:
+                self.failed.update(seen)
+                return -1
+            i = self.partner[i] + 1
+        return self.size
+
+
+class Open:
+    """The open elements, and at which depths those of each tag are."""
+
+    def __init__(self, root: Node):
+        self.stack, self.depths = [root], {}
+
+    def deepest(self, tags) -> int:
+        """The depth of the innermost open element among ``tags``, or 0."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element at that depth and all in it."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
+
+
+P_SCOPE = ("article", "main", "section", "div", "td", "li", "body", "table", "blockquote", "button")
+
+
 def parse(source: str) -> Node:
     """The page as a tree of elements and raw texts, however its tags are nested."""
-    root = here = Node("", None)
-    at, n = 0, len(source)
+    root = Node("", None)
+    open_, ends = Open(root), TagEnds(source)
+    at = begun = 0  # where to look for a tag, and where the text before it begins
+    n = len(source)
     while at < n:
         token = TOKENS.search(source, at)
         if token is None:
-            here.children.append(source[at:])
             break
-        if token.start() > at:
-            here.children.append(source[at : token.start()])
-        at = max(token.end(), token.start() + 1)
-        tag = token[2]
+        tag, after = token[2], token.end()
+        if tag is not None and (after := ends.after(after)) < 0:
+            at = token.start() + 1  # no tag after all
+            continue
+        if token.start() > begun:
+            open_.stack[-1].children.append(source[begun : token.start()])
+        begun = at = after
         if tag is None:
             if source.startswith("<![CDATA[", token.start()):
-                here.children.append(html.escape(source[token.start() + 9 : at].removesuffix("]]>")))
+                open_.stack[-1].children.append(html.escape(source[token.start() + 9 : at].removesuffix("]]>")))
             continue
-        tag = tag.lower()
+        tag, attributes = tag.lower(), source[token.end() : at].removesuffix(">")
         if token[1]:
-            up = here
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                here = up.parent
+            if depth := open_.deepest((tag,)):
+                open_.close(depth)
             elif tag == "p":
-                here.children.append(Node("p", here))
+                open_.stack[-1].children.append(Node("p", open_.stack[-1]))
             continue
-        if tag in CLOSED_BY_BLOCK:
-            here = _leave(here, frozenset(["p"]), ("article", "main", "section", "div", "td", "li", "body", "table", "blockquote", "button"))
-        elif tag in SIBLINGS:
-            here = _leave(here, SIBLINGS[tag], SIBLING_SCOPE.get(tag, ("table",)))
-        node = Node(tag, here, _says_dropped(tag, token[3]))
-        here.children.append(node)
-        if tag in VOID or token[3].endswith("/") and tag in ("path", "use", "circle", "rect", "line"):
+        # Elements that end by themselves here, if nothing in between holds them open.
+        closed, scope = (("p",), P_SCOPE) if tag in CLOSED_BY_BLOCK else (SIBLINGS.get(tag, ()), SIBLING_SCOPE.get(tag, ("table",)))
+        if closed and (depth := open_.deepest(closed)) > open_.deepest(scope):
+            open_.close(depth)
+        node = Node(tag, open_.stack[-1], _says_dropped(tag, attributes))
+        open_.stack[-1].children.append(node)
+        if tag in VOID or attributes.endswith("/") and tag in ("path", "use", "circle", "rect", "line"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             node.children.append(source[at : end.start() if end else n])
-            at = end.end() if end else n
+            begun = at = end.end() if end else n
             continue
-        here = node
+        open_.push(node)
+    if begun < n:
+        open_.stack[-1].children.append(source[begun:])
     return root
 
 
-def _leave(here: Node, closed: frozenset, scope: tuple[str, ...]) -> Node:
-    """Out of the nearest open element among ``closed``, if nothing of ``scope`` is in between."""
-    up = here
-    while up.parent is not None and up.tag not in closed:
-        if up.tag in scope:
-            return here
-        up = up.parent
-    return up.parent if up.parent is not None else here
-
-
-def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
-    """Each element on the way in (True) and on the way out (False)."""
-    stack: list[tuple[Node, bool]] = [(root, True)]
+def whole_hash(root: Node) -> int | None:
+    """A hash of all tags and texts below an element; null if it holds no text."""
+    parts, texts, stack = [], False, [root]
     while stack:
-        node, entering = stack.pop()
-        yield node, entering
-        if entering:
-            stack.append((node, False))
-            stack.extend((c, True) for c in reversed(node.children) if isinstance(c, Node))
+        item = stack.pop()
+        if isinstance(item, Node):
+            parts.append(b"<" + item.tag.encode("utf-8", "replace"))
+            stack.append(None)
+            stack.extend(reversed(item.children))
+        elif item is None:
+            parts.append(b">")
+        elif word := SPACES.sub(" ", item).strip():
+            parts.append(word.encode("utf-8", "replace"))
+            texts = True
+    return xxhash.xxh3_64_intdigest(b"\0".join(parts)) - (1 << 63) if texts else None
 
 
 def subtree_hashes(root: Node) -> tuple[list[tuple[Node, int, int | None, int]], list[tuple[int, int]]]:
@@ -175,7 +236,8 @@ def subtree_hashes(root: Node) -> tuple[list[tuple[Node, int, int | None, int]],
 
     Outside of articles these are all elements that hold text and no article, and article
     is null. In an article (the nearest one counts) they are blocks, and bytes is the text
-    of a block that is in no smaller one. Elements that are dropped anyway are left out.
+    of a block that is in no smaller one. Elements that say that they are no main text
+    are hashed as a whole, wherever they are, and left out of what holds them.
     """
     digests: dict[int, bytes] = {}
     holders: set[int] = set()
@@ -190,9 +252,15 @@ def subtree_hashes(root: Node) -> tuple[list[tuple[Node, int, int | None, int]],
             if node.tag in ARTICLE:
                 inside.append([])
             stack.append((node, False))
-            stack.extend((c, True) for c in reversed(node.children) if isinstance(c, Node) and not c.dropped)
+            for child in reversed(node.children):
+                if not isinstance(child, Node):
+                    continue
+                if not child.dropped:
+                    stack.append((child, True))
+                elif (number := whole_hash(child)) is not None:
+                    found.append((child, number, None, 0))
             continue
-        parts, size, holds = [node.tag.encode()], 0, False
+        parts, size, holds = [node.tag.encode("utf-8", "replace")], 0, False
         for child in node.children:
             if isinstance(child, Node):
                 if child.dropped:
@@ -227,33 +295,40 @@ def subtree_hashes(root: Node) -> tuple[list[tuple[Node, int, int | None, int]],
     return found, articles
 
 
-def _above(node: Node) -> Iterator[Node]:
-    up = node.parent
-    while up is not None:
-        yield up
-        up = up.parent
-
-
 def _articles(root: Node) -> list[Node]:
     """The outermost marked articles; what holds one isn't dropped for a mere word."""
-    found = [n for n, entering in _walk(root) if entering and n.tag in ARTICLE and n.dropped < SURE]
-    found = [n for n in found if all(up.dropped < SURE for up in _above(n))]
-    if any(n.tag == "article" for n in found):
-        found = [n for n in found if n.tag == "article"]
-    marked = {id(n) for n in found}
-    found = [n for n in found if not any(id(up) in marked for up in _above(n))]
+    marked: dict[str, list[Node]] = {"article": [], "main": []}
+    # An element, and which of both kinds it is in already.
+    stack: list[tuple[Node, frozenset]] = [(root, frozenset())]
+    while stack:
+        node, within = stack.pop()
+        if node.dropped >= SURE:
+            continue
+        if node.tag in ARTICLE:
+            if node.tag not in within:
+                marked[node.tag].append(node)
+            within = within | {node.tag}
+        stack.extend((c, within) for c in reversed(node.children) if isinstance(c, Node))
+    found = marked["article"] or marked["main"]
+    kept: set[int] = set()
     for node in found:
-        for up in _above(node):
+        up = node.parent
+        while up is not None and id(up) not in kept:
+            kept.add(id(up))
             up.dropped = 0
+            up = up.parent
     return found
 
 
-def _site_header(node: Node, articles: set[int]) -> bool:
-    """A header outside of an article is the site's."""
-    return node.tag == "header" and not any(id(up) in articles for up in _above(node))
+class Extracted(NamedTuple):
+    """The main text, and how many elements went by count and by what they say."""
 
+    text: str
+    by_count: int = 0
+    by_hint: int = 0
 
-def main_text(root: Node, template: set[int], outside: bool = False) -> str:
+
+def main_text(root: Node, template: set[int], outside: bool = False) -> Extracted:
     """Text of the blocks that are left, decoded, white space collapsed, joined by a space.
 
     Of marked articles only, if there are any, or with what is left ``outside`` of them.
@@ -263,6 +338,7 @@ def main_text(root: Node, template: set[int], outside: bool = False) -> str:
     gone = {id(n) for n, digest, _, _ in subtree_hashes(root)[0] if digest in template} if template else set()
     blocks: list[str] = []
     line: list[str] = []
+    counted = hinted = 0
 
     def end_block() -> None:
         block = SPACES.sub(" ", html.unescape("".join(line))).strip()
@@ -271,21 +347,28 @@ def main_text(root: Node, template: set[int], outside: bool = False) -> str:
             blocks.append(block)
 
     for top in [root] if outside else articles or [root]:
-        stack: list[Node | str | None] = [None, top]
+        # What is left to read, and whether it is in an article.
+        stack: list[tuple[Node | str | None, bool]] = [(None, False), (top, False)]
         while stack:
-            item = stack.pop()
+            item, inside = stack.pop()
             if item is None:
                 end_block()
             elif isinstance(item, str):
                 line.append(item)
-            elif item is not top and (item.dropped or id(item) in gone or _site_header(item, marked)):
+            elif item is not top and id(item) in gone:
+                counted += 1
+                end_block()
+            elif item is not top and (item.dropped or item.tag == "header" and not inside):
+                # A header outside of an article is the site's.
+                hinted += 1
                 end_block()
             else:
                 if item.tag not in INLINE:
                     end_block()
-                    stack.append(None)
-                stack.extend(reversed(item.children))
-    return " ".join(blocks)
+                    stack.append((None, False))
+                inside = inside or id(item) in marked
+                stack.extend((c, inside) for c in reversed(item.children))
+    return Extracted(" ".join(blocks), counted, hinted)
 
 
 def host_of(url: Column) -> Column:
@@ -295,9 +378,11 @@ def host_of(url: Column) -> Column:
 SEEN_ROWS = "host string, article long, digest long, n long, whole long"
 
 
-def templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
+def templates(pages: DataFrame, least_pages: int, share: float, article_share: float) -> DataFrame:
     """``(host, digest)`` of subtrees on ``least_pages`` pages of a host and ``share`` of all of them.
 
+    For blocks in articles it is ``article_share`` of the articles.
+
     ``pages`` has host and html. A page's subtrees are counted within its task first. Blocks
     in articles are counted by distinct articles instead of pages, so that copies of a page
     count once. An article of which more than half recurs is a near copy of others and
@@ -332,12 +417,12 @@ def templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
 
     seen = written(pages.filter("html is not null").mapInArrow(scan, SEEN_ROWS), "subtrees")
 
-    def often(counted: DataFrame, sizes: DataFrame) -> DataFrame:
+    def often(counted: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
         many = F.greatest(F.lit(least_pages), F.ceil(F.col("all") * share))
         return counted.join(sizes, "host").filter(F.col("times") >= many).select("host", "digest")
 
     outside = seen.filter("article is null").groupBy("host", "digest").agg(F.sum("n").alias("times"))
-    sites = often(outside, pages.groupBy("host").agg(F.count("*").alias("all")))
+    sites = often(outside, pages.groupBy("host").agg(F.count("*").alias("all")), share)
 
     # Most blocks are found too seldom; they are left out by a hash, before articles are told apart.
     inside = seen.filter("article is not null").withColumn("key", F.xxhash64("host", "digest"))
@@ -347,7 +432,7 @@ def templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
 
     def in_articles(units: DataFrame) -> DataFrame:
         times = units.filter("digest is not null").groupBy("host", "digest").agg(F.count("*").alias("times"))
-        return often(times, units.filter("digest is null").groupBy("host").agg(F.count("*").alias("all")))
+        return often(times, units.filter("digest is null").groupBy("host").agg(F.count("*").alias("all")), article_share)
 
     recurring = units.join(in_articles(units), ["host", "digest"]).groupBy("host", "article")
     copies = recurring.agg((2 * F.sum("n") > F.max("whole")).alias("copy")).filter("copy").select("host", "article")
@@ -355,19 +440,20 @@ def templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
 
 
 def extract(
-    pages: DataFrame, least_pages: int = 5, share: float = 0.1, url: str = "url", source: str = "html"
+    pages: DataFrame, least_pages: int = 5, share: float = 0.1, article_share: float = 0.5, url: str = "url", source: str = "html"
 ) -> DataFrame:
     """``pages`` with ``main_text`` in place of ``html``; empty where there is none.
 
-    One row for each row of ``pages``, in any order, with all other columns; a column
-    named main_text is replaced. Null html is empty, and a null url has an empty host,
+    ``by_count`` and ``by_hint`` tell how many elements went as template and by what they
+    say. One row for each row of ``pages``, in any order, with all other columns; columns
+    of these names are replaced. Null html is empty, and a null url has an empty host,
     whose pages are one site. Repeated rows are pages of their own, but their articles
     are one article. Text is never cut, and what is outside of articles stays too.
     """
     ship(pages.sparkSession)
-    kept = [c for c in pages.columns if c not in (source, "main_text")]
+    kept = [c for c in pages.columns if c not in (source, "main_text", "by_count", "by_hint")]
     rows = pages.withColumn("_host", host_of(F.col(url))).withColumn("_html", F.col(source))
-    found = templates(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")), least_pages, share)
+    found = templates(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")), least_pages, share, article_share)
     # A subtree is on a share of the pages at least, so a host's list holds no more than
     # the subtrees of a few pages, however many pages it has.
     lists = found.groupBy("host").agg(F.collect_set("digest").alias("_template")).withColumnRenamed("host", "_host")
@@ -375,12 +461,14 @@ def extract(
     salt = F.pmod(F.xxhash64("_html"), F.lit(HOST_PARTS)).cast("int")
     rows = rows.withColumn("_part", salt)
     lists = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
-    schema = rows.select(*kept).schema.add("main_text", "string")
+    schema = rows.select(*kept).schema.add("main_text", "string").add("by_count", "integer").add("by_hint", "integer")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources, template = batch.column("_html").to_pylist(), batch.column("_template").to_pylist()
-            texts = [main_text(parse(h or ""), set(t or ()), outside=True) for h, t in zip(sources, template)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=schema.names)
+            found = [main_text(parse(h or ""), set(t or ()), outside=True) for h, t in zip(sources, template)]
+            made = [pa.array(values, kind) for values, kind in zip(zip(*found), (pa.string(), pa.int32(), pa.int32()))] if found else []
+            if made:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=schema.names)
 
     return rows.join(lists, ["_host", "_part"], "left").select(*kept, "_html", "_template").mapInArrow(cut, schema)
