@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import NamedTuple
@@ -139,7 +141,13 @@ def token_ids(docs: DataFrame, known: Vocabularies) -> DataFrame:
 
     None where a tokenizer doesn't give back the text.
     """
-    dtype = known.dtype()
+    letter = "H" if known.dtype() == "<u2" else "I"
+
+    def packed(ids: list[int]) -> bytes:
+        made = array(letter, ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sentencepiece import SentencePieceProcessor
@@ -152,10 +160,12 @@ def token_ids(docs: DataFrame, known: Vocabularies) -> DataFrame:
                 part, rows = texts[start:stop], []
                 for text, x, y in zip(part, first([" " + t for t in part]), second.encode(part, num_threads=1)):
                     whole = b" " + text.encode()
-                    same = text and b"".join(map(known.a.__getitem__, x)) == whole == b"".join(map(known.b.__getitem__, y))
-                    x, y = (np.array(ids if same else [], dtype) for ids in (x, y))
+                    same = text and b"".join(map(known.b.__getitem__, y)) == whole
+                    # Files of the usual kind cut a text into tokens without changing it.
+                    same = same and (known.ranks is not None or b"".join(map(known.a.__getitem__, x)) == whole)
+                    x, y = (packed(ids if same else []) for ids in (x, y))
                     in_a, in_b = aligner.cut(x, y)
-                    rows.append((x.tobytes(), y.tobytes(), len(in_a), _narrow(in_a), _narrow(in_b)))
+                    rows.append((x, y, len(in_a), _narrow(in_a), _narrow(in_b)))
                 ids = batch.column(0).slice(start, stop - start)
                 kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
                 columns = [ids, *(pa.array(values, kind) for values, kind in zip(zip(*rows), kinds))]
@@ -168,7 +178,8 @@ def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
     """How many tokens of each list stand before each common end, in order."""
     at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
     at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
+    # Both dictionaries' keys; those of the first come in order.
+    common = list(filter(at_b.__contains__, at_a))
     return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
 
 
@@ -230,8 +241,9 @@ class Aligner:
         self.dtype, self.other = known.dtype(), len(known.b)
         self.bytes_a, self.bytes_b = (np.array(list(map(len, x)), np.int64) for x in (known.a, known.b))
 
-    def cut(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many tokens of each every group has."""
+    def cut(self, a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """How many tokens of each every group has, from packed ids."""
+        a, b = np.frombuffer(a, self.dtype), np.frombuffer(b, self.dtype)
         stops = cuts(np.cumsum(self.bytes_a[a]).tolist(), np.cumsum(self.bytes_b[b]).tolist())
         return tuple(np.diff(np.array(stop, np.int64), prepend=0) for stop in stops)
 
@@ -291,8 +303,25 @@ def pair_counts(ids: DataFrame, known: Vocabularies) -> DataFrame:
 ROW = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
 
 
+class Counts:
+    """Counts of all pairs, looked up by number; most links are the first best pair of their A id."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, best: np.ndarray, ids: int, other: int):
+        self.pairs, self.n, self.best, self.other = pairs, n, best, other
+        self.first, self.first_n = np.full(ids, -1, np.int64), np.zeros(ids, np.int64)
+        at = np.flatnonzero(best)[::-1]
+        self.first[pairs[at] // other], self.first_n[pairs[at] // other] = pairs[at], n[at]
+
+    def of(self, links: np.ndarray) -> tuple[int, int]:
+        """How many links are best ones, and the sum of the links' counts."""
+        a = links // self.other
+        hit = self.first[a] == links
+        at = np.searchsorted(self.pairs, np.sort(links[~hit]))
+        return int(hit.sum() + self.best[at].sum()), int(self.first_n[a[hit]].sum() + self.n[at].sum())
+
+
 def aligned(ids: DataFrame, known: Vocabularies, looked_up=None) -> DataFrame:
-    """A row for each document; with ``looked_up`` (a broadcast of sorted pairs, counts, best) also n_best and count_sum."""
+    """A row for each document; with ``looked_up`` (broadcast :class:`Counts`) also n_best and count_sum."""
     schema = ROW + (", n_best long, count_sum long" if looked_up else "")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +335,7 @@ def aligned(ids: DataFrame, known: Vocabularies, looked_up=None) -> DataFrame:
                     x, y, groups, links = aligner.read(*own)
                     row = [len(x), len(y), len(groups.in_a), len(links), described(groups, x, y, digits)]
                     if looked_up:
-                        pairs, n, best = looked_up.value
-                        at = np.searchsorted(pairs, links)
-                        row += [int(best[at].sum()), int(n[at].sum())]
+                        row += looked_up.value.of(links)
                     rows.append(row)
                 columns = [batch.column("key").slice(start, stop - start), batch.column("doc_id").slice(start, stop - start)]
                 columns += [pa.array(v) for v in zip(*rows)]
@@ -358,7 +385,8 @@ def align(
     if counts.count() <= broadcast_pairs:
         table = counts.toArrow().sort_by("pair")
         columns = [table.column(name).to_numpy() for name in ("pair", "n", "best")]
-        return aligned(ids, known, spark.sparkContext.broadcast(columns)).drop("key")
+        sent = spark.sparkContext.broadcast(Counts(*columns, len(known.a), len(known.b)))
+        return aligned(ids, known, sent).drop("key")
     sums = (
         linked_pairs(ids, known)
         .join(counts, "pair")
