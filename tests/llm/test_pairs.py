@@ -158,6 +158,23 @@ def test_neighbours_of_small_tables_are_exact(spark):
         assert np.allclose([f[2] for f in found], [-s for s, _ in want[q]], atol=1e-9)
 
 
+def test_recall_with_the_registered_settings(spark):
+    """On vectors without any structure, which are the hardest, and more than are searched in full."""
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(16_000, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in multi_index.nearest_neighbours(df, df.filter("vec_id % 200 = 0"), 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 16_000, 200):
+        scores = unit @ unit[q]
+        scores[q] = -2
+        hit += len(got[q] & set(np.argsort(-scores)[:5].tolist()))
+    assert 0.9 <= hit / 400 < 1  # not a search of everything
+
+
 def test_fewer_vectors_than_neighbours_and_none(spark):
     df = vectors(spark, [(0, [1.0, 0.0], 0, 0), (1, [0.5, 0.5], 0, 0)])
     rows = multi_index.nearest_neighbours(df, df, 5).collect()

@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from twinline.llm.flat import mix, runs
 from twinline.session import ship, written
 
-CENTROIDS = 256  # of each half; fewer, the root of the number of distinct vectors, for small tables
+CENTROIDS = 256  # of each half, at most
+CELL_ROWS = 6  # distinct vectors that a cell holds on average at least: a walk over emptier ones is long
 SAMPLE = 8192  # vectors that the centroids are fitted on, at most
 # Distinct vectors that the visited cells hold: this many at least, and this share of all. The
-# share is what vectors without any structure need for a recall of 0.94; clustered ones need less.
+# share is what vectors without any structure need for a recall of 0.95; clustered ones need less.
 CANDIDATES = 6000
-SHARE = 0.35
+SHARE = 0.45
 PIECE_ROWS = 4096  # distinct vectors of a cell that are ranked together
 UNIT_ROWS = 1024  # distinct vectors that a unit of cells and pieces holds on average
 ROUNDS = 12
@@ -131,7 +132,7 @@ def fit(classes: DataFrame, distinct: int, sample: int = SAMPLE) -> Cells:
     vectors = _matrix(rows.column("vector"))
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     half = (unit.shape[1] + 1) // 2
-    count = min(CENTROIDS, max(8, int(distinct**0.5)), len(unit))
+    count = min(CENTROIDS, max(8, int((distinct / CELL_ROWS) ** 0.5)), len(unit))
     right = unit[:, half:] if half < unit.shape[1] else np.zeros((len(unit), 1))
     return Cells(_fit(unit[:, :half], count), _fit(right, count))
 
@@ -239,7 +240,8 @@ def nearest_neighbours(
 
     # Equal query vectors are searched once; a query is known by its smallest asker.
     distinct_queries = asked.groupBy("vector").agg(F.min("vec_id").alias("query"))
-    probes = distinct_queries.select("query", "vector").mapInArrow(probe, "unit long, query long, vector array<double>, cells array<long>")
+    # Their vectors are few MB, and their walks are what takes time: dealt by number, not by size.
+    probes = distinct_queries.select("query", "vector").repartition(units, "query").mapInArrow(probe, "unit long, query long, vector array<double>, cells array<long>")
     data = indexed.mapInArrow(deal, "rep long, ids array<long>, vector array<double>, cell long, unit long")
     found = probes.groupBy("unit").cogroup(data.groupBy("unit")).applyInArrow(rank, "query long, rep long, ids array<long>, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
