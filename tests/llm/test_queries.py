@@ -79,6 +79,19 @@ def test_stages_against_plain_python(spark):
     assert all(r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows if (r := coded[i]))
 
 
+def test_stages_tell_rows_apart_that_share_an_id(spark):
+    """Two texts under one id, equal rows, and rows without an id."""
+    text = lambda n, k=120: " ".join(f"w{n}x{i}" for i in range(k))
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").orderBy("item_id").first()["text"]
+    leak = text(9) + " " + item
+    rows = [(1, text(1)), (1, text(2)), (1, text(2)), (2, text(3)), (None, leak), (None, text(4)), (3, leak), (3, text(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name: sorted(((r.doc_id, r.text) for r in stages[name](spark, docs, SF_DIR).collect()), key=str)
+    assert kept("ngram_jaccard_join") == sorted({r for r in rows if r[0] is not None} | {(None, leak), (None, text(4))}, key=str)
+    assert kept("benchmark_decontamination") == sorted([r for r in rows if item not in r[1]], key=str)
+
+
 def test_stages_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinline.llm.components import components
-from twinline.llm.flat import buckets, chunks, dealt, flat, mix, run_lengths, runs, unpacked, words
+from twinline.llm.flat import buckets, chunks, dealt, flat, lean, mix, run_lengths, runs, unpacked, words
 from twinline.llm.repeats import is_in
 from twinline.session import ship, written
 
@@ -119,8 +119,8 @@ def common_grams(docs: DataFrame, grams: int, percent: int, most: int) -> np.nda
         often = total >= COMMON_COUNT
         return pa.table({"key": keys[order][first][often].view(np.int64), "n": total[often]})
 
-    rows = docs.filter("text is not null").select("text").mapInArrow(scan, "bucket int, keys binary, counts binary")
-    counted = rows.groupBy("bucket").applyInArrow(add, "key long, n long")
+    rows = docs.filter("text is not null").select("text").mapInArrow(lean(scan), "bucket int, keys binary, counts binary")
+    counted = rows.groupBy("bucket").applyInArrow(lean(add), "key long, n long")
     top = counted.orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
     return np.sort(top.column("key").to_numpy().view(np.uint64))
 
@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame, grams: int, percent: int, common: np.ndarray)
                 names=["doc_id", "n_shingles", "fingerprint", "prefix"],
             )
 
-    return docs.mapInArrow(scan, "doc_id long, n_shingles long, fingerprint binary, prefix binary")
+    return docs.mapInArrow(lean(scan), "doc_id long, n_shingles long, fingerprint binary, prefix binary")
 
 
 def _chained(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +195,7 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
         links = np.unique(links, axis=0)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
-    return sets.mapInArrow(scan, PREFIX_ROWS).groupBy("bucket").applyInArrow(match, "a long, b long")
+    return sets.mapInArrow(lean(scan), PREFIX_ROWS).groupBy("bucket").applyInArrow(lean(match), "a long, b long")
 
 
 _NAMES = ("bucket", "keys", "docs", "sizes", "a", "b")
@@ -308,7 +308,7 @@ def with_members(docs: DataFrame, members: DataFrame) -> DataFrame:
         return pa.table({"chunk": pa.array([int(bits[0]) // CHUNK_BITS], pa.int32()), "bits": [np.packbits(chunk).tobytes()]})
 
     bits = members.select(_bit("doc_id").alias("bit")).distinct()
-    packed = bits.groupBy(F.shiftright("bit", CHUNK_BITS.bit_length() - 1)).applyInArrow(pack, "chunk int, bits binary")
+    packed = bits.groupBy(F.shiftright("bit", CHUNK_BITS.bit_length() - 1)).applyInArrow(lean(pack), "chunk int, bits binary")
     every = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in packed.collect():
         every[row["chunk"] * CHUNK_BITS // 8 :][: CHUNK_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
@@ -322,7 +322,7 @@ def with_members(docs: DataFrame, members: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield batch.select(["doc_id", "text"])
 
-    return docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(keep, "doc_id long, text string").join(members, "doc_id")
+    return docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(lean(keep), "doc_id long, text string").join(members, "doc_id")
 
 
 def search(members: DataFrame, docs: DataFrame, grams: int, percent: int, count: int) -> DataFrame:
@@ -351,13 +351,12 @@ def search(members: DataFrame, docs: DataFrame, grams: int, percent: int, count:
             found = similar_links(ids[group], [sets[i] for i in group.tolist()], indexed[group], percent, known[group])
             links += [(ids[group[a]], ids[group[b]]) for a, b in found]
         links = np.array(links, np.int64).reshape(-1, 2)
-        pa.default_memory_pool().release_unused()
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
-    sets = with_members(docs, members).mapInArrow(cut, "doc_id long, component long, class long, own long, tiles array<long>, grams binary")
+    sets = with_members(docs, members).mapInArrow(lean(cut), "doc_id long, component long, class long, own long, tiles array<long>, grams binary")
     rows = sets.select(*names[:-1], "grams", F.explode("tiles").alias("tile"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("component", "tile"), F.lit(count)))
-    return rows.groupBy("bucket", "tile").applyInArrow(match, "a long, b long")
+    return rows.groupBy("bucket", "tile").applyInArrow(lean(match), "a long, b long")
 
 
 def _dealt(name: str, parts: Column, draw: int) -> Column:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from twinline.llm.flat import lean
 from twinline.session import ship, written
 
 SAMPLE = 20_000
@@ -98,7 +99,7 @@ def lexicon(rows: DataFrame, most: int) -> dict[str, float]:
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return {}
-    counted = rows.select("text", "toxic").mapInArrow(words, "word string, toxic int, n long").groupBy("word").agg(
+    counted = rows.select("text", "toxic").mapInArrow(lean(words), "word string, toxic int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"),
     )
@@ -292,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
                 }
             )
 
-    found = rows.select("text", "toxic").mapInArrow(hits, "toxic int, places array<int>, grades array<int>, size int").collect()
+    found = rows.select("text", "toxic").mapInArrow(lean(hits), "toxic int, places array<int>, grades array<int>, size int").collect()
     chains = [(list(r["places"]), list(r["grades"]), r["size"], r["toxic"]) for r in found if r["places"]]
     weights = _train_field(chains[:SAMPLE_CHAINS])
     field = Field(grades, weights, np.zeros(4))
@@ -330,7 +331,7 @@ def score(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "te
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(apply, schema)
+    return docs.select(*kept).mapInArrow(lean(apply), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
