@@ -20,6 +20,9 @@ from twinline.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 GRAM_WORDS, SIMILAR_PERCENT = 5, 80
+# Sets that one search holds in its index, some 100 MB with what it takes to build it; a larger
+# component is searched in pieces. It steers memory alone.
+INDEX_SETS = 5_000
 REPEATED_BYTES = 100
 
 
@@ -36,7 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Equal rows of a document that stays are copies of it: one stays. Rows that share an id and
     differ in text are one document, so all its texts stay.
     """
-    classes = ngram_join.similar_documents(docs, GRAM_WORDS, SIMILAR_PERCENT)
+    classes = ngram_join.similar_documents(docs, GRAM_WORDS, SIMILAR_PERCENT, index_sets=INDEX_SETS)
     gone = classes.filter("component_id < doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     known = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
