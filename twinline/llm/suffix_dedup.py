@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from twinline.llm import repeats
-from twinline.llm.flat import BYTE_DRAW, buckets, chunks, dealt, flat, mix, run_lengths, runs, span_hash, unpacked
+from twinline.llm.flat import BYTE_DRAW, buckets, chunks, dealt, flat, lean, mix, run_lengths, runs, span_hash, unpacked
 from twinline.session import ship
 
 # Bytes of a gram, and bytes of text that are sorted at once (a single minimizer's may be more).
 GRAM = 32
-SORTED_BYTES = 2 << 20
+SORTED_BYTES = 1 << 17
 # Different segments from which on a minimizer's strings are dealt one by one, and the share of
 # documents (one in so many) in which they are counted. Both only steer the cost.
 HOT_SEGMENTS, SAMPLED = 10_000, 16
@@ -143,8 +143,8 @@ def boundaries(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     by_byte = np.argsort(before, kind="stable")
     reached = np.ones(n, bool)
     reached[1:] = before[by_byte][1:] != before[by_byte][:-1]
-    pairs = np.flatnonzero(~reached)
-    left, right = by_byte[pairs - 1], by_byte[pairs]
+    pairs = np.flatnonzero(~reached).astype(np.int32)
+    left, right = by_byte[pairs - 1].astype(np.int32), by_byte[pairs].astype(np.int32)
     for _ in range(1, length):
         seen = np.cumsum(reached, dtype=np.int32)
         parted = seen[left] != seen[right]
@@ -313,7 +313,7 @@ def segments(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
         marked = marked.join(strings, "doc_id", "left")
     else:
         marked = marked.withColumn("_strings", F.lit(None).cast("array<long>"))
-    return marked.mapInArrow(cut, SEGMENT_ROWS)
+    return marked.mapInArrow(lean(cut), SEGMENT_ROWS)
 
 
 def repeated_runs(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
@@ -344,7 +344,7 @@ def repeated_runs(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
         doc, start, stop = (np.concatenate(x) for x in zip(*found))
         return pa.table({"doc_id": doc, "start": start, "stop": stop})
 
-    return segments(docs, length, gram).groupBy("bucket").applyInArrow(match, "doc_id long, start long, stop long")
+    return segments(docs, length, gram).groupBy("bucket").applyInArrow(lean(match), "doc_id long, start long, stop long")
 
 
 _SEGMENT_NAMES = ("bucket", "texts", "sizes", "keys", "docs", "starts", "known")
@@ -402,7 +402,7 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in docs_columns), *new], names=schema.names)
 
     docs_columns = docs.columns
-    return repeats.with_runs(docs, repeated_runs(docs, length, gram)).mapInArrow(apply, schema)
+    return repeats.with_runs(docs, repeated_runs(docs, length, gram)).mapInArrow(lean(apply), schema)
 
 
 def digests(removed: DataFrame) -> DataFrame:
