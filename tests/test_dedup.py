@@ -215,6 +215,25 @@ def test_similar_sets_share_a_key(spark, sets, t):
             assert rooms and max(rooms) >= needed
 
 
+@pytest.mark.parametrize("t", [0.95, 0.8, 0.6])
+def test_a_token_is_filed_once(spark, t):
+    """A set files no more than a similar set can lack, whatever sizes partners have, and no token twice."""
+    table = spark.createDataFrame([(n, 1, [f"w{n}x{i}" for i in range(n)]) for n in range(1, 90)], "rep long, copies long, tokens array<string>")
+    filed = {}
+    for r in dedup.prefix_keys(dedup.rarest_first(table), t).collect():
+        filed.setdefault(r.rep, []).append(r.key)
+    assert len(filed) > 50 and all(len(k) == len(set(k)) <= n - n * t + 1 for n, k in filed.items())
+
+
+@pytest.mark.parametrize("few", [1, 6, 32])
+def test_blocks_of_any_size_lose_no_link(pairs, monkeypatch, few):
+    """Small blocks are compared as pairs, large ones as blocks; pairs that meet in both count once."""
+    monkeypatch.setattr(dedup, "PAIR_ROWS", few)
+    rows = corpus(12, 60, 40, 30) + [(i + 1000, t, "x") for i, t, _ in hot_corpus()[:70]]
+    assert joined(pairs(*rows), 0.8) == plain_join(rows, 0.8)
+    assert ids(dedup.near_dup_exact(pairs(*rows), 0.8)) == brute_force(rows, 0.8)
+
+
 def test_lsh_drops_a_part_of_what_exact_drops(pairs):
     rows = corpus(3, 150, 200, 60)
     df = pairs(*rows)
