@@ -232,3 +232,17 @@ def test_scores_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert [round(float(x), 6) for x in done.stdout.split()] == [100.0, 1.0, 1.0], done.stderr[-2000:]
+
+
+def test_text_scores_in_one_function(spark):
+    """All statistics of texts come from one function of each batch, and are those of the single scores."""
+    texts = ["a b a b", "one, two... 3.5-4 (x)", "", None, "a\u00a0b\x1cc", "the end."]
+    rows = [("m", i * 10 + j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    df = spark.createDataFrame(rows, "model_key string, id int, prediction string, reference string")
+    by = ("model_key",)
+    scores = metrics.text_scores(df)
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = scores.first().asDict()
+    single = [metrics.bleu(df, by), metrics.rouge_l(df, by), metrics.distinct_n(df, 1, by), metrics.distinct_n(df, 2, by)]
+    want = {k: v for one in single for k, v in one.first().asDict().items() if k in got}
+    assert set(want) == set(got) and all(got[k] == (v if k == "model_key" else pytest.approx(v)) for k, v in want.items())

@@ -9,7 +9,7 @@ from pyspark.sql.types import IntegerType
 
 from twinline.columns import SOURCE, TARGET
 from twinline.functions.editing import distances
-from twinline.functions.text import BENGALI, share_outside_script, token_count, token_set
+from twinline.functions.text import BENGALI, let, share_outside_script, token_count, token_set
 from twinline.session import ship
 
 
@@ -36,9 +36,14 @@ def len_ratio(source: str = SOURCE, target: str = TARGET) -> Column:
 
 def word_overlap(source: str = SOURCE, target: str = TARGET) -> Column:
     """Jaccard similarity of the lower-cased token sets; 0 if a side is null."""
-    left, right = token_set(F.col(source)), token_set(F.col(target))
-    union = F.size(F.array_union(left, right))
-    return F.when(union > 0, F.size(F.array_intersect(left, right)) / union).otherwise(F.lit(0.0))
+    def overlap(sets: Column) -> Column:
+        shared = F.size(F.array_intersect(sets["left"], sets["right"]))
+        return let(shared, lambda n: n / (F.size(sets["left"]) + F.size(sets["right"]) - n))
+
+    # Each set is made once; none is empty.
+    sets = F.struct(token_set(F.col(source)).alias("left"), token_set(F.col(target)).alias("right"))
+    known = F.col(source).isNotNull() & F.col(target).isNotNull()
+    return F.when(known, let(sets, overlap)).otherwise(F.lit(0.0))
 
 
 @F.pandas_udf(IntegerType())
