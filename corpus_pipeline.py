@@ -20,9 +20,9 @@ from twinline.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 GRAM_WORDS, SIMILAR_PERCENT = 5, 80
-# Sets that one search holds in its index, some 100 MB with what it takes to build it; a larger
+# Sets that one search holds in its index, some 40 MB with what it takes to build it; a larger
 # component is searched in pieces. It steers memory alone.
-INDEX_SETS = 5_000
+INDEX_SETS = 2_000
 REPEATED_BYTES = 100
 
 
