@@ -141,6 +141,18 @@ def test_edit_distances_of_long_texts_and_many_characters(monkeypatch):
     assert editing.distances(texts, texts[::-1]).tolist() == [plain_distance(x, y) for x, y in zip(texts, texts[::-1])]
 
 
+def test_texts_of_all_lengths_advance_together(monkeypatch):
+    """Pairs of 1 to 12 words of 64 characters take one series of steps, not one for each number of words."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abcde ", k=64 * (i % 12) + rng.randint(1, 64))) for i in range(120)]
+    calls, together = [], editing._together
+    monkeypatch.setattr(editing, "_together", lambda *given: calls.append(1) or together(*given))
+    monkeypatch.setattr(editing, "ENOUGH", 1)
+    got = editing.distances(texts, [t[5:] + "xy" for t in texts])
+    assert len(calls) == 1
+    assert got.tolist() == [plain_distance(t, t[5:] + "xy") for t in texts]
+
+
 def test_char_overlap_agrees_with_levenshtein(spark, pairs):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choices("abü ", k=rng.randint(0, 90))), "".join(rng.choices("abü ", k=rng.randint(0, 90)))) for i in range(200)]
