@@ -6,6 +6,7 @@ import subprocess
 import sys
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,24 @@ def test_text_scores_in_one_function(spark):
     single = [metrics.bleu(df, by), metrics.rouge_l(df, by), metrics.distinct_n(df, 1, by), metrics.distinct_n(df, 2, by)]
     want = {k: v for one in single for k, v in one.first().asDict().items() if k in got}
     assert set(want) == set(got) and all(got[k] == (v if k == "model_key" else pytest.approx(v)) for k, v in want.items())
+
+
+def test_each_word_of_a_batch_is_cut_once(monkeypatch):
+    """Runs that share references, and words that recur, cost no more rules than different words there are."""
+    rng = random.Random(12)
+    words = ["boat", "boat,", "3.5", "3.", "x-1", "(ok)", "it's", "...", "&amp;a", "é.", "1,5,"]
+    references = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(20)] + [None]
+    rows = [(p, r) for r in references for p in (r, " ".join(rng.choices(words, k=6)), "")]
+    p, r = (pd.Series(side, dtype=object) for side in zip(*rows))
+    cut, pieces = [], metrics._pieces_13a
+    monkeypatch.setattr(metrics, "_pieces_13a", lambda word: cut.append(word) or pieces(word))
+    got = metrics.text_statistics.func(p, r, p, r)
+    assert len(cut) == len(set(cut)) <= len(words) + 1
+    for (a, b), row in zip(rows, got.itertuples()):
+        x, y = (metrics._tokens_13a(t) for t in (a, b))
+        plain = (a or "").split()
+        for n in (1, 2, 3, 4):
+            left, right = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (x, y))
+            assert getattr(row, f"match_{n}") == sum((left & right).values())
+        assert (row.sys_len, row.ref_len, row.unique_1, row.grams_2) == (len(x), len(y), len(set(plain)), max(0, len(plain) - 1))
+        assert row.unique_2 == len(set(zip(plain, plain[1:])))
