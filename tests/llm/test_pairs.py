@@ -1,6 +1,7 @@
 """Similarity join, components, neighbours and leaks against brute force."""
 
 import random
+import types
 
 import numpy as np
 import pytest
@@ -245,3 +246,21 @@ def test_leaks_against_edit_distance(spark):
     one = [r for r in got if r.item_id == 12 and r.doc_id == 2]
     assert [(r.start, r.stop) for r in one] == [(0, len("abc  DÉFG".encode()))]
     assert decontaminate.leaks(docs.limit(0), table).count() == decontaminate.leaks(docs, table.limit(0)).count() == 0
+
+
+def test_copies_without_edits_take_no_table(monkeypatch):
+    """An exact copy is one diagonal of equal bytes; only others are aligned row by row."""
+    rows = []
+    watched = types.SimpleNamespace(**vars(np))
+    watched.maximum = types.SimpleNamespace(accumulate=lambda x: rows.append(1) or np.maximum.accumulate(x))
+    monkeypatch.setattr(decontaminate, "np", watched)
+    flat = lambda t: np.frombuffer(t.encode(), np.uint8)
+    pattern = "the quick brown fox jumps over it"
+    for text, low, width, want in (
+        (f"xx {pattern} {pattern}", 0, 40, (0, 3, 3 + len(pattern))),
+        (f"xx {pattern}", 0, 3, None),  # it lies beyond the band
+        (f"xx {pattern.replace('brown', 'br0wn')} yy", 0, 6, (1, 3, 3 + len(pattern))),
+    ):
+        rows.clear()
+        assert decontaminate._banded(flat(pattern), flat(text), low, width, 3 if want else 0) == want
+        assert bool(rows) == (want is None or want[0] > 0)

@@ -150,28 +150,32 @@ def _banded(pattern: np.ndarray, text: np.ndarray, low: int, width: int, budget:
     """Edit distance of the whole pattern to any part of the text, on diagonals low to low + width - 1.
 
     Cell c of row i is the text's place i + low + c; its cost and where its alignment
-    began are carried together, so that the start is known without going back.
+    began are carried together, so that the start is known without going back. An alignment
+    without edits is one diagonal of equal bytes; the first one in the band is the best.
     """
+    same = text.tobytes().find(pattern.tobytes())
+    if low <= same <= low + width - 1 and same >= 0:
+        return 0, same, same + len(pattern)
     far = 1 << 20
     n, cell = len(text), np.arange(width)
-    place = low + cell
-    cost = np.where((place >= 0) & (place <= n), 0, far)
-    start = place.copy()
+    # Row i has the places from i on, of all that the band passes: letters, and what lies outside of the text.
+    places = low + np.arange(len(pattern) + width)
+    letters = np.full(len(places), -1, np.int64)
+    has = (places >= 1) & (places <= n)
+    letters[has] = text[places[has] - 1]
+    outside = np.where((places >= 0) & (places <= n), 0, far)
+    no_letter = np.where(has, 0, far)
+    cost, start = outside[:width].copy(), places[:width].copy()
+    above, from_above = np.full(width, far), np.zeros(width, np.int64)
     for i in range(1, len(pattern) + 1):
-        place = i + low + cell
-        valid = (place >= 0) & (place <= n)
-        letter = np.full(width, -1, np.int64)
-        has = valid & (place >= 1)
-        letter[has] = text[place[has] - 1]
-        across = np.where(has, cost + (letter != pattern[i - 1]), far)
-        above = np.append(cost[1:] + 1, far)
-        take = above < across
-        new = np.where(valid, np.where(take, above, across), far)
-        begun = np.where(take, np.append(start[1:], 0), start)
+        across = cost + (letters[i : i + width] != pattern[i - 1]) + no_letter[i : i + width]
+        above[:-1], from_above[:-1] = cost[1:] + 1, start[1:]
+        new = np.minimum(above, across) + outside[i : i + width]
+        begun = np.where(above < across, from_above, start)
         # Letters of the text that the pattern lacks: the least of cost - cell so far.
         slant = new - cell
         source = np.maximum.accumulate(np.where(slant == np.minimum.accumulate(slant), cell, 0))
-        cost = np.where(valid, slant[source] + cell, far)
+        cost = np.where(outside[i : i + width], far, slant[source] + cell)
         start = begun[source]
         if cost.min() > budget:
             return None
