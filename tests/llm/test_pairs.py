@@ -4,6 +4,7 @@ import random
 import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from twinline.llm import decontaminate, multi_index, ngram_join
@@ -93,6 +94,19 @@ def test_order_of_grams_changes_nothing(docs_of, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes(texts, 4, 85)
 
 
+def test_texts_are_taken_in_small_slices(monkeypatch):
+    """Grams come from a few texts at a time, whatever the batch holds, and are those of each text alone."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices(["ab", "cde", "F", "ghij"], k=rng.randint(0, 400))) for _ in range(1200)] + [None]
+    held, words = [], ngram_join.words
+    monkeypatch.setattr(ngram_join, "words", lambda data, *more, **kinds: held.append(len(data)) or words(data, *more, **kinds))
+    got = list(ngram_join.gram_sets(pa.array(texts), 3))
+    assert sum(held) > 5 * max(held)
+    assert [row for row, _ in got] == list(range(len(texts)))
+    for row, found in got[::97] + got[-1:]:
+        assert found.tolist() == next(ngram_join.gram_sets(pa.array([texts[row]], pa.string()), 3))[1].tolist()
+
+
 def test_null_ids_repeats_and_empty_tables(spark):
     rows = [(3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (5, "a b c d e"), (6, None), (4, "p q r s"), (7, "p q r s"), (4, "x y z u")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

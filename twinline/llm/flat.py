@@ -85,7 +85,7 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64 and of its inverse, ``length`` of them at least."""
-    return _powers(max(1 << 20, 1 << max(0, length - 1).bit_length()))
+    return _powers(max(1 << 18, 1 << max(0, length - 1).bit_length()))
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -104,12 +104,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) for runs of rows of about CHUNK_BYTES."""
+def chunks(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) for runs of rows of about ``size`` bytes (CHUNK_BYTES)."""
     data, offsets = flat(column)
     row = 0
     while row < len(column):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (size or CHUNK_BYTES), "right")) - 1)
         yield row, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
 

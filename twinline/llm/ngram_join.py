@@ -35,6 +35,8 @@ from twinline.session import ship, written
 
 # Documents whose sets are held at once before they are sent on.
 SLICE_ROWS = 500
+# Bytes of text whose grams are made at once: some 100 bytes of memory for each.
+TEXT_BYTES = 1 << 17
 # Sets in the index of one search, and entries that are merged by a heap (more by sorting).
 INDEX_SETS = 20_000
 # A tile of a search is numbered block * SLICES + slice.
@@ -56,7 +58,13 @@ def gram_sets(column: pa.Array, grams: int) -> Iterator[tuple[int, np.ndarray]]:
     The first bits of a hash count down from the gram's length, so long grams come first.
     A text of fewer words has one gram, all of them; one without words has none.
     """
-    for row, data, offsets in chunks(column):
+    # Rows are taken from the batch few at a time, so that no copy of all its texts is made.
+    slices = (
+        (at + row, data, offsets)
+        for at in range(0, len(column), SLICE_ROWS)
+        for row, data, offsets in chunks(column.slice(at, SLICE_ROWS), TEXT_BYTES)
+    )
+    for row, data, offsets in slices:
         names, rows, begins, ends = words(data, offsets, lower=True)
         size = np.concatenate(([0], np.cumsum(ends - begins)))
         first = np.searchsorted(rows, np.arange(len(offsets)))
@@ -315,12 +323,14 @@ def with_members(docs: DataFrame, members: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(every)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            known = shared.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1
-            batch = batch.filter(pa.array(known.astype(bool)))
-            if batch.num_rows:
-                yield batch.select(["doc_id", "text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                bit = batch.column("bit").to_numpy()
+                known = shared.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1
+                batch = batch.filter(pa.array(known.astype(bool)))
+                if batch.num_rows:
+                    yield batch.select(["doc_id", "text"])
 
     return docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(lean(keep), "doc_id long, text string").join(members, "doc_id")
 
