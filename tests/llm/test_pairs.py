@@ -75,6 +75,53 @@ def test_no_search_outgrows_a_task(docs_of, monkeypatch):
     assert sum(map(sum, groups)) < 300 * 10 / 2  # and not each set in each block
 
 
+def test_no_search_outgrows_a_task_by_long_texts(docs_of, monkeypatch):
+    # Few sets, but long ones: a family of near copies, one that has half of its words, and texts with one passage of it.
+    monkeypatch.setattr(ngram_join, "INDEX_GRAMS", 1000, raising=False)
+    monkeypatch.setattr(ngram_join, "HELD_GRAMS", 700, raising=False)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    base = [word() for _ in range(200)]
+    other = base[:100] + [word() for _ in range(100)]
+    texts = [" ".join((other if i % 5 == 0 else base)[:199] + [f"x{i}"]) for i in range(30)]
+    texts += [" ".join(base[:12] + [word() for _ in range(188)]) for _ in range(30)]
+    held, whole = [], ngram_join.search
+
+    def spied(members, *args):
+        tiles = members.selectExpr("doc_id", "component", "explode(tiles) tile").collect()
+        grams = {}
+        for r in tiles:
+            grams[r.component, r.tile] = grams.get((r.component, r.tile), 0) + len(texts[r.doc_id].split()) - 1
+        held.append(grams)
+        return whole(members, *args)
+
+    monkeypatch.setattr(ngram_join, "search", spied)
+    got = ngram_join.similar_documents(docs_of(texts), 2, 70).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes(texts, 2, 70)
+    assert len(held) == 4  # small components, pieces, classes, tiles
+    assert max(max(x.values(), default=0) for x in held) <= 4 * 1000
+
+
+def test_only_shared_grams_are_left(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HELD_GRAMS", 60)
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        known = [rng.randint(0, 90) for _ in range(rng.randint(0, 30))]
+        fresh = [1000 * (i + 1) + k for k in range(rng.randint(1, 12))]
+        rows.append((i - (i == 59), i % 3, np.unique(np.array(known + fresh, np.uint64))))  # two sets have one id
+    df = spark.createDataFrame([(i, c, len(g), bytearray(g.tobytes())) for i, c, g in rows], "doc_id long, component long, n_shingles long, grams binary")
+    got = ngram_join.shared_grams(df.repartition(2), 60, 5).collect()
+    want = []
+    for at, (i, c, g) in enumerate(rows):
+        others = set().union(*(set(h.tolist()) for k, (_, d, h) in enumerate(rows) if d == c and k != at))
+        left = len(others & set(g.tolist()))
+        if left and 100 * left >= 60 * len(g):
+            want.append((i, len(g), left))
+    assert sorted((r.doc_id, r.n_shingles, len(r.grams) // 8) for r in got) == sorted(want)
+    assert 0 < len(want) < 60
+
+
 def test_tiles_bring_all_classes_together(spark):
     rows = [(i, 0, 0 if i % 3 else i % 7 + 1) for i in range(200)]
     got = ngram_join.in_tiles(spark.createDataFrame(rows, "doc_id long, component long, class long"), 10).collect()

@@ -12,19 +12,22 @@ length, the longest first, as frequent words are short and long grams mostly uni
 for the grams filed most often (``COMMON_GRAMS`` at most), which all come last. So a
 passage that many documents share doesn't bring them together. Sets that share a filed hash and
 whose sizes allow it are linked; the components of those links are the indexes in which
-the search runs, many small ones to a task. A large one is searched in pieces, then among
-the smallest of each class found, and last only for sets that share a filed gram with
-a set of another class, so that neither side of a search outgrows a task.
+the search runs, many small ones to a task. In a large one, by sets or by grams, only grams that two of its
+sets have are kept, and sets that have enough of them left to be similar to another. What is
+still large is searched in pieces, then among the smallest of each class found, and last
+only for sets that share a filed gram with a set of another class, so that neither side of
+a search outgrows a task.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,10 @@ SLICE_ROWS = 500
 TEXT_BYTES = 1 << 17
 # Sets in the index of one search, and entries that are merged by a heap (more by sorting).
 INDEX_SETS = 20_000
+# Grams in the index of one search: 16 MB, and some 60 MB with what it takes to build it.
+INDEX_GRAMS = 2_000_000
+# Grams that are held at once before they are sent on.
+HELD_GRAMS = 1 << 18
 # A tile of a search is numbered block * SLICES + slice.
 SLICES = 1 << 31
 # Grams that come last in the order, at most (8 bytes each, sent to all tasks), and how often
@@ -50,6 +57,7 @@ FILTER_BITS, CHUNK_BITS = 1 << 25, 1 << 15
 HEAP_ENTRIES = 400
 
 PREFIX_ROWS = "bucket int, keys binary, docs binary, sizes binary, a binary, b binary"
+GRAM_ROWS = "bucket int, told boolean, keys binary, sets binary, docs binary, sizes binary, often binary"
 
 
 def gram_sets(column: pa.Array, grams: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -215,19 +223,25 @@ def _rows(packed: pa.RecordBatch) -> pa.RecordBatch:
 
 
 class Index:
-    """Inverted lists over sets, each of sorted distinct hashes; a set is known by its place."""
+    """Inverted lists over sets, each of distinct hashes; a set is known by its place.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+    ``sizes`` are those of the whole sets, of which grams that no other set has may be left out.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray | None = None):
+        held = np.array([len(s) for s in sets], np.int64)
+        self.sizes = held if sizes is None else sizes
         every = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        order = np.lexsort((owner, every))
-        every, self.owners = every[order], owner[order]
+        order = np.argsort(every, kind="stable")
+        every, self.owners = every[order], np.repeat(np.arange(len(sets)), held)[order]
+        del order
         first = runs(every)
         self.grams, self.begins = every[first], np.append(first, len(every))
 
     def lists(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begins and lengths of the inverted lists of the grams that the index has."""
+        if not len(self.grams):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
         at = at[self.grams[at] == found]
         return self.begins[at], self.begins[at + 1] - self.begins[at]
@@ -270,10 +284,11 @@ class Index:
 
 
 def similar_links(
-    ids: np.ndarray, sets: list[np.ndarray], indexed: np.ndarray, percent: int, known: np.ndarray
+    ids: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, indexed: np.ndarray, percent: int, known: np.ndarray
 ) -> Iterator[tuple[int, int]]:
     """Links of the search of each set in the index of those ``indexed`` (a mask).
 
+    ``sizes`` are those of the whole sets, of which grams that no other set has may be left out.
     ``known`` tells classes that are linked before. Not every pair: sets that are linked already, over any way, are not searched again,
     so a group of n copies gives n - 1 links. Sets of one component of the result are
     exactly those that similar pairs connect.
@@ -281,12 +296,12 @@ def similar_links(
     places = np.flatnonzero(indexed)
     if not len(places):
         return
-    index = Index([sets[i] for i in places])
+    index = Index([sets[i] for i in places], sizes[places])
     root = np.unique(known, return_inverse=True)[1]
     # Everything that looks like the first unlinked one is linked to it, until the rest is
     # searched; a set that has found its group looks only for sets outside of it.
     for i in np.argsort(ids, kind="stable").tolist():
-        n = len(sets[i])
+        n = int(sizes[i])
         wanted = (root[places] != root[i]) & (100 * index.sizes >= percent * n) & (100 * n >= percent * index.sizes)
         if not wanted.any():
             continue
@@ -335,36 +350,125 @@ def with_members(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", _bit("doc_id").alias("bit")).mapInArrow(lean(keep), "doc_id long, text string").join(members, "doc_id")
 
 
-def search(members: DataFrame, docs: DataFrame, grams: int, percent: int, count: int) -> DataFrame:
+def gram_rows(rows: DataFrame, grams: int) -> DataFrame:
+    """``rows`` with n_shingles and grams, the hashes of a set, in place of the text."""
+    names = [c for c in rows.columns if c != "text"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, body, held = 0, [], 0
+            for row, found in gram_sets(batch.column("text"), grams):
+                body.append(found.tobytes())
+                held += len(found)
+                if held >= HELD_GRAMS or row + 1 == batch.num_rows:
+                    part = batch.slice(begin, len(body))
+                    sizes = pa.array([len(x) // 8 for x in body], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sizes, pa.array(body, pa.binary())], names=[*names, "n_shingles", "grams"])
+                    begin, body, held = row + 1, [], 0
+
+    kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes if c != "text")
+    return rows.mapInArrow(lean(cut), f"{kinds}, n_shingles long, grams binary")
+
+
+def shared_grams(rows: DataFrame, percent: int, count: int) -> DataFrame:
+    """``(doc_id, n_shingles, grams)`` of sets that can be similar to another of their component.
+
+    ``rows`` has component, too. Grams are hashed anew with the component, and those that
+    no other set of it has are left out; n_shingles stays the size of the whole set. A
+    gram goes to its count once for each ``HELD_GRAMS`` grams, however many sets have it.
+    """
+
+    def deal(to: np.ndarray, told: bool, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        packed = dealt((mix(to) % np.uint64(count)).astype(np.int32), columns)
+        return pa.RecordBatch.from_arrays([packed.column(0), pa.array([told] * packed.num_rows), *packed.columns[1:]], names=["bucket", "told", *columns])
+
+    def send(held: list[tuple[np.ndarray, int, int, int]]) -> Iterator[pa.RecordBatch]:
+        lengths = [len(keys) for keys, *_ in held]
+        keys = np.concatenate([keys for keys, *_ in held])
+        columns = {"keys": keys}
+        for name, k, kind in (("sets", 1, np.uint64), ("docs", 2, np.int64), ("sizes", 3, np.int64)):
+            columns[name] = np.repeat(np.array([x[k] for x in held], kind), lengths)
+        order = np.argsort(keys, kind="stable")
+        first = runs(keys[order])
+        often = np.zeros(len(keys), np.uint8)
+        often[order[first]] = run_lengths(first, len(keys)) > 1
+        columns["often"] = often
+        once = np.zeros(len(keys), bool)
+        once[order[first]] = True
+        for told, some in ((False, once), (True, ~once)):
+            if some.any():
+                yield deal(columns["sets" if told else "keys"][some], told, {name: values[some] for name, values in columns.items()})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = batch.column("doc_id").to_numpy(), batch.column("n_shingles").to_numpy()
+            components = mix(batch.column("component").to_numpy().astype(np.uint64))
+            data, offsets = flat(batch.column("grams"))
+            held, size = [], 0
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                found = data[a:b].view(np.uint64)
+                if len(found):
+                    name = mix(found).sum(dtype=np.uint64) ^ mix(ids[i : i + 1].astype(np.uint64))[0]
+                    held.append((mix(found ^ components[i]), name, ids[i], sizes[i]))
+                    size += len(found)
+                if held and (size >= HELD_GRAMS or i + 1 == batch.num_rows):
+                    yield from send(held)
+                    held, size = [], 0
+
+    kinds = (("keys", "u8"), ("sets", "u8"), ("docs", "i8"), ("sizes", "i8"))
+
+    def match(table: pa.Table) -> pa.Table:
+        told = table.filter(table.column("told"))
+        asked = table.filter(pc.invert(table.column("told")))
+        keys = unpacked(asked, "keys", "u8")
+        _, place, times = np.unique(keys, return_inverse=True, return_counts=True)
+        times += np.bincount(place[unpacked(asked, "often", "u1").astype(bool)], minlength=len(times))
+        keep = times[place] > 1
+        columns = {name: np.concatenate((unpacked(asked, name, kind)[keep], unpacked(told, name, kind))) for name, kind in kinds}
+        return pa.Table.from_batches([dealt((mix(columns["sets"]) % np.uint64(count)).astype(np.int32), columns)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        keys, sets, docs, sizes = (unpacked(table, name, kind) for name, kind in kinds)
+        order = np.lexsort((keys, sets))
+        new = np.ones(len(order), bool)  # rows that are equal sent the same
+        new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (sets[order[1:]] != sets[order[:-1]])
+        order = order[new]
+        first = runs(sets[order])
+        last = np.append(first[1:], len(order))
+        ids, n, keys = docs[order[first]], sizes[order[first]], keys[order]
+        keep = np.flatnonzero((last - first) * 100 >= n * percent)
+        body = [keys[first[i] : last[i]].tobytes() for i in keep.tolist()]
+        return pa.table({"doc_id": ids[keep], "n_shingles": n[keep], "grams": pa.array(body, pa.binary())})
+
+    packed = rows.select("doc_id", "component", "n_shingles", "grams").mapInArrow(lean(scan), GRAM_ROWS)
+    told = packed.groupBy("bucket").applyInArrow(lean(match), "bucket int, keys binary, sets binary, docs binary, sizes binary")
+    return told.groupBy("bucket").applyInArrow(lean(gather), "doc_id long, n_shingles long, grams binary")
+
+
+def search(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, count: int) -> DataFrame:
     """Links ``(a, b)`` of similar sets, of those that meet in a tile.
 
     ``members`` has doc_id, component, class (linked before), tiles, and own, the block of
-    tiles in which a set is indexed (-1: in none); in others it is searched.
+    tiles in which a set is indexed (-1: in none); in others it is searched. ``sets_of`` gives
+    them their n_shingles and grams.
     """
-    names = ["doc_id", "component", "class", "own", "tiles"]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
-                body = [found.tobytes() for _, found in gram_sets(batch.column("text"), grams)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(body, pa.binary())], names=[*names, "grams"])
 
     def match(table: pa.Table) -> pa.Table:
-        ids, component = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+        ids, component, sizes = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
         known, indexed = table.column("class").to_numpy(), table.column("own").to_numpy() == table.column("tile").to_numpy() // SLICES
-        data, offsets = flat(table.column("grams").combine_chunks())
-        sets = [data[a:b].view(np.uint64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        sets = []
+        for chunk in table.column("grams").chunks:
+            data, offsets = flat(chunk)
+            sets += [data[a:b].view(np.uint64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         links = []
         order = np.argsort(component, kind="stable")
         for group in np.split(order, runs(component[order])[1:]):
-            found = similar_links(ids[group], [sets[i] for i in group.tolist()], indexed[group], percent, known[group])
+            found = similar_links(ids[group], [sets[i] for i in group.tolist()], sizes[group], indexed[group], percent, known[group])
             links += [(ids[group[a]], ids[group[b]]) for a, b in found]
         links = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
-    sets = with_members(docs, members).mapInArrow(lean(cut), "doc_id long, component long, class long, own long, tiles array<long>, grams binary")
-    rows = sets.select(*names[:-1], "grams", F.explode("tiles").alias("tile"))
+    rows = sets_of(members).select("doc_id", "component", "class", "own", "n_shingles", "grams", F.explode("tiles").alias("tile"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("component", "tile"), F.lit(count)))
     return rows.groupBy("bucket", "tile").applyInArrow(lean(match), "a long, b long")
 
@@ -373,34 +477,49 @@ def _dealt(name: str, parts: Column, draw: int) -> Column:
     return F.pmod(F.xxhash64(name, F.lit(draw)), parts)
 
 
+def _parts(sets: Column, load: Column, index_sets: int) -> Column:
+    """Into how many searches so many sets go, whose grams take ``load`` of them."""
+    return F.ceil(F.greatest(sets / index_sets, load)).cast("long")
+
+
+def too_large(sets: DataFrame, index_sets: int) -> DataFrame:
+    """Components of ``sets`` that one search can't hold."""
+    parts = sets.groupBy("component").agg(_parts(F.count("*"), F.sum("load"), index_sets).alias("parts"))
+    return parts.filter("parts > 1").select("component")
+
+
 def in_pieces(sets: DataFrame, index_sets: int, draw: int) -> DataFrame:
-    """Members for :func:`search` from (doc_id, component, class): each set in one piece."""
-    sizes = sets.groupBy("component").agg(F.ceil(F.count("*") / index_sets).alias("pieces"))
+    """Members for :func:`search` from (doc_id, component, class, load): each set in one piece."""
+    sizes = sets.groupBy("component").agg(_parts(F.count("*"), F.sum("load"), index_sets).alias("pieces"))
     dealt_out = sets.join(sizes, "component").withColumn("own", _dealt("doc_id", F.col("pieces"), draw))
-    return dealt_out.select("doc_id", "component", "class", "own", F.array(F.col("own") * SLICES + F.col("own")).alias("tiles"))
+    return dealt_out.select("doc_id", "component", "class", "load", "own", F.array(F.col("own") * SLICES + F.col("own")).alias("tiles"))
 
 
 def in_tiles(sets: DataFrame, index_sets: int) -> DataFrame:
     """Members for :func:`search` from (doc_id, component, class): all sets of different classes meet.
 
     The sets of all classes but the largest are dealt over blocks, which are indexed, and
-    all sets over slices, which are searched in each block.
+    all sets over slices, which are searched in each block. Without a load, sets count alone.
     """
-    classes = sets.groupBy("component", "class").agg(F.count("*").alias("n"))
+    if "load" not in sets.columns:
+        sets = sets.withColumn("load", F.lit(0.0))
+    classes = sets.groupBy("component", "class").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
+    largest = F.max(F.struct("n", "class", "load"))
     sizes = classes.groupBy("component").agg(
-        F.max(F.struct("n", "class"))["class"].alias("largest"),
-        F.ceil((F.sum("n") - F.max("n")) / index_sets).alias("blocks"),
-        F.ceil(F.sum("n") / index_sets).alias("slices"),
+        largest["class"].alias("largest"),
+        _parts(F.sum("n") - F.max("n"), F.sum("load") - largest["load"], index_sets).alias("blocks"),
+        _parts(F.sum("n"), F.sum("load"), index_sets).alias("slices"),
+        (F.count("*") > 1).alias("several"),
     )
     block, slice_ = _dealt("doc_id", F.col("blocks"), 2), _dealt("doc_id", F.col("slices"), 3)
     searched = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x * SLICES + F.col("slice"))
     indexed = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda x: F.col("own") * SLICES + x)
     return (
-        sets.join(sizes.filter("blocks > 0"), "component")
+        sets.join(sizes.filter("several").withColumn("blocks", F.greatest("blocks", F.lit(1).cast("long"))), "component")
         .withColumn("own", F.when(F.col("class") == F.col("largest"), F.lit(-1).cast("long")).otherwise(block))
         .withColumn("slice", slice_)
         .withColumn("tiles", F.when(F.col("own") < 0, searched).otherwise(F.array_union(searched, indexed)))
-        .select("doc_id", "component", "class", "own", "tiles")
+        .select("doc_id", "component", "class", "load", "own", "tiles")
     )
 
 
@@ -422,25 +541,44 @@ def unsettled(sets: DataFrame, classes: DataFrame) -> DataFrame:
 def linked(near: DataFrame, sets: DataFrame, docs: DataFrame, grams: int, percent: int, index_sets: int) -> DataFrame:
     """Links ``(a, b)`` that connect just the sets that similar pairs connect; ``near`` has node and component."""
 
-    def searched(members: DataFrame) -> DataFrame:
-        rows = members.agg(F.sum(F.size("tiles"))).first()[0] or 0
-        return written(search(members, docs, grams, percent, max(buckets(docs), -(-rows // index_sets))), "links")
+    def searched(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        rows = members.agg(F.sum(F.size("tiles")), F.sum(F.size("tiles") * F.col("load"))).first()
+        count = max(buckets(docs), -(-(rows[0] or 0) // index_sets), math.ceil(rows[1] or 0))
+        return written(search(members, sets_of, percent, count), "links")
+
+    def loaded(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+        loads = sizes.groupBy("doc_id").agg((F.sum("n") / INDEX_GRAMS).alias("load"))
+        return written(nodes.join(loads, "doc_id").select("doc_id", "component", F.col("doc_id").alias("class"), "load"), "nodes")
+
+    def cut(members: DataFrame) -> DataFrame:
+        return gram_rows(with_members(docs, members), grams)
 
-    alone = near.select(F.col("node").alias("doc_id"), "component", F.col("node").alias("class"))
-    links = searched(in_pieces(alone, index_sets, 0))
-    large = near.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > index_sets).select("component")
+    nodes = loaded(near.withColumnRenamed("node", "doc_id"), sets.select("doc_id", F.col("n_shingles").alias("n")))
+    large = too_large(nodes, index_sets)
+    links = searched(in_pieces(nodes.join(large, "component", "left_anti"), index_sets, 0), cut)
     if large.isEmpty():
         return links
-    nodes = written(near.join(large, "component", "left_semi"), "large")
+    nodes = nodes.join(large, "component", "left_semi").select("doc_id", "component")
+    left = written(shared_grams(cut(nodes), percent, buckets(docs)), "shared")
+    nodes = loaded(nodes, left.select("doc_id", (F.octet_length("grams") / 8).alias("n")))
+
+    def kept(members: DataFrame) -> DataFrame:
+        return left.join(members, "doc_id")
+
+    pieces = searched(in_pieces(nodes, index_sets, 0), kept)
+    large = too_large(nodes, index_sets)
+    if large.isEmpty():
+        return links.union(pieces)
+    nodes = written(nodes.join(large, "component", "left_semi").drop("class"), "large")
 
     def classes() -> DataFrame:
-        joined = components(links).select("node", F.col("component").alias("class"))
-        return nodes.join(joined, "node", "left").select("node", "component", F.coalesce("class", "node").alias("class"))
+        joined = components(pieces).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+        return nodes.join(joined, "doc_id", "left").select("doc_id", "component", F.coalesce("class", "doc_id").alias("class"), "load")
 
-    first = classes().filter("node = class").select(F.col("node").alias("doc_id"), "component", "class")
-    links = links.union(searched(in_pieces(first, index_sets, 1)))
-    rest = written(unsettled(sets, classes().select("node", "class")), "unsettled")
-    return links.union(searched(written(in_tiles(rest, index_sets), "tiles")))
+    pieces = pieces.union(searched(in_pieces(classes().filter("doc_id = class"), index_sets, 1), kept))
+    rest = unsettled(sets, classes().select(F.col("doc_id").alias("node"), "class"))
+    rest = written(rest.join(nodes.select("doc_id", "load"), "doc_id"), "unsettled")
+    return links.union(pieces).union(searched(written(in_tiles(rest, index_sets), "tiles"), kept))
 
 
 def similar_documents(
