@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -66,3 +67,15 @@ def test_small_caches_change_nothing(vocabulary, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PAIRS", 2)
     vocabulary.follows.clear()
     assert [vocabulary.encode([t])[0] for t in texts] == want
+
+
+def test_a_vocabulary_and_a_slice_stay_small(vocabulary):
+    # Two workers of an executor hold one each: a token's entry is one object, and slices are short.
+    entries = {}
+    for fitting in vocabulary.endings.values():
+        for entry in fitting:
+            assert entries.setdefault(entry[0], entry) is entry
+    batch = pa.RecordBatch.from_pydict({"text": ["word " * 20_000] * 100})
+    parts = list(bpe._slices(batch, "text"))
+    assert sum(p.num_rows for p in parts) == 100
+    assert max(p.num_rows for p in parts) * 100_000 <= 3 << 20

@@ -34,7 +34,7 @@ WORDS = regex.compile(
 # Words, and pairs of tokens, that a worker remembers before it starts anew (some 50 and 30 MB), and bytes of text it handles at once.
 CACHE_WORDS = 200_000
 CACHE_PAIRS = 250_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -77,9 +77,10 @@ class Vocabulary:
             self.token_bytes[i] = content_.encode()
         # For each beginning of a token, the tokens that end where it ends, longest first.
         beginnings = {token[:n] for token in self.ids for n in range(1, len(token) + 1)}
+        # A token's entry is one object wherever it ends.
+        entry = {token: (i, len(token)) for token, i in self.ids.items()}
         self.endings = {
-            text: tuple((self.ids[text[i:]], len(text) - i) for i in range(len(text)) if text[i:] in self.ids)
-            for text in beginnings
+            text: tuple(entry[text[i:]] for i in range(len(text)) if text[i:] in entry) for text in beginnings
         }
         self.follows: dict[int, bool] = {}  # by left << 32 | right
         self.cache: dict[str, bytes] = {}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinline.llm.flat import BYTE_DRAW, SPACE, UPPER_TO_LOWER, chunks, mix, run_lengths, runs
+from twinline.llm.flat import BYTE_DRAW, SPACE, UPPER_TO_LOWER, chunks, lean, mix, run_lengths, runs
 from twinline.session import ship
 
 GRAM = 8
@@ -213,7 +213,11 @@ def leaks(
 
     def scanned(block: list[tuple[int, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(Items([i for i, _ in block], [t for _, t in block], rate, gram))
-        return rows.mapInArrow(lambda batches: _scan(batches, shared.value), out)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _scan_once(batches, shared.value)
+
+        return rows.mapInArrow(lean(scan), out)
 
     for item in asked.distinct().orderBy("item_id", "text").toLocalIterator():
         block.append((item["item_id"], item["text"]))
@@ -229,6 +233,14 @@ def leaks(
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
+def _scan_once(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+    """A task's scan. The items stay in the worker after it; what they remember of its texts doesn't."""
+    try:
+        yield from _scan(batches, items)
+    finally:
+        items.verified.clear()
+
+
 def _scan(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()

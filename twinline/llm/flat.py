@@ -6,15 +6,15 @@ import ctypes
 import gc
 import inspect
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-# Bytes of text that are hashed at once (a longer text is taken alone).
-CHUNK_BYTES = 1 << 20
+# Bytes of text that are hashed at once (a longer text is taken alone). Hashing holds some hundred bytes
+# for each of them, and one less than a power of two keeps the tables of powers at 4 MB.
+CHUNK_BYTES = (1 << 18) - 1
 
 # Odd multipliers and the finishing steps of a public 64-bit mixer.
 MULTIPLY_1, MULTIPLY_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -71,21 +71,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_DRAW = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
 
-@cache
-def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    # Kept by a worker: 16 bytes for each place of the longest text so far.
-    base = GOLDEN | 1
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(length, b, np.uint64)
-        steps[0] = 1
-        both.append(np.cumprod(steps, dtype=np.uint64))
-    return both[0], both[1]
+# The longest tables so far, which a worker keeps: 16 bytes for each place.
+_longest: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64 and of its inverse, ``length`` of them at least."""
-    return _powers(max(1 << 18, 1 << max(0, length - 1).bit_length()))
+    if not _longest or len(_longest[0][0]) < length:
+        base, both = GOLDEN | 1, []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(max(1 << 18, 1 << max(0, length - 1).bit_length()), b, np.uint64)
+            steps[0] = 1
+            both.append(np.cumprod(steps, dtype=np.uint64))
+        _longest[:] = [tuple(both)]
+    return _longest[0]
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
