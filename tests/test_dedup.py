@@ -168,6 +168,32 @@ def test_self_join_of_odd_rows(spark, pairs):
     assert dedup.near_dup_exact(df.limit(0), 0.9).count() == 0
 
 
+def test_self_join_links_rows_of_one_id(pairs):
+    """Both rows 7 are like each other; of both rows 2, which are not, one is like row 1."""
+    words = [f"w{i}" for i in range(10)]
+    rows = [(7, " ".join(words), "x"), (7, " ".join(words[1:]), "x"), (1, "a b c d e f g h i j", "x"), (2, "a b c d e f g h i", "x"), (2, "far from both", "x")]
+    got = [tuple(r) for r in dedup.similarity_self_join(pairs(*rows), 0.9).collect()]
+    assert sorted((i, c, n) for i, c, n, _ in got) == [(1, 1, 1), (2, 1, 1), (2, 2, 0), (7, 7, 1), (7, 7, 1)]
+    assert all(d is None if n == 0 else d == pytest.approx(0.1) for _, _, n, d in got)
+
+
+@pytest.mark.parametrize("few", [1, 32])
+def test_self_join_of_shared_ids_loses_no_link(pairs, monkeypatch, few):
+    """Three rows have the same id: they link as they would with ids of their own."""
+    monkeypatch.setattr(dedup, "PAIR_ROWS", few)
+    monkeypatch.setattr(components, "HELD_LINKS", 50)
+    texts = [t for _, t, _ in corpus(8, 60, 40, 30) + hot_corpus()[:70]]
+    alone = plain_join([(i, t, "x") for i, t in enumerate(texts)], 0.8)
+    told = dedup.similarity_self_join(pairs(*[(i // 3, t, "x") for i, t in enumerate(texts)]), 0.8).collect()
+    got = [(r.id, r.class_id, r.n_links, -1 if r.jaccard_dist is None else r.jaccard_dist) for r in told]
+    wanted = [(i // 3, c // 3, n, -1 if d is None else d.expected) for i, (c, n, d) in alone.items()]
+
+    def counted(rows):
+        return sorted((i, c, n, round(d, 9)) for i, c, n, d in rows)
+
+    assert counted(got) == counted(wanted)
+
+
 def test_classes_of_long_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(200, 260)] + [(7, i) for i in range(20, 60)] + [(5, 5), (300, 300)] + [(90, 91), (91, 92), (92, 90)]
     df = spark.createDataFrame(links, "a long, b long").repartition(5)
